@@ -72,6 +72,16 @@ def repeat_key(text: Column) -> Column:
     return F.regexp_replace(marked, r"(?U)\s+", " ")
 
 
+def word_set(words: list[str]) -> Column:
+    """A constant array; one literal, so that building the plan stays cheap."""
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+def one_of(column: str, words: list[str]) -> Column:
+    """IN test against a fixed list, which Spark turns into a hash set."""
+    return F.expr(f"{column} IN ({', '.join(repr(w) for w in words)})")
+
+
 def terms(text: Column) -> Column:
     """Lower-cased letter/digit runs in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))

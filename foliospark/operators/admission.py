@@ -17,7 +17,7 @@ def number_requests(requests: DataFrame, slot_seconds: int = 60) -> DataFrame:
     slot on top of that base.
     """
     slotted = requests.withColumn("day", F.to_date("ts")).withColumn(
-        "_slot", F.floor(F.unix_seconds("ts") / slot_seconds)
+        "_slot", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slot_seconds)
     )
     key = ["ip", "day", "_slot"]
     earlier = Window.partitionBy("ip", "day").orderBy("_slot").rowsBetween(

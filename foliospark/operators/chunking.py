@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import chunk_key, strip, strip_left, strip_right, token_count
+from foliospark.functions.text import chunk_key, strip, strip_left, strip_right, token_count, word_set
 
 # Chunk sizes in tokens and the heading limit in words.
 TARGET_TOKENS = 800
@@ -48,7 +48,7 @@ def _pieces(text: Column) -> Column:
         return F.struct(
             F.length(item["piece"]).alias("len"),
             token_count(body).alias("tok"),
-            (closed & ~F.lower(last_word).isin(*ABBREVIATIONS)).alias("cut"),
+            (closed & ~F.array_contains(word_set(ABBREVIATIONS), F.lower(last_word))).alias("cut"),
             (F.length(item["piece"]) - F.length(body)).alias("trail"),
         )
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import word_set
 from foliospark.session import broadcast_if_small
 
 # Words that never identify an entity when routing.
@@ -168,15 +169,18 @@ def question_spans(questions: DataFrame) -> DataFrame:
     """(question_id, n, i, span): runs of 1 to 3 words, unless all are stop words or
     short."""
     tokens = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9&]+"), F.lit(0))
-    runs = F.flatten(F.array(*(
-        F.when(F.size("_tokens") >= n, F.transform(
-            F.sequence(F.lit(1), F.size("_tokens") - (n - 1)),
-            lambda i, n=n: F.struct(
-                F.lit(n).alias("n"), i.alias("i"), F.slice("_tokens", i, F.lit(n)).alias("words"))))
-        .otherwise(F.expr("cast(array() as array<struct<n:int,i:int,words:array<string>>>)"))
-        for n in range(1, MAX_SPAN_WORDS + 1)
-    )))
-    empty = F.forall("words", lambda w: w.isin(*ROUTING_STOP_WORDS)
+
+    def of_length(n: int) -> Column:
+        def run(i: Column) -> Column:
+            return F.struct(F.lit(n).alias("n"), i.alias("i"),
+                            F.slice("_tokens", i, F.lit(n)).alias("words"))
+
+        starts = F.sequence(F.lit(1), F.size("_tokens") - (n - 1))
+        return F.when(F.size("_tokens") >= n, F.transform(starts, run)).otherwise(
+            F.expr("cast(array() as array<struct<n:int,i:int,words:array<string>>>)"))
+
+    runs = F.concat(*(of_length(n) for n in range(1, MAX_SPAN_WORDS + 1)))
+    empty = F.forall("words", lambda w: F.array_contains(word_set(ROUTING_STOP_WORDS), w)
                      | (F.length(w) < MIN_TOKEN_CHARS))
     return (
         questions.select("question_id", tokens.alias("_tokens"))

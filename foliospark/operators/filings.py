@@ -18,12 +18,12 @@ def optional_filter(df: DataFrame, symbol: str | None = None, doc_type: str | No
     return df
 
 
-def matches_filters(question: DataFrame, document: DataFrame) -> Column:
-    """The same rule per question, as a join condition over filter_* columns."""
+def matches_filters() -> Column:
+    """The same rule per question, as a condition over filter_* and document columns."""
     cond = F.lit(True)
     for name in ("symbol", "doc_type", "period"):
-        wanted = question[f"filter_{name}"]
-        cond = cond & (wanted.isNull() | (wanted == document[name]))
+        wanted = F.col(f"filter_{name}")
+        cond = cond & (wanted.isNull() | (wanted == F.col(name)))
     return cond
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import word_set
 from foliospark.session import broadcast_if_small
 
 # Question words, verbs of saying and generic time words.
@@ -56,7 +57,7 @@ def _words(text: Column) -> Column:
 def company_drop_terms(symbol: Column, name: Column) -> Column:
     """The company's own words: its symbol and the words of its name."""
     own = F.concat(F.array(F.lower(symbol)), _words(name))
-    return F.filter(own, lambda w: ~w.isin(*QUESTION_STOP_WORDS))
+    return F.filter(own, lambda w: ~F.array_contains(word_set(QUESTION_STOP_WORDS), w))
 
 
 def shape_keyword_query(question: Column, drop_terms: Column) -> Column:
@@ -78,7 +79,8 @@ def shape_keyword_query(question: Column, drop_terms: Column) -> Column:
     ))
     content = F.filter(
         _words(asked),
-        lambda w: (F.length(w) >= MIN_TOKEN_CHARS) & ~w.isin(*QUESTION_STOP_WORDS)
+        lambda w: (F.length(w) >= MIN_TOKEN_CHARS)
+        & ~F.array_contains(word_set(QUESTION_STOP_WORDS), w)
         & ~F.array_contains(F.coalesce(drop_terms, none), w),
     )
     expanded = F.flatten(F.transform(

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import STOP_WORDS, stem, terms
+from foliospark.functions.text import STOP_WORDS, one_of, stem, terms, word_set
 from foliospark.operators.filings import matches_filters
 from foliospark.session import broadcast_if_small
 
@@ -20,7 +20,7 @@ FILTER_COLUMNS = ("filter_symbol", "filter_doc_type", "filter_period")
 def token_rows(chunks: DataFrame) -> DataFrame:
     """(chunk_id, pos, term): stemmed terms with their word position, stop words out."""
     words = chunks.select("chunk_id", F.posexplode(terms(F.col("content"))).alias("_at", "_raw"))
-    return words.filter(~F.col("_raw").isin(*STOP_WORDS)).select(
+    return words.filter(~one_of("_raw", STOP_WORDS)).select(
         "chunk_id", (F.col("_at") + 1).alias("pos"), stem(F.col("_raw")).alias("term"))
 
 
@@ -57,36 +57,52 @@ def query_terms(queries: DataFrame) -> DataFrame:
     must occur as adjacent words (stop words keep their place as gaps); a leading minus
     excludes. A unit of stop words only says nothing and is dropped.
     """
-    units = F.regexp_extract_all("text", F.lit(UNIT_PATTERN), F.lit(0))
-    alt = F.size(F.filter(
-        F.slice("_units", F.lit(1), F.col("unit")), lambda u: F.lower(u) == "or"))
-    per_unit = (
-        queries.select("query_id", units.alias("_units"))
-        .select("query_id", "_units", F.posexplode("_units").alias("unit", "_text"))
-        .select("query_id", "unit", "_text", alt.alias("alt"))
-        .filter(F.lower("_text") != "or")
-    )
-    words = per_unit.select(
-        "query_id", "alt", "unit",
-        F.col("_text").rlike(r'^-["\p{L}\p{N}]').alias("negated"),
-        F.posexplode(terms(F.col("_text"))).alias("off", "_raw"),
-    ).filter(~F.col("_raw").isin(*STOP_WORDS))
-    flat = words.select("query_id", "alt", "unit", "off", "negated",
-                        stem(F.col("_raw")).alias("term"))
-
-    by_unit = Window.partitionBy("query_id", "unit")
-    by_query = Window.partitionBy("query_id")
-    by_term = Window.partitionBy("query_id", "term").orderBy("negated", "unit", "off")
-    counted = flat.withColumn("unit_terms", F.count("*").over(by_unit)).withColumn(
-        "scores", (F.row_number().over(by_term) == 1) & ~F.col("negated"))
-    heads = (
-        counted.filter(~F.col("negated")).groupBy("query_id", "alt")
-        .agg(F.count_distinct("unit").alias("alt_units"))
+    texts = F.regexp_extract_all("text", F.lit(UNIT_PATTERN), F.lit(0))
+
+    def describe(text: Column, at: Column) -> Column:
+        words = F.transform(terms(text), lambda w, off: F.struct(off.alias("off"), w.alias("raw")))
+        kept = F.filter(words, lambda w: ~F.array_contains(word_set(STOP_WORDS), w["raw"]))
+        return F.struct(
+            F.size(F.filter(F.slice("_texts", F.lit(1), at), lambda u: F.lower(u) == "or"))
+            .alias("alt"),
+            at.alias("unit"),
+            text.rlike(r'^-["\p{L}\p{N}]').alias("negated"),
+            (F.lower(text) == "or").alias("is_or"),
+            F.transform(kept, lambda w: F.struct(
+                w["off"].alias("off"), stem(w["raw"]).alias("term"))).alias("words"),
+        )
+
+    def one_row(unit: Column) -> Column:
+        return F.transform(unit["words"], lambda w: F.struct(
+            unit["alt"].alias("alt"), unit["unit"].alias("unit"),
+            unit["negated"].alias("negated"), F.size(unit["words"]).alias("unit_terms"),
+            w["off"].alias("off"), w["term"].alias("term")))
+
+    # Search texts are short, so all of this stays inside the query's row.
+    units = (
+        queries.select("query_id", texts.alias("_texts"))
+        .select("query_id", F.transform("_texts", describe).alias("_units"))
+        .select("query_id", F.filter(
+            "_units", lambda u: ~u["is_or"] & (F.size(u["words"]) > 0)).alias("_units"))
     )
-    return (
-        counted.join(heads, ["query_id", "alt"])
-        .withColumn("n_terms", F.count_if("scores").over(by_query))
+    flat = units.select(
+        "query_id", "_units", F.flatten(F.transform("_units", one_row)).alias("_rows"))
+    listed = flat.select(
+        "query_id", "_units", F.inline("_rows"),
+        F.transform(F.filter("_rows", lambda r: ~r["negated"]), lambda r: r["term"])
+        .alias("_terms"),
+        F.transform(F.filter("_rows", lambda r: ~r["negated"]), lambda r: F.struct(
+            r["unit"].alias("unit"), r["off"].alias("off"))).alias("_places"),
     )
+    first_place = F.get("_places", F.array_position("_terms", F.col("term")).cast("int") - 1)
+    in_alt = F.filter("_units", lambda u: (u["alt"] == F.col("alt")) & ~u["negated"])
+    return listed.select(
+        "query_id", "alt", "unit", "off", "negated", "unit_terms", "term",
+        F.size(in_alt).alias("alt_units"),
+        F.size(F.array_distinct("_terms")).alias("n_terms"),
+        (~F.col("negated") & (first_place["unit"] == F.col("unit"))
+         & (first_place["off"] == F.col("off"))).alias("scores"),
+    ).filter("alt_units > 0")
 
 
 def matching_chunks(queries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -150,7 +166,7 @@ def rank_text(queries: DataFrame, postings: DataFrame, k: int = 8,
         docs = documents.select("chunk_id", "symbol", "doc_type", "period")
         found = (
             found.join(asked, "query_id").join(docs, "chunk_id")
-            .filter(matches_filters(asked, docs)).select("query_id", "chunk_id", "score")
+            .filter(matches_filters()).select("query_id", "chunk_id", "score")
         )
     max_k = k
     if "k" in queries.columns:

@@ -1,54 +1,44 @@
-"""Declared schemas of the stored tables and interchange records."""
-
-from pyspark.sql import types as T
+"""Declared schemas (DDL) of the stored tables and interchange records."""
 
 DOC_TYPES = ("annual_report", "concall", "announcement")
 
-COMPANY = T.StructType.fromDDL("symbol string, name string, isin string, industry string")
+COMPANY = "symbol string, name string, isin string, industry string"
 
-DOCUMENT = T.StructType.fromDDL(
+DOCUMENT = (
     "id string, symbol string, doc_type string, period string, source_url string, "
     "storage_path string, sha256 string, nse_seq_id bigint, ingested_at timestamp"
 )
 
-PAGE = T.StructType.fromDDL("document_id string, page int, text string")
+PAGE = "document_id string, page int, text string"
 
-CHUNK = T.StructType.fromDDL(
+CHUNK = (
     "id string, document_id string, page int, section string, content string, token_count int"
 )
 
-STORED_CHUNK = T.StructType.fromDDL(
+STORED_CHUNK = (
     "id string, document_id string, page int, section string, content string, "
     "token_count int, embedding array<float>, embedding_provider string"
 )
 
-BLOCK = T.StructType.fromDDL(
+BLOCK = (
     "document_id string, page int, page_width double, page_height double, "
     "x0 double, y0 double, x1 double, y1 double, text string"
 )
 
-ANNOUNCEMENT_FIELDS = (
-    "symbol string, desc string, attchmntText string, attchmntFile string, "
-    "an_dt string, seq_id string"
-)
-ANNOUNCEMENT = T.StructType.fromDDL(ANNOUNCEMENT_FIELDS)
+ANNOUNCEMENT_COLUMNS = ("symbol", "desc", "attchmntText", "attchmntFile", "an_dt", "seq_id")
+ANNOUNCEMENT = ", ".join(f"{c} string" for c in ANNOUNCEMENT_COLUMNS)
 
-ANNUAL_REPORT = T.StructType.fromDDL(
+ANNUAL_REPORT = (
     "symbol string, fromYr string, toYr string, fileName string, attFileSize string"
 )
 
-SOURCE_FIELDS = (
-    "content string, symbol string, doc_type string, period string, page int, "
-    "source_url string, score double"
-)
-
-ANSWER_EVENT = T.StructType.fromDDL(
-    f"request_id string, seq bigint, type string, sources array<struct<"
-    f"{SOURCE_FIELDS.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double')}"
-    f">>, text string, refused boolean, error string"
+ANSWER_EVENT = (
+    "request_id string, seq bigint, type string, sources array<struct<content:string,"
+    "symbol:string,doc_type:string,period:string,page:int,source_url:string,score:double>>, "
+    "text string, refused boolean, error string"
 )
 
-PROBE = T.StructType.fromDDL(
+PROBE = (
     "environment struct<label:string,hostname:string,platform:string,egress_ip:string,"
     "measured_at:string>, "
     "announcements_probe struct<status:int,error:string,row_count:bigint>, "
@@ -56,7 +46,7 @@ PROBE = T.StructType.fromDDL(
     "content_type:string,error:string>>"
 )
 
-SEED_PROBE = T.StructType.fromDDL(
+SEED_PROBE = (
     "symbols map<string,struct<probe:struct<status:int,error:string,row_count:bigint>,"
     "matches:array<struct<symbol:string,desc:string,attchmntText:string,"
     "attchmntFile:string,an_dt:string,seq_id:string>>>>"

@@ -4,23 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliospark import schemas
 
-ANNOUNCEMENT_COLUMNS = schemas.ANNOUNCEMENT.fieldNames()
-
 # A payload is a list of rows (which the reader opens up) or an object with "data".
-PAYLOAD = T.StructType(
-    [*schemas.ANNOUNCEMENT.fields,
-     T.StructField("data", T.ArrayType(schemas.ANNOUNCEMENT)),
-     T.StructField("_corrupt_record", T.StringType())]
+PAYLOAD = (
+    f"{schemas.ANNOUNCEMENT}, data array<struct<"
+    f"{schemas.ANNOUNCEMENT.replace(' string', ':string')}>>, _corrupt_record string"
 )
 
 
 def parse_announcements(payloads: DataFrame) -> DataFrame:
     """Announcement rows of readable payloads, batch or stream."""
-    bare = F.array(F.struct(*ANNOUNCEMENT_COLUMNS))
+    bare = F.array(F.struct(*schemas.ANNOUNCEMENT_COLUMNS))
     return payloads.filter("_corrupt_record IS NULL").select(
         F.inline(F.coalesce("data", bare)))
 
