@@ -339,14 +339,9 @@ def _ingest_summary(t: Tables):
     return corpus.ingest_summary(d, p, c)
 
 
-@query("list_entities", """
-SELECT symbol, name, industry, row_number() OVER (ORDER BY name, symbol) AS place FROM {companies}""")
+@query("list_entities", "SELECT symbol, name, industry FROM {companies}")
 def _list_entities(t: Tables):
-    from pyspark.sql import Window
-
-    listed = corpus.list_entities(t("companies"))
-    # The dimension is listed whole, so one window over it is the display order.
-    return listed.withColumn("place", F.row_number().over(Window.orderBy("name", "symbol")))
+    return corpus.list_entities(t("companies"))
 
 
 @query("tracked_symbols", """

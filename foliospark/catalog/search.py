@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliospark.catalog.inputs import Tables, query
 from foliospark.functions.text import STOP_WORDS
 from foliospark.operators import hybrid, keywords, postings, vectors
+from foliospark.session import shared_folder
 
 
 def words_sql(words) -> str:
@@ -123,12 +124,14 @@ def _vector_search_filtered(t: Tables):
 
 @query("approx_vector_search")
 def _approx_vector_search(t: Tables):
-    """Approximate search and its agreement with the exact one, per question."""
+    """Approximate search over stored cells and its agreement with the exact one."""
     chunks = t("chunks").select("chunk_id", "embedding")
     questions = t("questions").select("query_id", "embedding")
     centres = vectors.fit_cells(chunks, 16)
+    path = shared_folder(t.spark, "cells")
+    vectors.store_cells(vectors.assign_cells(chunks, centres), path)
     approx = vectors.approx_rank_chunks(
-        questions, vectors.assign_cells(chunks, centres), centres, k=10, probes=8)
+        questions, t.spark.read.parquet(path), centres, k=10, probes=8)
     exact = vectors.rank_chunks(questions, chunks, 10)
     found = approx.select("query_id", "chunk_id", F.lit(1).alias("found"))
     return (
@@ -163,6 +166,21 @@ def _text_search(t: Tables):
                         F.round("score", 6).alias("score"))
 
 
+@query("stored_text_search", f"""
+WITH c AS (SELECT * FROM {{chunks}}), s AS (SELECT * FROM {{search_texts}}),
+{text_ctes('s')}
+SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM text_scores) WHERE rank <= 8""")
+def _stored_text_search(t: Tables):
+    """The same search over a stored postings table, reading only the buckets it needs."""
+    asked, path = t("search_texts"), shared_folder(t.spark, "postings")
+    postings.store_postings(postings.build_postings(t("chunks")), path, buckets=32)
+    index = postings.stored_postings(t.spark, path, asked, buckets=32)
+    found = postings.text_search(asked, t("chunks"), index, 8)
+    return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("query_semantics", f"""
 WITH c AS (SELECT * FROM {{chunks}}), s AS (SELECT * FROM {{search_texts}}),
 {text_ctes('s')}
@@ -217,7 +235,7 @@ def _rank_fusion(t: Tables):
     asked, chunks = t("questions"), t("chunks")
     vector = vectors.rank_chunks(asked, chunks, 40)
     text = postings.rank_text(asked, postings.postings_for(asked, chunks), 40, documents=chunks)
-    return hybrid.rank_fusion(vector, text).withColumn("score", F.round("score", 9))
+    return hybrid.rank_fusion(vector, text).drop("similarity").withColumn("score", F.round("score", 9))
 
 
 @query("candidate_pool", f"""

@@ -228,11 +228,11 @@ def _flag_low_quality_pages(t: Tables):
 
 @query("flag_thin_documents", f"""
 SELECT document_id, count(*) AS pages, CAST(sum({SOLID}) AS BIGINT) AS chars
-FROM (SELECT source || '-' || CAST(doc_id % 50 AS STRING) AS document_id, text FROM {{documents}})
+FROM (SELECT lang || '-' || CAST(doc_id - doc_id % 2 AS STRING) AS document_id, text FROM {{documents}})
 GROUP BY document_id HAVING sum({SOLID}) < 2000""")
 def _flag_thin_documents(t: Tables):
     pages = t("documents").select(
-        F.concat_ws("-", "source", (F.col("doc_id") % 50).cast("string")).alias("document_id"),
+        F.concat_ws("-", "lang", (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("document_id"),
         "text")
     return quality.flag_thin_documents(pages)
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.filings import ANNUAL_REPORT_KEYWORD, CONCALL_KEYWORD
+from foliospark.session import broadcast_if_small
 
+MAX_KEYS = 200_000
 DISPLAY_ZONE = "Asia/Kolkata"
 
 
@@ -147,12 +149,21 @@ def tracked_symbols(companies: DataFrame, subset: list[str] | None = None) -> Da
     return df.orderBy("symbol")
 
 
+def _missing_keys(child: DataFrame, parent: DataFrame, child_key: str,
+                  parent_key: str) -> DataFrame:
+    """Child keys without a parent: keys are made distinct map-side before they are
+    shuffled, so neither the child rows nor a parent with very many of them move."""
+    used = child.filter(F.col(child_key).isNotNull()).select(child_key).distinct()
+    missing = used.join(parent, used[child_key] == parent[parent_key], "left_anti")
+    return broadcast_if_small(missing, MAX_KEYS)
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child rows whose parent is missing."""
-    return child.join(parent, child[child_key] == parent[parent_key], "left_anti")
+    return child.join(_missing_keys(child, parent, child_key, parent_key), child_key, "left_semi")
 
 
 def retain_referenced(child: DataFrame, parent: DataFrame, child_key: str,
                       parent_key: str) -> DataFrame:
     """Child rows that survive a cascading delete of everything not in ``parent``."""
-    return child.join(parent, child[child_key] == parent[parent_key], "left_semi")
+    return child.join(_missing_keys(child, parent, child_key, parent_key), child_key, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import word_set
-from foliospark.session import broadcast_if_small
+from foliospark.session import broadcast_if_small, pin_small
 
 # Words that never identify an entity when routing.
 ROUTING_STOP_WORDS = (
@@ -29,7 +29,7 @@ STRONG_SCORE = 700
 MIN_TOKEN_CHARS = 3
 MAX_SPAN_WORDS = 3
 SLICE_ENTITIES = 512
-MAX_KEYS = 1_000_000
+MAX_KEYS = 200_000
 
 
 def _name_words(name: Column) -> Column:
@@ -193,68 +193,66 @@ def route_questions(questions: DataFrame, entities: DataFrame) -> tuple[DataFram
     """(decisions, choices) for rows (question_id, question).
 
     decisions: question_id, kind ('none', 'scope', 'choose'), reason. choices:
-    question_id, choice_rank, symbol, name. Spans stay one row each until a group has
-    been chosen; its members are added at the end, so a name shared by many entities is
-    not multiplied by the questions that mention it.
+    question_id, choice_rank, symbol, name. A span meets the key table once; its
+    question then has one short list of named spans and decides on that inside its row.
+    The members of a chosen group are added at the end, so a name shared by many
+    entities is not multiplied by the questions that mention it.
     """
-    winners = key_winners(entities)
-    span_keys = broadcast_if_small(
-        winners.groupBy("key").agg(
-            F.first("top").alias("top"), F.first("n_winners").alias("n_winners"),
-            F.min("symbol").alias("first_symbol")),
-        MAX_KEYS)
-    spans = question_spans(questions).withColumnRenamed("span", "key").join(span_keys, "key")
-
-    decisive = (
-        spans.filter("n_winners = 1")
-        .groupBy("question_id", F.col("first_symbol").alias("symbol"))
-        .agg(F.max("top").alias("top"))
+    winners, small = pin_small(
+        key_winners(entities).join(entities.select("symbol", "name"), "symbol"), MAX_KEYS)
+    keys = winners.groupBy("key").agg(
+        F.first("top").alias("top"), F.first("n_winners").alias("size"),
+        F.min_by("name", "symbol").alias("name"), F.min("symbol").alias("symbol"))
+    spans = question_spans(questions).withColumnRenamed("span", "key").join(
+        broadcast_if_small(keys, MAX_KEYS, small or None), "key")
+    named = spans.groupBy("question_id").agg(
+        F.collect_list(F.struct("n", "i", "key", "size", "top", "symbol", "name")).alias("_spans"))
+
+    # Entities named beyond doubt, best first; groups of equally good ones in reading order.
+    single = F.sort_array(F.transform(
+        F.filter("_spans", lambda s: s["size"] == 1),
+        lambda s: F.struct((-s["top"]).alias("neg"), s["symbol"].alias("symbol"),
+                           s["name"].alias("name"))))
+    groups = F.sort_array(F.filter("_spans", lambda s: s["size"] > 1))
+    listed = named.select("question_id", single.alias("_single"), groups.alias("_groups")).select(
+        "question_id", "_groups",
+        F.filter("_single", lambda s, at: F.array_position(
+            F.transform("_single", lambda o: o["symbol"]), s["symbol"]) == at + 1)
+        .alias("_decisive"))
+    only = F.get("_decisive", F.lit(0))
+    low = F.lower(only["name"])
+
+    def without_only(group: Column) -> Column:
+        score = match_score(group["key"], F.lower(only["symbol"]), low, _name_words(low))
+        return score != group["top"]
+
+    by_size = F.sort_array(F.transform("_groups", lambda g: F.struct(
+        g["size"].alias("size"), g["n"].alias("n"), g["i"].alias("i"), g["key"].alias("key"))))
+    facts = listed.select(
+        "question_id", "_decisive", F.size("_decisive").alias("_n"),
+        F.when(F.size("_decisive") == 1, F.get(F.filter("_groups", without_only), F.lit(0))["key"])
+        .alias("_other"),
+        F.get(by_size, F.lit(0))["key"].alias("_group"),
     )
-    order = Window.partitionBy("question_id").orderBy(F.desc("top"), "symbol")
-    named = decisive.withColumn("choice_rank", F.row_number().over(order))
-    counts = named.groupBy("question_id").agg(
-        F.count("*").alias("n_decisive"), F.min_by("symbol", "choice_rank").alias("only"))
-
-    groups = spans.filter("n_winners > 1").select("question_id", "n", "i", "key", "n_winners")
-    member = winners.select("key", F.col("symbol").alias("only"), F.lit(True).alias("_inside"))
-    one = counts.filter("n_decisive = 1")
-    disjoint = (
-        groups.join(one, "question_id")
-        .join(broadcast_if_small(member, MAX_KEYS), ["key", "only"], "left")
-        .filter("_inside IS NULL")
-        .groupBy("question_id").agg(F.min_by("key", F.struct("n", "i")).alias("other_key"))
+    decided = questions.select("question_id").join(facts, "question_id", "left").withColumn(
+        "_n", F.coalesce("_n", F.lit(0))).withColumn(
+        "reason",
+        F.when((F.col("_n") >= 2) | F.col("_other").isNotNull(), F.lit("multiple"))
+        .when((F.col("_n") == 0) & F.col("_group").isNotNull(), F.lit("ambiguous")))
+    decisions = decided.select(
+        "question_id",
+        F.when(F.col("reason").isNotNull(), F.lit("choose"))
+        .when(F.col("_n") == 1, F.lit("scope")).otherwise(F.lit("none")).alias("kind"), "reason")
+
+    first = decided.select("question_id", F.posexplode("_decisive").alias("_at", "_e")).select(
+        "question_id", (F.col("_at") + 1).alias("choice_rank"), F.col("_e.symbol").alias("symbol"),
+        F.col("_e.name").alias("name"))
+    shown = F.when(F.col("reason") == "ambiguous", F.col("_group")).otherwise(F.col("_other"))
+    by_symbol = Window.partitionBy("key").orderBy("symbol")
+    members = winners.select("key", "symbol", "name", F.row_number().over(by_symbol).alias("_at"))
+    grouped = (
+        decided.select("question_id", "_n", shown.alias("key")).filter("key IS NOT NULL")
+        .join(broadcast_if_small(members, MAX_KEYS, small or None), "key")
+        .select("question_id", (F.col("_n") + F.col("_at")).alias("choice_rank"), "symbol", "name")
     )
-    smallest = groups.groupBy("question_id").agg(
-        F.min_by("key", F.struct("n_winners", "n", "i")).alias("group_key"))
-
-    facts = (
-        questions.select("question_id")
-        .join(counts, "question_id", "left").join(disjoint, "question_id", "left")
-        .join(smallest, "question_id", "left")
-    )
-    multiple = (F.col("n_decisive") >= 2) | F.col("other_key").isNotNull()
-    ambiguous = F.col("n_decisive").isNull() & F.col("group_key").isNotNull()
-    decided = facts.select(
-        "question_id", "only", "other_key", "group_key", "n_decisive",
-        F.when(multiple | ambiguous, F.lit("choose"))
-        .when(F.col("n_decisive") == 1, F.lit("scope")).otherwise(F.lit("none")).alias("kind"),
-        F.when(multiple, F.lit("multiple")).when(ambiguous, F.lit("ambiguous")).alias("reason"),
-    )
-
-    listed = named.select("question_id", "choice_rank", "symbol")
-    shown_key = F.when(F.col("reason") == "ambiguous", F.col("group_key")).when(
-        F.col("n_decisive") == 1, F.col("other_key"))
-    members = (
-        decided.filter("kind = 'choose'")
-        .select("question_id", shown_key.alias("key"), F.coalesce("n_decisive", F.lit(0)).alias("_base"))
-        .filter("key IS NOT NULL")
-        .join(broadcast_if_small(winners.select("key", "symbol"), MAX_KEYS), "key")
-    )
-    by_symbol = Window.partitionBy("question_id").orderBy("symbol")
-    grouped = members.select(
-        "question_id", (F.col("_base") + F.row_number().over(by_symbol)).alias("choice_rank"),
-        "symbol")
-    choices = listed.unionByName(grouped).join(
-        broadcast_if_small(entities.select("symbol", "name"), MAX_KEYS), "symbol"
-    ).select("question_id", "choice_rank", "symbol", "name")
-    return decided.select("question_id", "kind", "reason"), choices
+    return decisions, first.unionByName(grouped)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import STOP_WORDS, one_of, stem, terms, word_set
+from foliospark.functions.filings import citation_label
 from foliospark.operators.filings import matches_filters
-from foliospark.session import broadcast_if_small
+from foliospark.operators.vectors import MAX_QUESTIONS, with_details
+from foliospark.session import broadcast_if_small, pin_small
 
 MAX_QUERY_TERMS = 200_000
 UNIT_PATTERN = r'-?"[^"]*"|\S+'
@@ -42,12 +44,37 @@ def refresh_postings(postings: DataFrame, changed: DataFrame) -> DataFrame:
     return kept.unionByName(build_postings(changed))
 
 
-def postings_for(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def postings_for(queries: DataFrame, chunks: DataFrame, small: bool | None = None) -> DataFrame:
     """Postings of just the queried terms, straight from chunks: tokens are filtered
-    against the query vocabulary before anything is grouped or shuffled."""
+    against the query vocabulary before anything is grouped or shuffled. ``small`` tells
+    that the queries are known to be few; None has them counted."""
     vocabulary = query_terms(queries).select("term").distinct()
     return _group(token_rows(chunks).join(
-        broadcast_if_small(vocabulary, MAX_QUERY_TERMS), "term", "left_semi"))
+        broadcast_if_small(vocabulary, MAX_QUERY_TERMS, small), "term", "left_semi"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+
+
+def store_postings(postings: DataFrame, path: str, buckets: int = 256, splits: int = 8) -> None:
+    """Writes postings in term buckets, sorted by term. A bucket is spread over several
+    files by chunk, so that a term in every chunk does not end up in one task."""
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(splits))
+    (
+        postings.withColumn("bucket", _bucket(buckets)).withColumn("_part", part)
+        .repartition("bucket", "_part").drop("_part").sortWithinPartitions("bucket", "term")
+        .write.partitionBy("bucket").parquet(path)
+    )
+
+
+def stored_postings(spark: SparkSession, path: str, queries: DataFrame,
+                    buckets: int = 256) -> DataFrame:
+    """Stored postings with the scan pruned to the buckets the queries need. There are
+    at most ``buckets`` of those to bring to the driver."""
+    needed = query_terms(queries).select(_bucket(buckets).alias("bucket")).distinct().collect()
+    return spark.read.parquet(path).filter(
+        F.col("bucket").isin([r["bucket"] for r in needed])).drop("bucket")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -105,7 +132,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
     ).filter("alt_units > 0")
 
 
-def matching_chunks(queries: DataFrame, postings: DataFrame) -> DataFrame:
+def matching_chunks(queries: DataFrame, postings: DataFrame,
+                    small: bool | None = None) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that satisfies its query.
 
     score = sum of tf / (tf + 1) over the matched query terms, divided by the number of
@@ -113,7 +141,7 @@ def matching_chunks(queries: DataFrame, postings: DataFrame) -> DataFrame:
     otherwise the join shuffles by term, where AQE splits the frequent terms.
     """
     wanted = query_terms(queries)
-    hits = postings.join(broadcast_if_small(wanted, MAX_QUERY_TERMS), "term")
+    hits = postings.join(broadcast_if_small(wanted, MAX_QUERY_TERMS, small), "term")
     # Where a unit's first word would stand; all words of a phrase have to agree on it.
     starts = F.when(F.col("unit_terms") == 1, F.array(F.lit(0))).otherwise(
         F.transform("positions", lambda p: p - F.col("off")))
@@ -154,25 +182,27 @@ def any_filter(questions: DataFrame) -> Column | None:
 
 
 def rank_text(queries: DataFrame, postings: DataFrame, k: int = 8,
-              documents: DataFrame | None = None, precision: int = 9) -> DataFrame:
+              documents: DataFrame | None = None, precision: int = 9,
+              small: bool | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): best keyword matches, ties by chunk id.
 
     With ``documents`` (chunk_id, symbol, doc_type, period) the filter_* columns of the
     queries act before the top k. An optional column k overrides ``k`` per query.
     """
-    found = matching_chunks(queries, postings)
+    found = matching_chunks(queries, postings, small)
     if documents is not None and any_filter(queries) is not None:
-        asked = broadcast_if_small(queries.select("query_id", *FILTER_COLUMNS), MAX_QUERY_TERMS)
+        asked = queries.select("query_id", *FILTER_COLUMNS)
         docs = documents.select("chunk_id", "symbol", "doc_type", "period")
         found = (
-            found.join(asked, "query_id").join(docs, "chunk_id")
-            .filter(matches_filters()).select("query_id", "chunk_id", "score")
+            found.join(broadcast_if_small(asked, MAX_QUERY_TERMS, small), "query_id")
+            .join(docs, "chunk_id").filter(matches_filters())
+            .select("query_id", "chunk_id", "score")
         )
     max_k = k
     if "k" in queries.columns:
         max_k = max(k, queries.agg(F.max("k")).first()[0] or k)
         limits = queries.select("query_id", F.coalesce("k", F.lit(k)).alias("_k"))
-        found = found.join(broadcast_if_small(limits, MAX_QUERY_TERMS), "query_id")
+        found = found.join(broadcast_if_small(limits, MAX_QUERY_TERMS, small), "query_id")
     else:
         found = found.withColumn("_k", F.lit(k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -188,14 +218,12 @@ def text_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame | Non
                 k: int = 8) -> DataFrame:
     """Ranked keyword matches with content and citation label; the postings are made for
     the queried terms when no stored table is given."""
-    from foliospark.functions.filings import citation_label
-    from foliospark.operators.vectors import _few, with_details
-
-    index = postings if postings is not None else postings_for(queries, chunks)
+    asked, small = pin_small(queries, MAX_QUESTIONS)
+    index = postings if postings is not None else postings_for(asked, chunks, small)
     label = citation_label(F.col("symbol"), F.col("doc_type"), F.col("period"),
                            F.col("source_url"))
     return with_details(
-        rank_text(queries, index, k), chunks, "content", "page", "section", "symbol",
-        "doc_type", "period", "source_url", small=_few(queries),
+        rank_text(asked, index, k, small=small), chunks, "content", "page", "section", "symbol",
+        "doc_type", "period", "source_url", small=small,
     ).select("query_id", "rank", "chunk_id", "content", "page", "section",
              label.alias("source"), "symbol", "score")

@@ -20,9 +20,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark.functions.filings import citation_label
-from foliospark.session import rows_within
+from foliospark.session import pin_small, rows_within
 
 FILTERS = ("symbol", "doc_type", "period")
 MAX_QUESTIONS = 4096
@@ -226,30 +227,26 @@ def with_details(ranked: DataFrame, chunks: DataFrame, *columns: str,
 
 def vector_search(questions: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     """Ranked chunks with content and a ready citation label."""
-    ranked = rank_chunks(questions, chunks, k)
+    asked, small = pin_small(questions, MAX_QUESTIONS)
     label = citation_label(F.col("symbol"), F.col("doc_type"), F.col("period"),
                            F.col("source_url"))
     return with_details(
-        ranked, chunks, "content", "page", "section", "symbol", "doc_type", "period",
-        "source_url", small=_few(questions),
+        rank_chunks(asked, chunks, k), chunks, "content", "page", "section", "symbol",
+        "doc_type", "period", "source_url", small=small,
     ).select("query_id", "rank", "chunk_id", "content", "page", "section",
              label.alias("source"), "symbol", F.col("score").alias("similarity"))
 
 
 def vector_search_filtered(questions: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """Ranked chunks with raw fields; filters act before the top k."""
-    ranked = rank_chunks(questions, chunks, k)
+    asked, small = pin_small(questions, MAX_QUESTIONS)
     return with_details(
-        ranked, chunks, "content", "symbol", "doc_type", "period", "page", "source_url",
-        small=_few(questions),
+        rank_chunks(asked, chunks, k), chunks, "content", "symbol", "doc_type", "period", "page",
+        "source_url", small=small,
     ).select("query_id", "rank", "chunk_id", "content", "symbol", "doc_type", "period", "page",
              "source_url", "score")
 
 
-def _few(questions: DataFrame) -> bool:
-    return questions.limit(MAX_QUESTIONS + 1).count() <= MAX_QUESTIONS
-
-
 # --- approximate search ----------------------------------------------------------
 
 
@@ -267,39 +264,45 @@ def fit_cells(chunks: DataFrame, cells: int = 16, seed: int = 42) -> np.ndarray:
     return _unit_rows(np.array(model.clusterCenters()))
 
 
-def _nearest_cells(df: DataFrame, key: str, centres: np.ndarray, n: int) -> DataFrame:
-    """(key, cells): the n cells nearest to each vector, best first."""
-    kind = dict(df.dtypes)[key]
+def _with_cells(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """Rows with a vector, and ``cells``: the n cells nearest to it, best first."""
+    columns = [f.name for f in df.schema.fields]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            vectors = _from_arrow(batch.select(["embedding"]))["embedding"]
             if not batch.num_rows:
                 continue
-            unit = np.nan_to_num(_unit_rows(_from_arrow(batch)["embedding"]))
+            unit = np.nan_to_num(_unit_rows(vectors))
             order = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :n]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(order.astype("int32").tolist(), pa.list_(pa.int32()))],
-                names=[key, "cells"],
-            )
+            cells = pa.array(order.astype("int32").tolist(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*columns, "cells"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    return df.filter("embedding IS NOT NULL").mapInArrow(assign, schema)
 
-    vectors = df.filter("embedding IS NOT NULL").select(key, "embedding")
-    return vectors.mapInArrow(assign, f"{key} {kind}, cells array<int>")
 
+def assign_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """A vector table (chunk_id, embedding, filter columns; no content) with ``cell``."""
+    celled = _with_cells(vectors, centres, 1)
+    return celled.withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
 
-def assign_cells(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Chunks with ``cell``. Write the result partitioned by cell, so that a search
-    prunes the cells it does not probe at the scan."""
-    cells = _nearest_cells(chunks, "chunk_id", centres, 1)
-    return chunks.join(cells.select("chunk_id", F.get("cells", F.lit(0)).alias("cell")), "chunk_id")
+
+def store_cells(celled: DataFrame, path: str, splits: int = 8) -> None:
+    """Writes vectors partitioned by cell, so that a search reads only the cells it
+    probes. A crowded cell is spread over several files and tasks."""
+    part = F.pmod(F.xxhash64("chunk_id"), F.lit(splits))
+    (
+        celled.withColumn("_part", part).repartition("cell", "_part").drop("_part")
+        .write.partitionBy("cell").parquet(path)
+    )
 
 
-def approx_rank_chunks(questions: DataFrame, celled_chunks: DataFrame, centres: np.ndarray,
+def approx_rank_chunks(questions: DataFrame, celled: DataFrame, centres: np.ndarray,
                        k: int = 8, probes: int = 4) -> DataFrame:
     """Nearest neighbours among the chunks of the ``probes`` nearest cells, scored
-    exactly. Cells are pruned, never split by size: a crowded cell is spread over as many
-    scan tasks as its files need."""
-    cells = _nearest_cells(questions, "query_id", centres, probes)
-    return rank_chunks(questions.join(cells, "query_id"), celled_chunks, k)
+    exactly. Whole cells are skipped, never parts of one."""
+    return rank_chunks(_with_cells(questions, centres, probes), celled, k)
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,15 +57,27 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a narrow table when a count proves it small; otherwise leave the
-    join to Spark (sort-merge, with AQE splitting skewed partitions)."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def pin_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
+    """(table, is_small). A question-sized table is read once and continues as a local
+    relation, so the branches of a plan do not work it out again and again. A larger
+    one is handed back untouched."""
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows or table.nbytes > max_bytes:
+        return df, False
+    return df.sparkSession.createDataFrame(table, schema=df.schema), True
 
 
-def on_all(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys."""
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & left[key].eqNullSafe(right[key])
-    return cond
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read back: later branches start
+    from the files, which also outlive lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, small: bool | None = None) -> DataFrame:
+    """Broadcast a narrow table when a count (or the caller, who has counted already)
+    proves it small; otherwise leave the join to Spark: sort-merge, with AQE splitting
+    skewed partitions."""
+    known = fits(df, max_rows) if small is None else small
+    return F.broadcast(df) if known else df
