@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 
+# Tables whose queries work through long texts.
+TEXT_TABLES = ("documents",)
+
 INPUTS = {
     # Documents as stored chunks; half of them still wait for their vector.
     "chunks": """
@@ -252,7 +257,8 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(table) if name in TEXT_TABLES else table
         sql = _dialect(INPUTS[name], "spark")
         parts = {n: self(n) for n in re.findall(r"\{(\w+)\}", sql)}
         return self.spark.sql(sql, **parts)

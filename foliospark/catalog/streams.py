@@ -79,7 +79,8 @@ def _stream_embed(t: Tables):
     """Documents streamed into chunks and vectors twice; the second run embeds nothing."""
     store = shared_folder(t.spark, "store")
     for _ in range(2):
-        pages = _derived_stream(t, "doc_pages", "documents")
+        pages = _derived_stream(t, "doc_pages", "documents").repartition(
+            t.spark.sparkContext.defaultParallelism)
         embed.stream_embed(pages, store, shared_folder(t.spark, "checkpoint"), letter_profile,
                            "letters", separator="\n", backoff=0).awaitTermination()
     stored = tables.read_versions(t.spark, store, embed.STORED)

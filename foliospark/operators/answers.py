@@ -55,8 +55,8 @@ def fold_answer_events(events: DataFrame) -> DataFrame:
 def parse_citations(answers: DataFrame) -> DataFrame:
     """(request_id, ord, n): cited numbers in order of appearance, repeats kept."""
     return answers.select(
-        "request_id", F.posexplode(fa.cited_numbers(F.col("answer"))).alias("ord", "n")
-    ).withColumn("ord", F.col("ord") + 1)
+        "request_id", F.posexplode_outer(fa.cited_numbers(F.col("answer"))).alias("ord", "n")
+    ).filter("ord IS NOT NULL").withColumn("ord", F.col("ord") + 1)
 
 
 def resolve_citations(citations: DataFrame, sources: DataFrame) -> DataFrame:

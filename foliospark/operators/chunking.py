@@ -4,6 +4,9 @@ Each page is one row and everything happens inside that row with built-in array
 functions, so chunking needs no shuffle and scales with the number of pages. The
 packing is a single fold whose three positions only move forward: it costs a small
 constant times the number of sentences of the page.
+
+Arrays are opened with the outer generators and a null filter: for the inner ones Spark
+infers a filter on the array's size, which would work out the whole array twice.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ SENTENCE_BREAK = r"(?U)(?<=[.!?])(?=\s+[A-Z\"'(])"
 
 
 def _pieces(text: Column) -> Column:
-    """array<struct(len, tok, cut, trail)> of the text between possible breaks."""
+    """array<struct(raw, len, tok, cut, trail)> of the text between possible breaks."""
     bodies = F.transform(
         F.split(text, SENTENCE_BREAK),
         lambda piece: F.struct(piece.alias("piece"), strip_right(piece).alias("body")),
@@ -46,6 +49,7 @@ def _pieces(text: Column) -> Column:
             F.substring_index(body, " ", -1), r"(?U)(?<!\w)(\w++)[.!?]*+\z", 1
         )
         return F.struct(
+            item["piece"].alias("raw"),
             F.length(item["piece"]).alias("len"),
             token_count(body).alias("tok"),
             (closed & ~F.array_contains(word_set(ABBREVIATIONS), F.lower(last_word))).alias("cut"),
@@ -56,42 +60,44 @@ def _pieces(text: Column) -> Column:
 
 
 def _spans(pieces: Column) -> Column:
-    """Joins pieces across abbreviations into struct(start, rest, spans), where spans is
-    array<struct(s, e, c)> with character offsets and running token totals, and
-    ``rest`` is the number of tokens after the last full sentence."""
+    """Joins pieces across abbreviations into struct(start, raw, rest, total, spans), where
+    spans is array<struct(s, e, c, raw)> with character offsets, running token totals
+    and the text; ``raw`` and ``rest`` are the text and tokens after the last full one.
+    Texts are kept here, because cutting them out by offset again reads the page from
+    its start each time."""
     start = F.struct(
         F.lit(0).alias("start"), F.lit(0).alias("pos"), F.lit(0).alias("total"),
-        F.lit(0).alias("rest"),
-        F.expr("cast(array() as array<struct<s:int,e:int,c:int>>)").alias("spans"),
+        F.lit(0).alias("rest"), F.lit("").alias("raw"),
+        F.expr("cast(array() as array<struct<s:int,e:int,c:int,raw:string>>)").alias("spans"),
     )
 
     def step(acc: Column, piece: Column) -> Column:
         pos = acc["pos"] + piece["len"]
         total = acc["total"] + piece["tok"]
-        ended = F.struct(
-            acc["start"].alias("s"), (pos - piece["trail"]).alias("e"), total.alias("c")
-        )
-        return F.struct(
-            F.when(piece["cut"], pos).otherwise(acc["start"]).alias("start"),
-            pos.alias("pos"),
-            total.alias("total"),
-            F.when(piece["cut"], F.lit(0)).otherwise(acc["rest"] + piece["tok"]).alias("rest"),
-            F.when(piece["cut"], F.concat(acc["spans"], F.array(ended)))
-            .otherwise(acc["spans"]).alias("spans"),
-        )
+        raw = F.concat(acc["raw"], piece["raw"])
+        ended = F.struct(acc["start"].alias("s"), (pos - piece["trail"]).alias("e"),
+                         total.alias("c"), raw.alias("raw"))
+        return F.when(piece["cut"], F.struct(
+            pos.alias("start"), pos.alias("pos"), total.alias("total"), F.lit(0).alias("rest"),
+            F.lit("").alias("raw"), F.concat(acc["spans"], F.array(ended)).alias("spans"),
+        )).otherwise(F.struct(
+            acc["start"].alias("start"), pos.alias("pos"), total.alias("total"),
+            (acc["rest"] + piece["tok"]).alias("rest"), raw.alias("raw"),
+            acc["spans"].alias("spans"),
+        ))
 
     return F.aggregate(pieces, start, step)
 
 
 def _sentences(pages: DataFrame) -> DataFrame:
-    """Pages with ``sents``: array<struct(s, e, c)>; a trailing remainder counts as a
+    """Pages with ``sents``: array<struct(s, e, c, raw)>; a trailing remainder counts as a
     sentence that starts at its first visible character."""
-    tail = F.col("text").substr(F.col("_fold.start") + 1, F.length("text"))
-    lead = F.length(tail) - F.length(strip_left(tail))
+    tail = F.col("_fold.raw")
     remainder = F.struct(
-        (F.col("_fold.start") + lead).alias("s"),
-        F.length(strip_right(F.col("text"))).alias("e"),
+        (F.col("_fold.start") + F.length(tail) - F.length(strip_left(tail))).alias("s"),
+        (F.col("_fold.start") + F.length(strip_right(tail))).alias("e"),
         F.col("_fold.total").alias("c"),
+        tail.alias("raw"),
     )
     return (
         pages.withColumn("_fold", _spans(_pieces(F.col("text"))))
@@ -107,12 +113,12 @@ def _sentences(pages: DataFrame) -> DataFrame:
 def segment_sentences(pages: DataFrame) -> DataFrame:
     """One row per sentence: ordinal, character offsets and text. A sentence starts
     where the previous one ended, leading whitespace included in the offsets."""
-    rows = _sentences(pages).select("document_id", "page", "text", F.posexplode("sents"))
-    body = F.col("text").substr(F.col("col.s") + 1, F.col("col.e") - F.col("col.s"))
-    return rows.select(
+    rows = _sentences(pages.select("document_id", "page", "text")).select(
+        "document_id", "page", F.posexplode_outer("sents"))
+    return rows.filter("pos IS NOT NULL").select(
         "document_id", "page", (F.col("pos") + 1).alias("ord"),
         F.col("col.s").alias("start"), F.col("col.e").alias("end"),
-        strip(body).alias("sentence"),
+        strip(F.col("col.raw")).alias("sentence"),
     )
 
 
@@ -148,8 +154,8 @@ def _headings(text: Column, separator: str) -> Column:
 def detect_headings(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
     """One row per heading with its character offset on the page."""
     return pages.select(
-        "document_id", "page", F.inline(_headings(F.col("text"), separator))
-    ).withColumnRenamed("off", "offset")
+        "document_id", "page", F.inline_outer(_headings(F.col("text"), separator))
+    ).filter("off IS NOT NULL").withColumnRenamed("off", "offset")
 
 
 def _packing(target: int, overlap: int) -> Column:
@@ -206,16 +212,16 @@ def chunk_pages(pages: DataFrame, target: int = TARGET_TOKENS, overlap: int = OV
 
     def chunk(bound: Column) -> Column:
         start = F.get("sents", bound["i"])["s"]
-        end = F.get("sents", bound["j"] - 1)["e"]
+        parts = F.slice("sents", bound["i"] + 1, bound["j"] - bound["i"])
         above = F.filter("headings", lambda h: h["off"] <= start)
         return F.struct(
             start.alias("start"),
             F.get(above, F.size(above) - 1)["heading"].alias("section"),
-            strip(F.col("text").substr(start + 1, end - start)).alias("content"),
+            strip(F.array_join(F.transform(parts, lambda p: p["raw"]), "")).alias("content"),
         )
 
-    rows = packed.select("document_id", "page", F.inline(F.transform("bounds", chunk)))
-    return rows.select(
+    rows = packed.select("document_id", "page", F.inline_outer(F.transform("bounds", chunk)))
+    return rows.filter("start IS NOT NULL").select(
         chunk_key(F.col("document_id"), F.col("page"), F.col("start")).alias("id"),
         F.col("document_id").cast("string").alias("document_id"), "page", "start", "section",
         "content", token_count(F.col("content")).alias("token_count"),

@@ -97,7 +97,8 @@ def score_entities(queries: DataFrame, entities: DataFrame, limit: int = 5,
         (-match_score(F.col("query"), e["sym"], e["low"], e["words"])).alias("neg"),
         e["symbol"].alias("symbol"), e["name"].alias("name")))
     best = F.slice(F.sort_array(F.filter(scored, lambda s: s["neg"] < 0)), 1, limit)
-    rows = asked.join(packed, "slice").select("query", F.inline(best))
+    rows = asked.join(packed, "slice").select("query", F.inline_outer(best)).filter(
+        "neg IS NOT NULL")
     order = Window.partitionBy("query").orderBy("neg", "symbol")
     return (
         rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
@@ -149,7 +150,7 @@ def entity_keys(entities: DataFrame, min_chars: int = MIN_TOKEN_CHARS) -> DataFr
         keyed(words, 4, F.lit(820)),
         keyed(F.flatten(F.transform(words, prefixes)), 5, F.lit(700)),
     )
-    rows = entities.select("symbol", F.inline(all_keys)).filter(F.length("key") >= min_chars)
+    rows = entities.select("symbol", F.inline_outer(all_keys)).filter(F.length("key") >= min_chars)
     return (
         rows.groupBy("key", "symbol").agg(F.min_by("score", "order").alias("score"))
         .filter(F.col("score") >= STRONG_SCORE)
@@ -184,7 +185,7 @@ def question_spans(questions: DataFrame) -> DataFrame:
                      | (F.length(w) < MIN_TOKEN_CHARS))
     return (
         questions.select("question_id", tokens.alias("_tokens"))
-        .select("question_id", F.inline(runs)).filter(~empty)
+        .select("question_id", F.inline_outer(runs)).filter(~empty)
         .select("question_id", "n", "i", F.array_join("words", " ").alias("span"))
     )
 
@@ -244,7 +245,8 @@ def route_questions(questions: DataFrame, entities: DataFrame) -> tuple[DataFram
         F.when(F.col("reason").isNotNull(), F.lit("choose"))
         .when(F.col("_n") == 1, F.lit("scope")).otherwise(F.lit("none")).alias("kind"), "reason")
 
-    first = decided.select("question_id", F.posexplode("_decisive").alias("_at", "_e")).select(
+    first = decided.select("question_id", F.posexplode_outer("_decisive").alias("_at", "_e")).filter(
+        "_at IS NOT NULL").select(
         "question_id", (F.col("_at") + 1).alias("choice_rank"), F.col("_e.symbol").alias("symbol"),
         F.col("_e.name").alias("name"))
     shown = F.when(F.col("reason") == "ambiguous", F.col("_group")).otherwise(F.col("_other"))

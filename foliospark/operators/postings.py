@@ -21,7 +21,9 @@ FILTER_COLUMNS = ("filter_symbol", "filter_doc_type", "filter_period")
 
 def token_rows(chunks: DataFrame) -> DataFrame:
     """(chunk_id, pos, term): stemmed terms with their word position, stop words out."""
-    words = chunks.select("chunk_id", F.posexplode(terms(F.col("content"))).alias("_at", "_raw"))
+    # The outer form saves the size filter Spark would infer, a second tokenising.
+    words = chunks.select("chunk_id", F.posexplode_outer(terms(F.col("content")))
+                          .alias("_at", "_raw"))
     return words.filter(~one_of("_raw", STOP_WORDS)).select(
         "chunk_id", (F.col("_at") + 1).alias("pos"), stem(F.col("_raw")).alias("term"))
 
@@ -115,7 +117,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     flat = units.select(
         "query_id", "_units", F.flatten(F.transform("_units", one_row)).alias("_rows"))
     listed = flat.select(
-        "query_id", "_units", F.inline("_rows"),
+        "query_id", "_units", F.inline_outer("_rows"),
         F.transform(F.filter("_rows", lambda r: ~r["negated"]), lambda r: r["term"])
         .alias("_terms"),
         F.transform(F.filter("_rows", lambda r: ~r["negated"]), lambda r: F.struct(

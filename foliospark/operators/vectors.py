@@ -190,9 +190,9 @@ def rank_chunks(questions: DataFrame, chunks: DataFrame, k: int = 8,
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("_block")
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(n_slices)).alias("_slice")
     left = asked.select("*", block).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).cast("bigint").alias("_slice"))
+        "*", F.explode(F.expr(f"sequence(0L, {n_slices - 1}L)")).alias("_slice"))
     right = pool.select("*", part).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint").alias("_block"))
+        "*", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")).alias("_block"))
 
     def pair(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or cs.empty:

@@ -67,6 +67,14 @@ def pin_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> tuple[
     return df.sparkSession.createDataFrame(table, schema=df.schema), True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out evenly. Text jobs are bound by CPU,
+    and a small table in one row group would keep a single core busy; tables of many
+    files are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The table written once to the shared folder and read back: later branches start
     from the files, which also outlive lost executors."""
