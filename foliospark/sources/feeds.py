@@ -36,10 +36,12 @@ def read_announcements(spark: SparkSession, path: str, multi_line: bool = True)
 
 
 def failed_payloads(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Files whose payload could not be read."""
+    """(file, readable): files with a payload that could not be read, and the number of
+    its rows that still had a symbol."""
     raw = read_announcement_payloads(spark, path, multi_line).withColumn(
         "file", F.col("_metadata.file_path"))
-    return raw.filter("_corrupt_record IS NOT NULL").select("file").distinct()
+    return raw.filter("_corrupt_record IS NOT NULL").groupBy("file").agg(
+        F.count("symbol").alias("readable"))
 
 
 def read_symbol_master(spark: SparkSession, path: str) -> DataFrame:
