@@ -104,12 +104,12 @@ def download_stats(downloads: DataFrame) -> DataFrame:
         F.max("elapsed_ms").alias("max_ms"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),
     )
-    totals = per_env.agg((F.count_distinct("total_bytes") == 1).alias("same_bytes"))
-    # One-row side: a plain inner join on a constant key.
-    return (
-        per_env.withColumn("_one", F.lit(1))
-        .join(totals.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    )
+    # One row per environment: few enough to look at side by side in one row.
+    side_by_side = per_env.agg(
+        (F.min("total_bytes") == F.max("total_bytes")).alias("same_bytes"),
+        F.collect_list(F.struct(*per_env.columns)).alias("_rows"))
+    return side_by_side.select("same_bytes", F.inline("_rows")).select(
+        *per_env.columns, "same_bytes")
 
 
 def ingest_summary(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
