@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.catalog.inputs import Tables, query
-from foliospark.catalog.search import words_sql
+from foliospark.catalog.search import RETRIEVE_SQL, SUMMARY_CTES, hybrid_sql, words_sql
 from foliospark.functions import answers as fa
 from foliospark.operators import answers, entities, hybrid, postings, vectors
 from foliospark.plans import ask, evaluate, sql_functions
 
+PROMPT_END = "\n".join(hybrid.PROMPT_RULES)
+
 
 def similarity_sql(a: str, b: str) -> str:
     longer = f"greatest(length({a}), length({b}))"
@@ -309,7 +311,17 @@ def _stage_latency(t: Tables):
     return answers.stage_latency(t("latency_log"))
 
 
-@query("compare_retrievals")
+@query("compare_retrievals", hybrid_sql("{questions}", """,
+  a AS (SELECT query_id, symbol, page, left(content, 60) AS head, regexp_matches(content, '[0-9]') AS digit
+    FROM vector_ranks JOIN chunks USING (chunk_id) WHERE rank <= 10),
+  b AS (SELECT query_id, symbol, page, left(content, 60) AS head, regexp_matches(content, '[0-9]') AS digit
+    FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 10)
+SELECT query_id, coalesce(overlap, 0) AS overlap, coalesce(digits_a, 0) AS digits_a,
+  coalesce(digits_b, 0) AS digits_b
+FROM (SELECT query_id, count(*) FILTER (digit) AS digits_a FROM a GROUP BY 1)
+FULL JOIN (SELECT query_id, count(*) FILTER (digit) AS digits_b, count(*) FILTER (EXISTS (
+    SELECT 1 FROM a WHERE a.query_id = b.query_id AND a.symbol = b.symbol AND a.page = b.page
+      AND a.head = b.head)) AS overlap FROM b GROUP BY 1) USING (query_id)"""))
 def _compare_retrievals(t: Tables):
     """Vector against hybrid results of the same questions."""
     asked, chunks = t("questions"), t("chunks")
@@ -337,7 +349,30 @@ def _compare_filtered(t: Tables):
     return answers.compare_retrievals(rows.filter("side >= 1"), rows.filter("side < 2"))
 
 
-@query("answer_questions")
+@query("answer_questions", hybrid_sql("shaped", SUMMARY_CTES + f""",
+  shown AS (
+    SELECT r.query_id, r.rank, c.* FROM ranked r JOIN chunks c USING (chunk_id)
+    JOIN summary s ON s.query_id = r.query_id AND s.max_score >= 9e-1 WHERE r.rank <= 8),
+  contexts AS (
+    SELECT query_id, count(*) AS n, string_agg('[' || rank || '] (doc_type=' || doc_type || ', period='
+      || coalesce(period, 'n/a') || ', page=' || page || ', symbol=' || symbol || ')' || chr(10)
+      || content, chr(10) || chr(10) ORDER BY rank) AS context FROM shown GROUP BY query_id),
+  extracts AS (
+    SELECT query_id, string_agg(CASE WHEN length(body) > 400 THEN left(body, 400) || '…' ELSE body END
+      || ' [' || rank || ']', chr(10) || chr(10) ORDER BY rank) AS passages
+    FROM (SELECT *, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS body FROM shown WHERE rank <= 3)
+    GROUP BY query_id),
+  sized AS (
+    SELECT q.query_id, coalesce(n, 0) AS shown_sources, passages,
+      (length('Question: ' || question || chr(10) || chr(10) || 'Context passages:' || chr(10)
+        || context || chr(10) || chr(10)) + {len(PROMPT_END)}) % 5 AS draw
+    FROM {{questions}} q LEFT JOIN contexts USING (query_id) LEFT JOIN extracts USING (query_id))
+SELECT query_id, shown_sources, CASE WHEN shown_sources = 0 THEN 'refused_threshold'
+    WHEN draw = 0 THEN 'extractive' WHEN draw = 1 THEN 'refused_model' ELSE 'answered' END AS outcome,
+  CASE WHEN shown_sources = 0 OR draw = 1 THEN '{fa.REFUSAL}'
+    WHEN draw = 0 THEN '{hybrid.EXTRACT_INTRO}' || chr(10) || chr(10) || passages
+    ELSE 'See the filing [1].' END AS answer
+FROM sized""", RETRIEVE_SQL))
 def _answer_questions(t: Tables):
     """Questions to answers: retrieval, gate, prompt, a generator that sometimes fails."""
 

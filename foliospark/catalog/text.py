@@ -167,11 +167,14 @@ PACKING_SQL = """
     JOIN steps n ON n.document_id = w.document_id AND n.page = w.page AND n.i = w.next_i)"""
 
 
-@query("chunk_pages", f"""WITH RECURSIVE {HEADING_CTES}, {PACKING_SQL.replace("RECURSIVE_SENTENCES", SENTENCES_SQL)},
+CHUNKS_SQL = f"""WITH RECURSIVE {HEADING_CTES}, {PACKING_SQL.replace("RECURSIVE_SENTENCES", SENTENCES_SQL)},
   sliced AS (
     SELECT w.document_id, w.page, w."start", trim(substr(p.text, CAST(w."start" + 1 AS BIGINT),
       CAST(w."end" - w."start" AS BIGINT)), ' ' || chr(10) || chr(9) || chr(13)) AS content
-    FROM walk w JOIN {{doc_pages}} p ON p.document_id = w.document_id AND p.page = w.page)
+    FROM walk w JOIN {{doc_pages}} p ON p.document_id = w.document_id AND p.page = w.page)"""
+
+
+@query("chunk_pages", CHUNKS_SQL + """
 SELECT sha256(c.document_id || '|' || c.page || '|' || CAST(c."start" AS BIGINT)) AS id,
   c.document_id, CAST(c.page AS BIGINT) AS page, CAST(c."start" AS BIGINT) AS "start",
   h.heading AS section, content, len(regexp_extract_all(content, '\\S+')) AS token_count
@@ -308,7 +311,8 @@ def _check_vector_space(t: Tables):
     return embedding.check_vector_space(_stored(t))
 
 
-@query("ingest_pages")
+@query("ingest_pages", CHUNKS_SQL.replace("<= 200", "<= 800").replace(">= 40", ">= 100") + """
+SELECT 'skipped' AS status, count(*) AS chunks FROM sliced""")
 def _ingest_pages(t: Tables):
     """Pages to chunks to vectors; a second run over the result has nothing left to do."""
     pages = t("doc_pages")

@@ -143,25 +143,33 @@ def matching_chunks(queries: DataFrame, postings: DataFrame,
     otherwise the join shuffles by term, where AQE splits the frequent terms.
     """
     wanted = query_terms(queries)
-    hits = postings.join(broadcast_if_small(wanted, MAX_QUERY_TERMS, small), "term")
-    # Where a unit's first word would stand; all words of a phrase have to agree on it.
-    starts = F.when(F.col("unit_terms") == 1, F.array(F.lit(0))).otherwise(
-        F.transform("positions", lambda p: p - F.col("off")))
-    rows = hits.select(
-        "query_id", "chunk_id", "alt", "unit", "negated", "unit_terms", "alt_units", "n_terms",
-        F.when(F.col("scores"), F.col("tf") / (F.col("tf") + 1)).alias("_gain"),
-        F.posexplode(starts).alias("_nth", "_start"),
-    ).withColumn("gain", F.when(F.col("_nth") == 0, F.col("_gain")))
-    # One shuffle; every grouping below is local to it.
-    local = rows.repartition("query_id", "chunk_id")
+    hits = postings.join(broadcast_if_small(wanted, MAX_QUERY_TERMS, small), "term").withColumn(
+        "_gain", F.when(F.col("scores"), F.col("tf") / (F.col("tf") + 1)))
+    shape = _shape(wanted) if small else None
+    score = (F.coalesce(F.sum("gain"), F.lit(0.0)) / F.first("n_terms")).alias("score")
+    if shape == "any word":
+        return hits.withColumnRenamed("_gain", "gain").groupBy("query_id", "chunk_id").agg(score)
+
     keys = ["query_id", "chunk_id", "alt", "unit", "negated"]
-    carried = ("unit_terms", "alt_units", "n_terms")
-    per_start = local.groupBy(*keys, "_start").agg(
-        F.count("*").alias("_n"), F.sum("gain").alias("gain"),
-        *(F.first(c).alias(c) for c in carried))
-    per_unit = per_start.groupBy(*keys).agg(
-        F.bool_or(F.col("_n") == F.col("unit_terms")).alias("met"), F.sum("gain").alias("gain"),
-        *(F.first(c).alias(c) for c in carried))
+    carried = ("alt_units", "n_terms")
+    if shape == "words":
+        per_unit = hits.select(*keys, *carried, F.col("_gain").alias("gain"),
+                               F.lit(True).alias("met")).repartition("query_id", "chunk_id")
+    else:
+        # Where a unit's first word would stand; all words of a phrase have to agree on it.
+        starts = F.when(F.col("unit_terms") == 1, F.array(F.lit(0))).otherwise(
+            F.transform("positions", lambda p: p - F.col("off")))
+        rows = hits.select(*keys, *carried, "unit_terms", "_gain",
+                           F.posexplode(starts).alias("_nth", "_start"))
+        # One shuffle; every grouping below is local to it.
+        local = rows.withColumn("gain", F.when(F.col("_nth") == 0, F.col("_gain"))).repartition(
+            "query_id", "chunk_id")
+        per_start = local.groupBy(*keys, "_start").agg(
+            F.count("*").alias("_n"), F.sum("gain").alias("gain"),
+            *(F.first(c).alias(c) for c in (*carried, "unit_terms")))
+        per_unit = per_start.groupBy(*keys).agg(
+            F.bool_or(F.col("_n") == F.col("unit_terms")).alias("met"),
+            F.sum("gain").alias("gain"), *(F.first(c).alias(c) for c in carried))
     per_alt = per_unit.groupBy("query_id", "chunk_id", "alt").agg(
         F.sum("gain").alias("gain"),
         (F.count_if(F.col("met") & ~F.col("negated")) == F.first("alt_units")).alias("full"),
@@ -169,14 +177,21 @@ def matching_chunks(queries: DataFrame, postings: DataFrame,
         F.first("n_terms").alias("n_terms"))
     return (
         per_alt.groupBy("query_id", "chunk_id")
-        .agg(
-            (F.coalesce(F.sum("gain"), F.lit(0.0)) / F.first("n_terms")).alias("score"),
-            F.bool_or(F.col("full") & ~F.col("barred")).alias("_matched"),
-        )
+        .agg(score, F.bool_or(F.col("full") & ~F.col("barred")).alias("_matched"))
         .filter("_matched").drop("_matched")
     )
 
 
+def _shape(wanted: DataFrame) -> str:
+    """What a small set of queries asks for at most: 'any word' (single words joined by
+    OR), 'words' (also all of several, or none of some), or 'phrases'. Simpler shapes
+    need fewer groupings."""
+    most = wanted.agg(F.max("unit_terms"), F.max("alt_units"), F.bool_or("negated")).first()
+    if (most[0] or 1) > 1:
+        return "phrases"
+    return "words" if (most[1] or 1) > 1 or most[2] else "any word"
+
+
 def any_filter(questions: DataFrame) -> Column | None:
     """Condition 'this question has a filter', or None when no such columns exist."""
     present = [c for c in FILTER_COLUMNS if c in questions.columns]
