@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import word_set
-from foliospark.session import broadcast_if_small, pin_small
+from foliospark.session import broadcast_if_small, pin_small, stored
 
 # Words that never identify an entity when routing.
 ROUTING_STOP_WORDS = (
@@ -52,6 +52,17 @@ def _is_subsequence(short: Column, text: Column) -> Column:
     return matched == F.length(short)
 
 
+def strong_score(query: Column, symbol: Column, name: Column, words: Column) -> Column:
+    """Score of the rules that identify an entity beyond doubt, null when none applies."""
+    return (
+        F.when(symbol == query, 1000)
+        .when(F.startswith(symbol, query), 900 - (F.length(symbol) - F.length(query)))
+        .when(name == query, 850)
+        .when(F.array_contains(words, query), 820)
+        .when(F.exists(words, lambda w: F.startswith(w, query)), 700)
+    )
+
+
 def match_score(query: Column, symbol: Column, name: Column, words: Column) -> Column:
     """Score of one entity for a trimmed lower-case query; symbol, name and words are
     lower case too. Substring matches score 400 and up, typo matches at most 200."""
@@ -66,17 +77,10 @@ def match_score(query: Column, symbol: Column, name: Column, words: Column) -> C
     ).cast("int")
     loose = F.when(
         (F.length(query) >= 3) & _is_subsequence(query, symbol), 120).otherwise(0)
-    return (
-        F.when(symbol == query, 1000)
-        .when(F.startswith(symbol, query), 900 - (F.length(symbol) - F.length(query)))
-        .when(name == query, 850)
-        .when(F.array_contains(words, query), 820)
-        .when(F.exists(words, lambda w: F.startswith(w, query)), 700)
-        .when(F.contains(symbol, query), 601 - F.instr(symbol, query))
-        .when(F.contains(name, query), 500 - F.least(F.instr(name, query) - 1, F.lit(99)))
-        .when(fuzzy > 0, fuzzy)
-        .otherwise(loose)
-    )
+    inside = F.when(F.contains(symbol, query), 601 - F.instr(symbol, query)).when(
+        F.contains(name, query), 500 - F.least(F.instr(name, query) - 1, F.lit(99)))
+    return F.coalesce(strong_score(query, symbol, name, words), inside,
+                      F.when(fuzzy > 0, fuzzy), loose)
 
 
 def score_entities(queries: DataFrame, entities: DataFrame, limit: int = 5,
@@ -224,8 +228,8 @@ def route_questions(questions: DataFrame, entities: DataFrame) -> tuple[DataFram
     low = F.lower(only["name"])
 
     def without_only(group: Column) -> Column:
-        score = match_score(group["key"], F.lower(only["symbol"]), low, _name_words(low))
-        return score != group["top"]
+        score = strong_score(group["key"], F.lower(only["symbol"]), low, _name_words(low))
+        return F.coalesce(score, F.lit(0)) != group["top"]
 
     by_size = F.sort_array(F.transform("_groups", lambda g: F.struct(
         g["size"].alias("size"), g["n"].alias("n"), g["i"].alias("i"), g["key"].alias("key"))))
@@ -240,6 +244,7 @@ def route_questions(questions: DataFrame, entities: DataFrame) -> tuple[DataFram
         "reason",
         F.when((F.col("_n") >= 2) | F.col("_other").isNotNull(), F.lit("multiple"))
         .when((F.col("_n") == 0) & F.col("_group").isNotNull(), F.lit("ambiguous")))
+    decided = stored(decided, "routes")  # one short row per question, read twice below
     decisions = decided.select(
         "question_id",
         F.when(F.col("reason").isNotNull(), F.lit("choose"))

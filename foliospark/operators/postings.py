@@ -49,10 +49,16 @@ def refresh_postings(postings: DataFrame, changed: DataFrame) -> DataFrame:
 def postings_for(queries: DataFrame, chunks: DataFrame, small: bool | None = None) -> DataFrame:
     """Postings of just the queried terms, straight from chunks: tokens are filtered
     against the query vocabulary before anything is grouped or shuffled. ``small`` tells
-    that the queries are known to be few; None has them counted."""
-    vocabulary = query_terms(queries).select("term").distinct()
-    return _group(token_rows(chunks).join(
-        broadcast_if_small(vocabulary, MAX_QUERY_TERMS, small), "term", "left_semi"))
+    that the queries are known to be few; None has them counted. Positions are collected
+    only when a phrase needs them."""
+    wanted = query_terms(queries)
+    vocabulary = wanted.select("term").distinct()
+    tokens = token_rows(chunks).join(
+        broadcast_if_small(vocabulary, MAX_QUERY_TERMS, small), "term", "left_semi")
+    if small and _shape(wanted) != "phrases":
+        return tokens.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).withColumn(
+            "positions", F.lit(None).cast("array<int>"))
+    return _group(tokens)
 
 
 def _bucket(buckets: int) -> Column:
