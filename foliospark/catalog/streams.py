@@ -32,7 +32,6 @@ SELECT symbol, doc_type, source_url, nse_seq_id, ledger_key FROM fresh WHERE nth
 def _stream_new_filings(t: Tables):
     out, seen = shared_folder(t.spark, "filings"), shared_folder(t.spark, "ledger")
     ledger.write_ledger(t("ledger"), seen)
-    # Microseconds keep the order of arrival that the feed's own format would round off.
     feed = _derived_stream(t, "announcements", "events").withColumn(
         "an_dt", F.date_format("ts", ff.FEED_TIMESTAMP)).drop("ts", "event_id")
     filings.stream_new_filings(
