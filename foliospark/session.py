@@ -31,18 +31,24 @@ def build_session(app_name: str = "foliospark", cores: int | str = "*",
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir`` for one written table or checkpoint.
+_local_folders: dict[str, str] = {}
 
-    A machine-local folder is made up only for local masters (tests); on a cluster
-    the setting has to name storage that every executor can reach.
+
+def shared_folder(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A new folder under ``base``, or else under ``spark.checkpoint.dir``, for one written
+    table or checkpoint.
+
+    A folder of its own is made up only for local masters (tests); on a cluster the setting
+    has to name storage that every executor can reach.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _local_folders:
+            _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = _local_folders[context.applicationId]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
