@@ -1,7 +1,7 @@
 """Sequences of at most ``window`` tokens, cut in the order of the documents.
 
 A window may end behind a document (free), behind a sentence (``sentence_cost``), or within a
-sentence longer than a window (``inside_cost``); what a window lacks to its padded length
+long sentence (``inside_cost``); what a window lacks to its padded length
 costs one for each token. Windows are padded to ``window`` ids, but one whose length is a
 power of two stays as it is. The cheapest cuts of a run of documents come from dynamic
 programming:
@@ -29,7 +29,9 @@ from foliospark.llm.wavelet import in_order
 WINDOW = 1024
 #: Padding tokens that a cut is worth.
 SENTENCE_COST = 2
-INSIDE_COST = 32
+INSIDE_COST = 8
+#: Ids between two places where a sentence may be cut.
+INSIDE_STEP = 32
 #: Ids after which a task packs what it has; the last window of a run may be padded.
 RUN_IDS = 1 << 20
 
@@ -38,16 +40,18 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 
 
 def cuts(ends: np.ndarray, stops: np.ndarray, window: int = WINDOW,
-         sentence_cost: int = SENTENCE_COST, inside_cost: int = INSIDE_COST) -> np.ndarray:
+         sentence_cost: int = SENTENCE_COST, inside_cost: int = INSIDE_COST,
+         inside_step: int = INSIDE_STEP) -> np.ndarray:
     """The cheapest window borders, 0 and the last end included.
 
     ``ends``: places behind the documents, ascending; ``stops``: those behind sentences.
     """
     total = int(ends[-1])
     borders = np.union1d(np.append(ends, 0), stops[(stops > 0) & (stops < total)])
-    gaps = np.flatnonzero(np.diff(borders) > window)
-    inner = [np.arange(borders[g] + window, borders[g + 1], window) for g in gaps]
-    inner = np.concatenate(inner) if inner else np.zeros(0, np.int64)
+    # A long sentence gets places of its own, every ``inside_step`` ids.
+    more = (np.diff(borders) - 1) // inside_step
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    inner = np.repeat(borders[:-1], more) + nth * inside_step
     places = np.union1d(borders, inner)
     cost = np.where(np.isin(places, ends), 0, sentence_cost)
     cost[np.isin(places, inner)] = inside_cost
