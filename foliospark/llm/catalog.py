@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, jaccard, packing, repeats, wavelet
+from foliospark.llm import decontaminate, jaccard, langmix, packing, repeats, wavelet
 from foliospark.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,8 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmix.identify(table(spark, sf_dir, "documents")).drop("mixture")
