@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, jaccard, langmix, packing, repeats, wavelet
+from foliospark.llm import decontaminate, jaccard, langmix, lblm, packing, repeats, wavelet
 from foliospark.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmix.identify(table(spark, sf_dir, "documents")).drop("mixture")
+
+
+@query
+def op6_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lblm.score_documents(table(spark, sf_dir, "documents"))
