@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import decontaminate, jaccard, langmix, lblm, packing, repeats, wavelet
+from foliospark.llm import decontaminate, jaccard, langmix, lblm, packing, repeats, rules, wavelet
 from foliospark.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,11 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lblm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op5_risk_controlled_rules"] = rules.ORACLE
