@@ -35,9 +35,9 @@ from foliospark.llm.texts import bounded_batches, eight_bytes, hashes_of, mix, p
 from foliospark.session import stored
 
 LENGTH = 50
-GRAM = 20
+GRAM = 16
 #: Text bytes of a shard whose anchors are sorted together.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Text bytes that a bucket or a group of documents stands for.
 GROUP_BYTES = 16 << 20
 #: Strings of one stretch at most.
@@ -46,13 +46,12 @@ STRETCH = 200
 # Odd 64-bit constants of the gram hash.
 _SEED, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-_RESULT = ("kind int, doc_id bigint, text_key bigint, n_bytes bigint, n_removed bigint, "
-           "n_spans bigint, kept_sha256 string, removed array<bigint>, place int, blob binary")
+_RESULT = ("doc_id bigint, text_key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
+           "kept_sha256 string, removed array<bigint>")
 _ROW = pa.schema([
-    ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()),
-    ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-    ("kept_sha256", pa.string()), ("removed", pa.list_(pa.int64())), ("place", pa.int32()),
-    ("blob", pa.binary())])
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_bytes", pa.int64()),
+    ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
+    ("removed", pa.list_(pa.int64()))])
 
 
 def _blob(**columns: np.ndarray) -> bytes:
@@ -65,19 +64,27 @@ def _blob(**columns: np.ndarray) -> bytes:
 
 
 def _unblob(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
-    table = pa.concat_tables(tables)
+    return _columns(pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]))
+
+
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
     return {n: table.column(n).combine_chunks().to_numpy(zero_copy_only=False)
             for n in table.column_names}
 
 
 def _stretches(texts, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, start in the bytes, number of strings, anchor) of every stretch."""
+    """(text, start in the bytes, number of strings, anchor, hashes of what stands before and
+    behind the anchor) of every stretch.
+
+    A string has half of what it is longer than the anchor on one side of it at least, so two
+    strings are equal only where one of the two one-byte hashes is. They are 0 where a stretch
+    has its anchor more than once.
+    """
     data = texts.data
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none, none
     view = eight_bytes(data)[:n]
     with np.errstate(over="ignore"):
         low = np.full(n, np.uint64(gram)) * _SEED
@@ -88,8 +95,8 @@ def _stretches(texts, length: int, gram: int) -> tuple[np.ndarray, ...]:
                 word &= np.uint64((1 << 8 * (gram - at)) - 1)
             low = (low ^ word) * _ODD
             low ^= low >> np.uint64(31)
-    # Least hash over all grams of each string, by doubling.
-    width, reach = length - gram + 1, 1
+    # The least of all grams of each string, by doubling.
+    own, width, reach = low.copy(), length - gram + 1, 1
     while reach * 2 <= width:
         low[:n - reach] = np.minimum(low[:n - reach], low[reach:])
         reach *= 2
@@ -108,11 +115,28 @@ def _stretches(texts, length: int, gram: int) -> tuple[np.ndarray, ...]:
         part, nth = expand(np.zeros(len(run), np.int64), -(-run // STRETCH))
         first = first[part] + nth * STRETCH
         run = np.minimum(STRETCH, run[part] - nth * STRETCH)
-    return text[first], at[first], run, value[first]
+    text, start, anchor = text[first], at[first], value[first]
+    seen, place = np.zeros(len(start), np.int64), start.copy()
+    rows = np.arange(len(start))
+    for k in range(2 * width - 1):
+        rows = rows[run[rows] + width - 1 > k]
+        here = rows[own[start[rows] + k] == anchor[rows]]
+        place[here[seen[here] == 0]] += k
+        seen[here] += 1
+    side = (length - gram) // 2
+    lo, hi = texts.offsets[:-1][text], texts.offsets[1:][text]
+    sides = []
+    for a, b in ((np.maximum(place - side, lo), place),
+                 (place + gram, np.minimum(place + gram + side, hi))):
+        once = (hashes_of(data, a, b) % np.uint64(255)).astype(np.uint8) + np.uint8(1)
+        sides.append(np.where((seen == 1) & (run <= width), once, np.uint8(0)))
+    return text, start, run, anchor, *sides
 
 
 def _text_keys(texts) -> np.ndarray:
-    return hashes_of(texts.data, texts.offsets[:-1], texts.offsets[1:]).view(np.int64)
+    """32-bit hashes that tell apart the texts of rows with the same doc_id."""
+    return (hashes_of(texts.data, texts.offsets[:-1], texts.offsets[1:])
+            >> np.uint64(32)).astype(np.int64)
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -124,21 +148,7 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def _place_of(doc_id: np.ndarray, places: int) -> np.ndarray:
-    """pmod(xxhash64(doc_id), places), as Spark works it out."""
-    # The primes of xxHash64.
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (
-        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63,
-        0x27D4EB2F165667C5))
-
-    def turn(x, n):
-        return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-
-    with np.errstate(over="ignore"):
-        h = (np.uint64(42 + 8) + p5) ^ (turn(doc_id.astype(np.int64).view(np.uint64) * p2, 31) * p1)
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-    return ((h ^ (h >> np.uint64(32))).view(np.int64) % places).astype(np.int32)
+    return (mix(doc_id.astype(np.int64).view(np.uint64)) % np.uint64(places)).astype(np.int32)
 
 
 def _by(at: np.ndarray, **columns):
@@ -161,6 +171,46 @@ def _sent(rows) -> pa.RecordBatch:
                                       names=["place", "blob"])
 
 
+def _entry_blobs(places: int, anchor, stretch, doc, key, start, run, before, behind):
+    """Entries of a shard by place, in text order: 40 bits of the anchor besides the place, 48
+    of the stretch, and what zstd makes small (steps of the start, rows of one document)."""
+    order = np.argsort(anchor % np.uint64(places), kind="stable")
+    place = (anchor % np.uint64(places))[order].astype(np.int64)
+    anchor = mix(anchor[order])
+    stretch, doc, key, start, run, before, behind = (
+        v[order] for v in (stretch, doc, key, start, run, before, behind))
+    for a, b in _ranges(_groups(place)):
+        row = _groups(doc[a:b], key[a:b])
+        step = np.diff(start[a:b], prepend=0)
+        step[row] = start[a:b][row]
+        yield int(place[a]), _blob(
+            anchor=(anchor[a:b] >> np.uint64(32)).astype(np.uint32),
+            anchor_low=(anchor[a:b] & np.uint64(255)).astype(np.uint8),
+            stretch=(stretch[a:b] >> np.uint64(32)).astype(np.uint32),
+            stretch_low=(stretch[a:b] & np.uint64(65535)).astype(np.uint16),
+            step=step.astype(np.uint32), run=run[a:b].astype(np.uint8), row=row,
+            before=before[a:b], behind=behind[a:b]) + _blob(
+            doc=doc[a:b][row], key=key[a:b][row].astype(np.uint32))
+
+
+def _read_entries(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    found = []
+    for blob in blobs:
+        source = pa.BufferReader(blob)
+        e, rows = (_columns(pa.ipc.open_stream(source).read_all()) for _ in range(2))
+        head = e["row"].astype(bool)
+        at = np.cumsum(head) - 1
+        through = np.cumsum(e["step"].astype(np.int64))
+        first = np.flatnonzero(head)
+        found.append({
+            "anchor": (e["anchor"].astype(np.uint64) << np.uint64(8)) | e["anchor_low"],
+            "stretch": (e["stretch"].astype(np.uint64) << np.uint64(16)) | e["stretch_low"],
+            "doc": rows["doc"][at], "key": rows["key"].astype(np.int64)[at],
+            "start": through - (through[first] - e["step"][first])[at], "run": e["run"],
+            "before": e["before"], "behind": e["behind"]})
+    return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+
+
 def _anchor_entries(places: int, length: int, gram: int, shard_bytes: int):
     """Step 1. Places below zero are groups of documents: what the shard has settled itself."""
     def entries(batches):
@@ -169,9 +219,9 @@ def _anchor_entries(places: int, length: int, gram: int, shard_bytes: int):
                 ids = rows.column(0)
                 doc_of = ids.fill_null(0).to_numpy(zero_copy_only=False)
                 known = ids.is_valid().to_numpy(zero_copy_only=False)
-                text, at, run, anchor = _stretches(texts, length, gram)
-                ok = known[text]
-                text, at, run, anchor = text[ok], at[ok], run[ok], anchor[ok]
+                found = _stretches(texts, length, gram)
+                ok = known[found[0]]
+                text, at, run, anchor, before, behind = (v[ok] for v in found)
                 if not len(text):
                     continue
                 stretch = hashes_of(texts.data, at, at + run + (length - 1))
@@ -183,19 +233,37 @@ def _anchor_entries(places: int, length: int, gram: int, shard_bytes: int):
                 repeat = np.zeros(len(doc), dtype=bool)
                 repeat[order] = doc[order] > least
                 new = ~repeat
-                yield _sent(_by((anchor[new] % np.uint64(places)).astype(np.int64),
-                                anchor=anchor[new], stretch=stretch[new], doc=doc[new],
-                                key=key[new], start=start[new].astype(np.uint32),
-                                run=run[new].astype(np.uint8)))
+                yield _sent(_entry_blobs(places, anchor[new], stretch[new], doc[new], key[new],
+                                         start[new], run[new], before[new], behind[new]))
                 if repeat.any():
                     yield _sent((-1 - p, b) for p, b in _by(
                         _place_of(doc[repeat], places), doc=doc[repeat], key=key[repeat],
-                        start=start[repeat].astype(np.uint32), run=run[repeat].astype(np.uint8),
+                        start=start[repeat], run=run[repeat].astype(np.uint8),
                         anchor=np.zeros(int(repeat.sum()), np.uint64),
                         whole=np.ones(int(repeat.sum()), bool)))
     return entries
 
 
+def _may_meet(anchor, doc, before, behind) -> np.ndarray:
+    """Which stretches have the hash before or the one behind the anchor in common with a
+    stretch of another document. Anchors come sorted; a hash of 0 meets all."""
+    met = np.zeros(len(anchor), dtype=bool)
+    for side in (before, behind):
+        order = np.lexsort([side, anchor])
+        first = np.flatnonzero(_groups(anchor[order], side[order]))
+        size = np.diff(np.append(first, len(order)))
+        if len(first):
+            d = doc[order]
+            met[order] |= np.repeat(np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first),
+                                    size)
+    if len(anchor):
+        first = np.flatnonzero(_groups(anchor))
+        size = np.diff(np.append(first, len(anchor)))
+        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        met |= np.repeat(several & (np.minimum.reduceat(before, first) == 0), size)
+    return met
+
+
 def _merge_bucket(places: int):
     """Step 2: (group of documents, stretches that are repeats or still open)."""
     def merged(table: pa.Table) -> pa.Table:
@@ -203,7 +271,7 @@ def _merge_bucket(places: int):
         blobs = table.column("blob").to_pylist()
         if place < 0:
             return pa.Table.from_batches([_sent((-1 - place, b) for b in blobs)])
-        e = _unblob(blobs)
+        e = _read_entries(blobs)
         order = np.lexsort([e["doc"], e["stretch"], e["anchor"]])
         e = {k: v[order] for k, v in e.items()}
         new_anchor = _groups(e["anchor"])
@@ -212,11 +280,17 @@ def _merge_bucket(places: int):
         group = np.cumsum(new_anchor) - 1
         several_docs = (np.minimum.reduceat(e["doc"], first)
                         < np.maximum.reduceat(e["doc"], first))[group]
-        several = (np.add.reduceat(new_stretch.astype(np.int64), first) > 1)[group]
         least = e["doc"][np.maximum.accumulate(np.where(new_stretch, np.arange(len(group)), 0))]
         whole = e["doc"] > least
-        keep = several_docs & (whole | several)
-        out = {k: e[k][keep] for k in ("doc", "key", "start", "run", "anchor")}
+        # One row for each stretch that could have a string in common with another one's.
+        rows = np.flatnonzero(new_stretch & several_docs)
+        opened = np.zeros(len(group), dtype=bool)
+        opened[rows] = _may_meet(*(e[k][rows] for k in ("anchor", "doc", "before", "behind")))
+        opened = opened[np.maximum.accumulate(np.where(new_stretch, np.arange(len(group)), 0))]
+        keep = whole | opened
+        out = {k: e[k][keep] for k in ("doc", "key", "start", "run")}
+        # Anchors of another bucket are others, even with the same 40 bits.
+        out["anchor"] = mix(e["anchor"][keep] + np.uint64(place << 40))
         return pa.Table.from_batches([_sent(_by(_place_of(out["doc"], places), **out,
                                                 whole=whole[keep]))])
     return merged
@@ -234,68 +308,93 @@ def _mask(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _finished(doc_id, key: int, raw: np.ndarray, start, end) -> dict:
-    mask = _mask(len(raw), start, end)
-    a, b = _spans(mask)
-    return {"kind": 0, "doc_id": doc_id, "text_key": key, "n_bytes": len(raw),
-            "n_removed": int(mask.sum()), "n_spans": len(a),
-            "kept_sha256": hashlib.sha256(raw[~mask].tobytes()).hexdigest(),
-            "removed": np.column_stack([a, b]).ravel().tolist(), "place": None, "blob": None}
-
-
-def _rows(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema=_ROW)
-
-
-def _apply(places: int, length: int):
-    """Documents of a group with their repeats: finished ones (kind 0), those that wait for
-    open stretches (kind 1, their repeats so far), and the text of open stretches (kind 2)."""
-    def applied(docs: pa.Table, found: pa.Table) -> pa.Table:
-        texts = texts_of(docs.column("text"))
-        ids, keys = docs.column("doc_id").to_pylist(), _text_keys(texts)
-        blobs = found.column("blob").to_pylist()
-        f = _unblob(blobs) if blobs else {k: np.zeros(0, np.int64) for k in (
-            "doc", "key", "start", "run", "anchor", "whole")}
-        order = np.lexsort([f["key"], f["doc"]])
-        f = {k: v[order] for k, v in f.items()}
-        ranges = {(int(f["doc"][a]), int(f["key"][a])): (a, b)
-                  for a, b in _ranges(_groups(f["doc"], f["key"]))}
-        out, seen, sent = [], set(), []
-        for i, doc_id in enumerate(ids):
-            raw = texts.data[texts.offsets[i]:texts.offsets[i + 1]]
-            a, b = ranges.get((doc_id, int(keys[i])), (0, 0))
-            whole = f["whole"][a:b].astype(bool)
-            start = f["start"][a:b].astype(np.int64)
-            end = start + f["run"][a:b].astype(np.int64) + (length - 1)
-            row = _finished(doc_id, int(keys[i]), raw, start[whole], end[whole])
-            if not whole.all():
-                row |= {"kind": 1, "place": int(_place_of(np.array([doc_id]), places)[0]),
-                        "blob": raw.tobytes()}
-                if (doc_id, int(keys[i])) not in seen:
-                    seen.add((doc_id, int(keys[i])))
-                    sent.append((f["anchor"][a:b][~whole], start[~whole], end[~whole], doc_id,
-                                 keys[i], raw))
-            out.append(row)
-        if sent:
-            anchor = np.concatenate([s[0] for s in sent])
-            many = [len(s[0]) for s in sent]
-            text = [s[5][x:y].tobytes() for s in sent for x, y in zip(s[1].tolist(), s[2].tolist())]
-            blank = dict.fromkeys(_ROW.names)
-            columns = {"anchor": anchor, "start": np.concatenate([s[1] for s in sent]),
-                       "doc": np.repeat([s[3] for s in sent], many),
-                       "key": np.repeat([s[4] for s in sent], many),
-                       "text": np.array(text, dtype=object)}
-            out += [blank | {"kind": 2, "place": p, "blob": b} for p, b in _by(
-                (mix(anchor) % np.uint64(places)).astype(np.int64), **columns)]
-        return _rows(out)
-    return applied
+def _table_blob(table: pa.RecordBatch | pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
+    with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+        out.write(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _text_blobs(places: int, shard_bytes: int):
+    """Whole rows, packed by group of documents; rows without id by a hash of the text."""
+    def send(batches):
+        for batch in batches:
+            for rows, texts in pieces(batch, size=shard_bytes):
+                ids = rows.column(0)
+                keys = _text_keys(texts)
+                doc = np.where(ids.is_valid().to_numpy(zero_copy_only=False),
+                               ids.fill_null(0).to_numpy(zero_copy_only=False), keys)
+                place = _place_of(doc, places)
+                order = np.argsort(place, kind="stable")
+                yield _sent((int(place[order[a]]), _table_blob(rows.take(pa.array(order[a:b]))))
+                            for a, b in _ranges(_groups(place[order])))
+    return send
+
+
+def _ranges_of(found: pa.Table, names: tuple[str, ...]) -> tuple[dict, dict]:
+    """(columns, row range of each (doc, key)) of what was found for a group."""
+    blobs = found.column("blob").to_pylist()
+    f = _unblob(blobs) if blobs else {k: np.zeros(0, np.int64) for k in names}
+    order = np.lexsort([f["key"], f["doc"]])
+    f = {k: v[order] for k, v in f.items()}
+    return f, {(int(f["doc"][a]), int(f["key"][a])): (a, b)
+               for a, b in _ranges(_groups(f["doc"], f["key"]))}
+
+
+def _documents(docs: pa.Table, found: pa.Table):
+    """(doc_id, key, bytes, its rows of ``found``) of the documents of a group."""
+    blobs, more = docs.column("blob").to_pylist(), found.column("blob").to_pylist()
+    if not blobs:
+        return
+    rows = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
+    texts = texts_of(rows.column("text"))
+    f = _unblob(more) if more else {"doc": np.zeros(0, np.int64), "key": np.zeros(0, np.int64)}
+    order = np.lexsort([f["key"], f["doc"]])
+    f = {k: v[order] for k, v in f.items()}
+    ranges = {(int(f["doc"][a]), int(f["key"][a])): (a, b)
+              for a, b in _ranges(_groups(f["doc"], f["key"]))}
+    for i, (doc_id, key) in enumerate(zip(rows.column("doc_id").to_pylist(),
+                                          _text_keys(texts).tolist())):
+        a, b = ranges.get((doc_id, key), (0, 0))
+        yield (doc_id, key, texts.data[texts.offsets[i]:texts.offsets[i + 1]],
+               {k: v[a:b] for k, v in f.items()})
+
+
+def _open_texts(places: int, length: int):
+    """Repeats of a group (place below zero) and the text of its open stretches."""
+    def opened(docs: pa.Table, found: pa.Table) -> pa.Table:
+        seen, whole, sent, texts = set(), [], [], []
+        for doc_id, key, raw, f in _documents(docs, found):
+            if not len(f["doc"]) or (doc_id, key) in seen:
+                continue
+            seen.add((doc_id, key))
+            start = f["start"].astype(np.int64)
+            end = start + f["run"].astype(np.int64) + (length - 1)
+            done = f["whole"].astype(bool)
+            a, b = _spans(_mask(len(raw), start[done], end[done]))
+            whole.append((np.full(len(a), doc_id), np.full(len(a), key), a, b))
+            left = np.flatnonzero(~done)
+            sent.append((f["anchor"][left], f["doc"][left], f["key"][left], start[left]))
+            texts += [raw[x:y].tobytes() for x, y in zip(start[left].tolist(), end[left].tolist())]
+        out = []
+        if seen:
+            doc, key, a, b = (np.concatenate(c) for c in zip(*whole))
+            if len(doc):
+                out.append((-1 - docs.column("place")[0].as_py(),
+                            _blob(doc=doc, key=key, start=a, end=b)))
+            anchor, doc, key, start = (np.concatenate(c) for c in zip(*sent))
+            out += _by((anchor % np.uint64(places)).astype(np.int64), doc=doc, key=key,
+                       start=start, text=np.array(texts, dtype=object))
+        return pa.Table.from_batches([_sent(out)])
+    return opened
 
 
 class _Shard:
     """Strings of some open stretches: sorted, with the smallest document of each."""
 
     def __init__(self, stretches: dict[str, np.ndarray], length: int):
-        self.stretches = stretches
+        self.stretches, self.length = stretches, length
         size = np.fromiter(map(len, stretches["text"]), np.int64, len(stretches["text"]))
         data = np.frombuffer(b"".join(stretches["text"]), np.uint8)
         begin = np.cumsum(size) - size
@@ -325,7 +424,7 @@ class _Shard:
     def repeats(self) -> dict[str, np.ndarray]:
         at = np.flatnonzero(self.doc > self.least[self.group])
         return {"doc": self.doc[at], "key": self.stretches["key"][self.row[at]],
-                "start": self.start[at]}
+                "start": self.start[at], "end": self.start[at] + self.length}
 
 
 def _resolve(places: int, length: int, shard_bytes: int):
@@ -345,30 +444,24 @@ def _resolve(places: int, length: int, shard_bytes: int):
             for other in shards[i + 1:]:
                 shard.meet(other)
         found = [s.repeats() for s in shards]
-        out = {k: np.concatenate([f[k] for f in found]) for k in ("doc", "key", "start")}
+        out = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
         return pa.Table.from_batches([_sent(_by(_place_of(out["doc"], places), **out))])
     return resolved
 
 
-def _finish(length: int):
-    """Waiting documents with the repeats of step 3."""
-    def finished(docs: pa.Table, found: pa.Table) -> pa.Table:
-        blobs = found.column("blob").to_pylist()
-        f = _unblob(blobs) if blobs else {k: np.zeros(0, np.int64) for k in ("doc", "key", "start")}
-        order = np.lexsort([f["key"], f["doc"]])
-        f = {k: v[order] for k, v in f.items()}
-        ranges = {(int(f["doc"][a]), int(f["key"][a])): (a, b)
-                  for a, b in _ranges(_groups(f["doc"], f["key"]))}
-        out = []
-        for row in docs.to_pylist():
-            a, b = ranges.get((row["doc_id"], row["text_key"]), (0, 0))
-            start = f["start"][a:b].astype(np.int64)
-            old = np.array(row["removed"], np.int64).reshape(-1, 2)
-            out.append(_finished(row["doc_id"], row["text_key"],
-                                 np.frombuffer(row["blob"], np.uint8),
-                                 np.append(old[:, 0], start), np.append(old[:, 1], start + length)))
-        return _rows(out)
-    return finished
+def _finished(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """Documents of a group without their repeats."""
+    out = {name: [] for name in _ROW.names}
+    for doc_id, key, raw, f in _documents(docs, found):
+        start, end = (f[k] if len(f["doc"]) else np.zeros(0, np.int64) for k in ("start", "end"))
+        mask = _mask(len(raw), start, end)
+        a, b = _spans(mask)
+        row = (doc_id, key, len(raw), int(mask.sum()), len(a),
+               hashlib.sha256(raw[~mask].tobytes()).hexdigest(),
+               np.column_stack([a, b]).ravel().tolist())
+        for name, value in zip(_ROW.names, row):
+            out[name].append(value)
+    return pa.table(out, schema=_ROW)
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
@@ -378,25 +471,21 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     ``removed`` holds the begin and end of each maximal removed run, in bytes of the UTF-8
     text, one after another. A null text is empty. A row without doc_id is neither changed nor
     compared. Rows with the same doc_id do not repeat each other; equal rows get equal results.
-    ``text_key`` is a hash of the text. Strings count as equal in step 2 when 128 bits of
-    hashes (anchor and stretch) are.
+    ``text_key`` is a 32-bit hash of the text. Strings count as equal in step 2 when 88 bits of
+    hashes (anchor and stretch, in one bucket) are.
     """
     docs = bounded_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = max(1, math.ceil(total / group_bytes))
     blob = "place int, blob binary"
 
-    spread = F.coalesce("doc_id", F.xxhash64("text"))
-    place_of_docs = F.pmod(F.xxhash64(spread), F.lit(places)).cast("int")
     entries = docs.mapInArrow(_anchor_entries(places, length, gram, shard_bytes), blob)
     found = entries.groupBy("place").applyInArrow(_merge_bucket(places), blob)
-    state = stored(
-        docs.withColumn("place", place_of_docs).groupBy("place").cogroup(
-            found.groupBy("place")).applyInArrow(_apply(places, length), _RESULT),
-        "repeats")
-    opened = state.filter("kind = 2").select("place", "blob").groupBy("place") \
+    texts = docs.mapInArrow(_text_blobs(places, shard_bytes), blob)
+    state = stored(texts.groupBy("place").cogroup(found.groupBy("place"))
+                   .applyInArrow(_open_texts(places, length), blob), "repeats")
+    settled = state.filter("place < 0").select((-1 - F.col("place")).alias("place"), "blob")
+    opened = state.filter("place >= 0").groupBy("place") \
         .applyInArrow(_resolve(places, length, shard_bytes), blob)
-    waiting = state.filter("kind = 1").groupBy("place").cogroup(opened.groupBy("place")) \
-        .applyInArrow(_finish(length), _RESULT)
-    columns = ["doc_id", "text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
-    return state.filter("kind = 0").select(columns).unionAll(waiting.select(columns))
+    return texts.groupBy("place").cogroup(settled.unionAll(opened).groupBy("place")) \
+        .applyInArrow(_finished, _RESULT)
