@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import cotrain, decontaminate, jaccard, langmix, lblm, packing, repeats, rules, wavelet
+from foliospark.llm import cotrain, decontaminate, html_text, jaccard, langmix, lblm, packing, repeats, rules, wavelet
 from foliospark.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ ORACLES["op5_risk_controlled_rules"] = rules.ORACLE
 def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify(table(spark, sf_dir, "documents"),
                             table(spark, sf_dir, "labels")).select("doc_id", "score", "kept")
+
+
+@query
+def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
