@@ -12,7 +12,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.suffixes import expand, search, suffix_array
@@ -66,6 +66,8 @@ def _shard_matches(words, block: dict) -> tuple[np.ndarray, ...]:
     goes_on[1:] = ((row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1) & (place[1:] == place[:-1] + 1)
                    & (ends[at[1:]] == ends[at[:-1]]))
     head = np.flatnonzero(~goes_on)
+    if not len(at):
+        return (at,) * 5
     last = np.append(head[1:], len(at)) - 1
     text = np.searchsorted(words.first, at[head], "right") - 1
     return (text, row[head], place[head], at[head] - words.first[text],
@@ -87,8 +89,9 @@ def _covered(text: np.ndarray, start: np.ndarray, length: np.ndarray, texts: int
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                 shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: (doc_id, n_words, n_hit, matches).
+                 shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES,
+                 carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns ``carry``, and n_words, n_hit and matches.
 
     ``matches`` holds the longest verbatim matches: (item_id, item_start, start, length), in
     words. ``n_hit`` counts document words inside any match. Null texts have no words; an item
@@ -102,15 +105,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     blocks = max(1, math.ceil(total / block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     spark = docs.sparkSession
-    found = bounded_batches(docs).select(
-        "doc_id", "text", F.array().cast(f"array<{MATCH}>").alias("matches"))
-    kind = found.schema["doc_id"].dataType.simpleString()
+    found = bounded_batches(docs).select(F.struct(*carry).alias("row"), "text").withColumn(
+        "matches", F.array().cast(f"array<{MATCH}>"))
+    row = found.schema["row"].dataType.simpleString()
 
     for i in range(blocks):
         block = spark.sparkContext.broadcast(
             _windows(items.filter(part == i).toArrow().combine_chunks(), window))
         final = i == blocks - 1
-        shape = f"doc_id {kind}, " + ("n_words bigint, n_hit bigint" if final else "text string") \
+        shape = f"row {row}, " + ("n_words bigint, n_hit bigint" if final else "text string") \
             + f", matches array<{MATCH}>"
 
         def matched(batches, block=block, final=final):
@@ -120,24 +123,21 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     yield _with_matches(rows, texts, b, final)
 
         found = found.mapInArrow(matched, shape)
-    return found
+    return found.select("row.*", "n_words", "n_hit", "matches")
 
 
 def _with_matches(rows: pa.RecordBatch, texts, block: dict, final: bool) -> pa.RecordBatch:
     words = words_of(texts.lower(), ALNUM_SPLIT)
     text, row, place, start, length = _shard_matches(words, block)
-    old = pa.concat_arrays([rows.column(2)])
+    id_, gone = block["ids"][row], block["null"][row]
+    old = rows.column(2)
     if len(old.flatten()):                            # from earlier blocks
         o = old.flatten()
-        before = pc.list_parent_indices(old).to_numpy()
-        text = np.append(before, text)
-        id_, gone = (np.append(a, b) for a, b in (
-            (pc.fill_null(o.field("item_id"), 0).to_numpy(), block["ids"][row]),
-            (pc.is_null(o.field("item_id")).to_numpy(zero_copy_only=False), block["null"][row])))
+        text = np.append(pc.list_parent_indices(old).to_numpy(), text)
+        id_ = np.append(pc.fill_null(o.field("item_id"), 0).to_numpy(), id_)
+        gone = np.append(pc.is_null(o.field("item_id")).to_numpy(zero_copy_only=False), gone)
         place, start, length = (np.append(o.field(f).to_numpy(), v) for f, v in (
             ("item_start", place), ("start", start), ("length", length)))
-    else:
-        id_, gone = block["ids"][row], block["null"][row]
     by = np.lexsort([place, id_, length, start, text])
     values = pa.StructArray.from_arrays(
         [pa.array(id_[by], pa.int64(), mask=gone[by]), pa.array(place[by], pa.int64()),
@@ -148,11 +148,16 @@ def _with_matches(rows: pa.RecordBatch, texts, block: dict, final: bool) -> pa.R
     matches = pa.ListArray.from_arrays(pa.array(offsets), values)
     if not final:
         return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), matches],
-                                          names=["doc_id", "text", "matches"])
+                                          names=["row", "text", "matches"])
     return pa.RecordBatch.from_arrays(
         [rows.column(0), pa.array(words.counts(), pa.int64()),
          pa.array(_covered(text, start, length, n), pa.int64()), matches],
-        names=["doc_id", "n_words", "n_hit", "matches"])
+        names=["row", "n_words", "n_hit", "matches"])
+
+
+def is_contaminated() -> Column:
+    """Matches cover a word, and at least a twentieth of the words."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -165,4 +170,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         "doc_id", "n_words", "n_hit", ids.alias("items")).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+        is_contaminated().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows that are not contaminated, as they are."""
+    columns = tuple(docs.columns)
+    found = find_matches(docs, benchmark, window, carry=columns)
+    # A document column may be called n_words or n_hit: the last ones are the counts.
+    named = [f"_{i}" for i in range(len(columns))]
+    return found.toDF(*named, "n_words", "n_hit", "matches").filter(~is_contaminated()) \
+        .select(*[F.col(n).alias(c) for n, c in zip(named, columns)])
