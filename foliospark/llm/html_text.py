@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from html import unescape
-from statistics import pstdev
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -198,8 +197,11 @@ def content_paths(blocks: list[tuple[_Element, str]], threshold: float = THRESHO
     for p, f in zip(paths, fused):
         total[p] += f
     mean = {p: total[p] / count[p] for p in total}
-    least = threshold * pstdev(fused)
-    best = max(mean.values(), default=0)
+    if not fused:
+        return set()
+    middle = sum(fused) / len(fused)
+    least = threshold * (sum((f - middle) ** 2 for f in fused) / len(fused)) ** 0.5
+    best = max(mean.values())
     return {p for p, m in mean.items() if m >= min(least, best)}
 
 
