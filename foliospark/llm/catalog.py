@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import cotrain, decontaminate, html_text, jaccard, langmix, lblm, packing, repeats, rules, wavelet
@@ -85,3 +86,8 @@ def op7_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

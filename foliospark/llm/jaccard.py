@@ -23,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
@@ -117,7 +117,7 @@ def allocate(smallest: int, largest: int, sets: int, percent: int = PERCENT) ->
 
 
 def signatures(element: np.ndarray, text: np.ndarray, size: np.ndarray, edges: np.ndarray,
-               plan: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+               plan: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(key, text) of all keys of some sets, in the scheme of their own band and of each lower
     band in which they can have a similar set. ``plan``: `allocate` of each band."""
     keys, owners = [], []
@@ -128,7 +128,7 @@ def signatures(element: np.ndarray, text: np.ndarray, size: np.ndarray, edges: n
         band = own - steps
         use = (band >= 0) & (size > 0)
         if steps:
-            use &= size <= edges[np.maximum(band, 0)] * 100 // PERCENT
+            use &= size <= edges[np.maximum(band, 0)] * 100 // percent
         if not use.any():
             break
         _scheme_keys(element, text, use, np.maximum(band, 0), plan, keys, owners)
@@ -169,7 +169,7 @@ def _scheme_keys(element, text, use, band, plan, keys, owners) -> None:
         add(content[s] - element[inner], held[s] - 1, owner[s], label[s])
 
 
-def _key_blobs(places: int, shingle: int, edges: np.ndarray, plan: np.ndarray):
+def _key_blobs(places: int, shingle: int, edges: np.ndarray, plan: np.ndarray, percent: int):
     def send(batches):
         for batch in batches:
             for rows, texts in pieces(batch):
@@ -181,7 +181,7 @@ def _key_blobs(places: int, shingle: int, edges: np.ndarray, plan: np.ndarray):
                 once[first] = True
                 keep = once[text]
                 key, owner = signatures(element[keep], text[keep], np.where(once, size, 0), edges,
-                                        plan)
+                                        plan, percent)
                 place = (key % np.uint64(places)).astype(np.int64)
                 yield _sent(_by(place, key=key, set=print_[owner]))
     return send
@@ -288,7 +288,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
                      for i, (lo, hi) in enumerate(zip(np.append(0, edges), edges))])
 
     found = stored(
-        docs.mapInArrow(_key_blobs(places, shingle, edges, plan), "place int, blob binary")
+        docs.mapInArrow(_key_blobs(places, shingle, edges, plan, percent), "place int, blob binary")
         .groupBy("place").applyInArrow(_meet, _FOUND), "met")
     classes = sizes.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
 
@@ -338,3 +338,20 @@ def _own_text(shingle: int):
                 _, print_ = fingerprints(*shingle_sets(texts, shingle), len(texts))
                 yield rows.filter(pa.array(rows.column(0).to_numpy() == print_))
     return keep
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows without near duplicates: of each component the document with the least id
+    stays, of rows that share that id the one whose text sorts first. Texts without words have
+    no duplicates, and rows without an id cannot be told apart; both stay."""
+    found = ngram_components(docs.select("doc_id", "text"), shingle, percent)
+    stays = found.filter("doc_id = component_id").groupBy("doc_id") \
+        .agg(F.max("n_shingles").alias("_n"))
+    columns = docs.columns
+    named = docs.toDF(*[f"_{i}" for i in range(len(columns))])
+    id_, text = f"_{columns.index('doc_id')}", f"_{columns.index('text')}"
+    first = F.row_number().over(Window.partitionBy(id_).orderBy(text)) == 1
+    kept = named.join(stays, named[id_] == stays["doc_id"]).withColumn("_first", first) \
+        .filter("_first OR _n = 0")
+    rows = kept.select(named.columns).unionAll(named.filter(F.col(id_).isNull()))
+    return rows.toDF(*columns)

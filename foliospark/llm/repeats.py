@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliospark.llm.suffixes import common_prefixes, expand, suffix_array
 from foliospark.llm.texts import bounded_batches, eight_bytes, hashes_of, mix, pieces, texts_of
@@ -342,12 +343,17 @@ def _ranges_of(found: pa.Table, names: tuple[str, ...]) -> tuple[dict, dict]:
                for a, b in _ranges(_groups(f["doc"], f["key"]))}
 
 
-def _documents(docs: pa.Table, found: pa.Table):
+def _unpacked(docs: pa.Table) -> pa.Table | None:
+    """The rows of a group of documents."""
+    blobs = docs.column("blob").to_pylist()
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]) if blobs else None
+
+
+def _documents(rows: pa.Table | None, found: pa.Table):
     """(doc_id, key, bytes, its rows of ``found``) of the documents of a group."""
-    blobs, more = docs.column("blob").to_pylist(), found.column("blob").to_pylist()
-    if not blobs:
+    more = found.column("blob").to_pylist()
+    if rows is None:
         return
-    rows = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs])
     texts = texts_of(rows.column("text"))
     f = _unblob(more) if more else {"doc": np.zeros(0, np.int64), "key": np.zeros(0, np.int64)}
     order = np.lexsort([f["key"], f["doc"]])
@@ -365,7 +371,7 @@ def _open_texts(places: int, length: int):
     """Repeats of a group (place below zero) and the text of its open stretches."""
     def opened(docs: pa.Table, found: pa.Table) -> pa.Table:
         seen, whole, sent, texts = set(), [], [], []
-        for doc_id, key, raw, f in _documents(docs, found):
+        for doc_id, key, raw, f in _documents(_unpacked(docs), found):
             if not len(f["doc"]) or (doc_id, key) in seen:
                 continue
             seen.add((doc_id, key))
@@ -452,7 +458,7 @@ def _resolve(places: int, length: int, shard_bytes: int):
 def _finished(docs: pa.Table, found: pa.Table) -> pa.Table:
     """Documents of a group without their repeats."""
     out = {name: [] for name in _ROW.names}
-    for doc_id, key, raw, f in _documents(docs, found):
+    for doc_id, key, raw, f in _documents(_unpacked(docs), found):
         start, end = (f[k] if len(f["doc"]) else np.zeros(0, np.int64) for k in ("start", "end"))
         mask = _mask(len(raw), start, end)
         a, b = _spans(mask)
@@ -464,6 +470,60 @@ def _finished(docs: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table(out, schema=_ROW)
 
 
+def _without_repeats(schema: pa.Schema):
+    """Rows of a group with what is left of their texts. Removed runs end at whole characters:
+    bytes of a character that stays in part stay."""
+    def cleaned(docs: pa.Table, found: pa.Table) -> pa.Table:
+        rows = _unpacked(docs)
+        if rows is None:
+            return schema.empty_table()
+        texts = []
+        for (_, _, raw, f), old in zip(_documents(rows, found), rows.column("text")):
+            if not len(f["doc"]):
+                texts.append(old.as_py())
+                continue
+            gone = _mask(len(raw), f["start"], f["end"])
+            inner = np.append((raw & 0xC0) == 0x80, False)
+            for a, b in zip(*_spans(gone)):
+                while a < b and inner[a]:
+                    gone[a] = False
+                    a += 1
+                while b > a and inner[b]:
+                    b -= 1
+                    gone[b] = False
+            texts.append(raw[~gone].tobytes().decode("utf-8"))
+        at = rows.schema.get_field_index("text")
+        rows = rows.set_column(at, "text", pa.array(texts, pa.string()))
+        if "n_chars" in rows.schema.names:
+            rows = rows.set_column(
+                rows.schema.get_field_index("n_chars"), "n_chars", pa.array(
+                    [None if t is None else len(t) for t in texts], pa.int64()))
+        return rows.cast(schema)
+    return cleaned
+
+
+def _found(docs: DataFrame, length: int, gram: int, shard_bytes: int,
+           group_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows packed by group, repeats packed by group)."""
+    docs = bounded_batches(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    places = max(1, math.ceil(total / group_bytes))
+    blob = "place int, blob binary"
+
+    found = docs.select("doc_id", "text") \
+        .mapInArrow(_anchor_entries(places, length, gram, shard_bytes), blob) \
+        .groupBy("place").applyInArrow(_merge_bucket(places), blob)
+    texts = docs.select("doc_id", "text") \
+        .mapInArrow(_text_blobs(places, shard_bytes), blob)
+    state = stored(texts.groupBy("place").cogroup(found.groupBy("place"))
+                   .applyInArrow(_open_texts(places, length), blob), "repeats")
+    settled = state.filter("place < 0").select((-1 - F.col("place")).alias("place"), "blob")
+    opened = state.filter("place >= 0").groupBy("place") \
+        .applyInArrow(_resolve(places, length, shard_bytes), blob)
+    rows = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    return rows.mapInArrow(_text_blobs(places, shard_bytes), blob), settled.unionAll(opened)
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
                  shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, text_key, n_bytes, n_removed, n_spans, kept_sha256, removed) per row.
@@ -474,18 +534,21 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     ``text_key`` is a 32-bit hash of the text. Strings count as equal in step 2 when 88 bits of
     hashes (anchor and stretch, in one bucket) are.
     """
-    docs = bounded_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    places = max(1, math.ceil(total / group_bytes))
-    blob = "place int, blob binary"
+    rows, found = _found(docs.select("doc_id", "text"), length, gram, shard_bytes, group_bytes)
+    return rows.groupBy("place").cogroup(found.groupBy("place")).applyInArrow(_finished, _RESULT)
 
-    entries = docs.mapInArrow(_anchor_entries(places, length, gram, shard_bytes), blob)
-    found = entries.groupBy("place").applyInArrow(_merge_bucket(places), blob)
-    texts = docs.mapInArrow(_text_blobs(places, shard_bytes), blob)
-    state = stored(texts.groupBy("place").cogroup(found.groupBy("place"))
-                   .applyInArrow(_open_texts(places, length), blob), "repeats")
-    settled = state.filter("place < 0").select((-1 - F.col("place")).alias("place"), "blob")
-    opened = state.filter("place >= 0").groupBy("place") \
-        .applyInArrow(_resolve(places, length, shard_bytes), blob)
-    return texts.groupBy("place").cogroup(settled.unionAll(opened).groupBy("place")) \
-        .applyInArrow(_finished, _RESULT)
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
+                   shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """The rows without the runs that `find_repeats` finds; a column n_chars follows the text.
+
+    Cuts lie between characters: of a character that a run holds in part nothing goes. No row
+    is dropped; a text that was repeated as a whole is empty. Other columns stay as they are.
+    """
+    columns = docs.columns
+    rows, found = _found(docs, length, gram, shard_bytes, group_bytes)
+    first = ["doc_id", "text"]
+    schema = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).select(
+        *first, *[c for c in columns if c not in first]).schema
+    return rows.groupBy("place").cogroup(found.groupBy("place")).applyInArrow(
+        _without_repeats(to_arrow_schema(schema)), schema).select(*columns)
