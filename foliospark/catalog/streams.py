@@ -72,19 +72,27 @@ def _stream_daily_usage(t: Tables):
 
 
 @query("stream_embed", """
-SELECT CAST(doc_id AS STRING) AS document_id, count(*) AS documents FROM {documents}
+SELECT CAST(doc_id AS STRING) AS document_id, doc_id % 2 = 0 AS in_first_run,
+  CAST(1 AS BIGINT) AS runs, CAST(0 AS BIGINT) AS repeated FROM {documents}
 WHERE regexp_matches(text, '\\S') GROUP BY ALL""")
 def _stream_embed(t: Tables):
-    """Documents streamed into chunks and vectors twice; the second run embeds nothing."""
+    """Every other document streamed into chunks and vectors, then all of them with a new
+    checkpoint: the second run keeps the first one's rows and embeds none of them again."""
     store = shared_folder(t.spark, "store")
-    for _ in range(2):
-        pages = _derived_stream(t, "doc_pages", "documents").repartition(
+    runs = []
+    for wanted in ("CAST(document_id AS BIGINT) % 2 = 0", "true"):
+        pages = _derived_stream(t, "doc_pages", "documents").filter(wanted).repartition(
             t.spark.sparkContext.defaultParallelism)
-        embed.stream_embed(pages, store, shared_folder(t.spark, "checkpoint"), letter_profile,
-                           "letters", separator="\n", backoff=0).awaitTermination()
+        checkpoint = shared_folder(t.spark, "checkpoint")
+        embed.stream_embed(pages, store, checkpoint, letter_profile, "letters", separator="\n",
+                           backoff=0).awaitTermination()
+        runs.append(tables.run_of(t.spark, checkpoint))
     stored = tables.read_versions(t.spark, store, embed.STORED)
-    return stored.filter("status = 'embedded'").groupBy("document_id").agg(
-        F.count_distinct("version").alias("documents"))
+    return stored.filter("status = 'embedded' AND embedding IS NOT NULL") \
+        .groupBy("document_id").agg(
+            (F.max("run") == runs[0]).alias("in_first_run"),
+            F.count_distinct("run").alias("runs"),
+            (F.count("*") - F.count_distinct("id")).alias("repeated"))
 
 
 @query("stream_answers", f"""WITH {FOLD_SQL}
@@ -92,17 +100,25 @@ SELECT request_id, CAST(n_sources AS BIGINT) AS n_sources, answer, refused, erro
   CASE WHEN error IS NOT NULL THEN 'error' WHEN finished THEN 'done' ELSE 'interrupted' END AS outcome
 FROM folded""")
 def _stream_answers(t: Tables):
-    """Event lines landed as files and folded as a stream. Requests without a closing event
-    time out as interrupted once the events of the others have moved the watermark on."""
+    """Event lines landed as files and folded as a stream, one file a batch. A request ends when
+    the watermark has passed its closing event, or its timeout."""
     landed, out = shared_folder(t.spark, "events"), shared_folder(t.spark, "answers")
     stamped = _events(t).withColumn(
         "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.least("seq", F.lit(3000))))
-    answers.event_columns(stamped).write.parquet(landed)
+    # Three files, the closing events in the first: the order of arrival is not that of seq.
+    file = F.when(F.col("type").isin("done", "error"), 0).otherwise(1 + F.col("seq") % 2)
+    # A last event of another day, of a request that stays open, moves the watermark on.
+    tick = stamped.limit(1).withColumns({
+        "request_id": F.lit("tick"), "type": F.lit("tick"),
+        "ts": F.timestamp_seconds(F.lit(1_700_100_000))})
+    for n in range(4):
+        part = stamped.filter(file == n) if n < 3 else tick
+        answers.event_columns(part).coalesce(1).write.mode("append").parquet(landed)
     lines = t.spark.readStream.schema(
         "request_id string, seq bigint, type string, n_sources int, text string, "
-        "refused boolean, error string, ts timestamp").parquet(landed)
+        "refused boolean, error string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(landed)
     (
-        answers.stream_answers(lines).writeStream.outputMode("append").format("parquet")
+        answers.stream_answers(lines, lateness="1 hour").writeStream.outputMode("append").format("parquet")
         .option("path", out).option("checkpointLocation", shared_folder(t.spark, "checkpoint"))
         .trigger(availableNow=True).start().awaitTermination()
     )

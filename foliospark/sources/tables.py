@@ -21,29 +21,43 @@ def upsert(target: DataFrame, source: DataFrame, key: str, order: str | None = N
     return kept.unionByName(fresh.select(*target.columns))
 
 
-def append_version(df: DataFrame, path: str, version: int) -> None:
-    """Adds rows as one version. Writing a version again replaces it, so a retried batch
+def append_version(df: DataFrame, path: str, version: int, run: str = "0") -> None:
+    """Adds rows as one version of a run. Writing it again replaces it, so a retried batch
     leaves the same table; readers see a version only once it is complete."""
     (
-        df.withColumn("version", F.lit(version).cast("bigint"))
+        df.withColumns({"run": F.lit(run), "version": F.lit(version).cast("bigint")})
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("version").parquet(path)
+        .partitionBy("run", "version").parquet(path)
     )
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a stream's checkpoint: the same after a restart, another
+    one with a new checkpoint, whose batches are counted from 0 again."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
+def earlier_versions(spark: SparkSession, path: str, schema: str, run: str,
+                     version: int) -> DataFrame:
+    """All that other runs have written, and this one before the given version."""
+    return read_versions(spark, path, schema).filter(
+        (F.col("run") != run) | (F.col("version") < version))
+
+
 def read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All versions; an empty table before the first write."""
     try:
-        return spark.read.schema(f"{schema}, version bigint").parquet(path)
+        return spark.read.schema(f"{schema}, run string, version bigint").parquet(path)
     except Exception as exc:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        return spark.createDataFrame([], f"{schema}, version bigint")
+        return spark.createDataFrame([], f"{schema}, run string, version bigint")
 
 
 def read_current(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """The newest row of each key over all versions."""
-    return latest_per_key(read_versions(spark, path, schema), key, "version").drop("version")
+    return latest_per_key(read_versions(spark, path, schema), key, "version") \
+        .drop("run", "version")
 
 
 def merge_into(source: DataFrame, table: str, key: str) -> None:

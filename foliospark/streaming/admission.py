@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.functions.guard import REQUESTS_PER_DAY
 from foliospark.operators.admission import number_requests
-from foliospark.sources.tables import append_version, read_versions
+from foliospark.sources.tables import append_version, earlier_versions, run_of
 
 USAGE = "ip string, day date, count bigint"
 
@@ -20,14 +20,15 @@ def stream_admission(requests: DataFrame, decisions_path: str, usage_path: str,
     Within a batch requests are numbered by event time with the slotted count of the
     batch job, so a caller that sends a third of the traffic is not one task. Counts of
     earlier batches come from the usage table; each batch adds its own counts as one
-    version, which makes a retry of the batch harmless.
+    version of its run, which makes a retry of the batch harmless.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        run = run_of(spark, checkpoint)
         numbered = number_requests(batch)
         before = (
-            read_versions(spark, usage_path, USAGE).filter(F.col("version") < batch_id)
+            earlier_versions(spark, usage_path, USAGE, run, batch_id)
             .groupBy("ip", "day").agg(F.sum("count").alias("_before"))
         )
         decided = (
@@ -35,9 +36,9 @@ def stream_admission(requests: DataFrame, decisions_path: str, usage_path: str,
             .withColumn("used", F.col("used") + F.coalesce("_before", F.lit(0)))
             .withColumn("allowed", F.col("used") <= limit).drop("_before")
         )
-        append_version(decided, decisions_path, batch_id)
+        append_version(decided, decisions_path, batch_id, run)
         counts = batch.groupBy("ip", F.to_date("ts").alias("day")).agg(F.count("*").alias("count"))
-        append_version(counts, usage_path, batch_id)
+        append_version(counts, usage_path, batch_id, run)
 
     return (
         requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -11,50 +11,57 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FOLDED = ("request_id string, n_sources int, answer string, refused boolean, error string, "
           "outcome string")
-STATE = "parts string, n_sources int"
+# Events in order of arrival; ``latest`` is the newest event time, ``closes`` the time at which
+# nothing more can arrive.
+STATE = ("seqs array<bigint>, texts array<string>, n_sources bigint, sources_at bigint, "
+         "refused boolean, done_at bigint, error string, error_at bigint, latest bigint, "
+         "closed_at bigint")
+NEVER = -(1 << 62)
+EMPTY = ([], [], 0, NEVER, None, NEVER, None, NEVER, 0, NEVER)
 
 
 def stream_answers(events: DataFrame, timeout: str = "10 minutes",
                    lateness: str = "1 minute") -> DataFrame:
-    """One row per request when its 'done' or 'error' event arrives, or as 'interrupted'
-    once no event has come for ``timeout`` of event time.
-
-    ``events``: request_id, seq, type, n_sources, text, refused, error, ts. The state of a
-    request is the text it has sent so far, which the generator's reply limit bounds.
+    """One row per request: once the watermark has passed its closing ('done' or 'error')
+    event, or as 'interrupted' when no event has come for ``timeout`` of event time.
+
+    ``events``: request_id, seq, type, n_sources, text, refused, error, ts. Events may come
+    in any order over any batches, as long as they are not later than ``lateness``; ``seq``
+    orders them, and the last sources, done and error events count, as in the batch fold.
+    The state of a request is what it has sent so far, which the generator's reply limit
+    bounds.
     """
-    import json
-
-    millis = _millis(timeout)
+    millis, slack = _millis(timeout), _millis(lateness)
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-        request_id = key[0]
-        parts, n_sources = state.get if state.exists else ("[]", 0)
-        pieces = json.loads(parts)
+        held = state.get if state.exists else EMPTY
+        (seqs, texts, n_sources, sources_at, refused, done_at, error, error_at, latest,
+         closed_at) = held
         if state.hasTimedOut:
             state.remove()
-            yield _row(request_id, n_sources, pieces, None, None, "interrupted")
+            yield _row(key[0], n_sources, seqs, texts, refused, error, done_at, error_at)
             return
-        refused = error = closed = None
-        latest = 0
+        seqs, texts = list(seqs), list(texts)
         for frame in frames:
-            for e in frame.itertuples(index=False):
-                if e.type == "sources":
-                    n_sources = int(e.n_sources)
-                elif e.type == "delta":
-                    pieces.append([int(e.seq), e.text])
-                elif e.type == "done":
-                    refused, closed = bool(e.refused), "done"
-                elif e.type == "error":
-                    error, closed = e.error, "error"
-                latest = max(latest, int(pd.Timestamp(e.ts).timestamp() * 1000))
-        if closed:
-            if state.exists:
-                state.remove()
-            yield _row(request_id, n_sources, pieces, refused, error, closed)
-        else:
-            state.update((json.dumps(pieces), n_sources))
-            floor = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(latest, floor) + millis)
+            times = (frame["ts"].astype("int64") // _per_milli(frame["ts"])).tolist()
+            for at, e in zip(times, frame.itertuples(index=False)):
+                seq = int(e.seq)
+                if e.type == "delta":
+                    seqs.append(seq)
+                    texts.append(e.text)
+                elif e.type == "sources" and seq > sources_at:
+                    n_sources, sources_at = int(e.n_sources), seq
+                elif e.type == "done" and seq > done_at:
+                    refused, done_at = bool(e.refused), seq
+                elif e.type == "error" and seq > error_at:
+                    error, error_at = e.error, seq
+                if e.type in ("done", "error"):
+                    closed_at = max(closed_at, at)
+                latest = max(latest, at)
+        state.update((seqs, texts, n_sources, sources_at, refused, done_at, error, error_at,
+                      latest, closed_at))
+        ends = closed_at + slack if closed_at > NEVER else latest + millis
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs()) + 1)
 
     return (
         events.withWatermark("ts", lateness).groupBy("request_id")
@@ -62,11 +69,17 @@ def stream_answers(events: DataFrame, timeout: str = "10 minutes",
     )
 
 
-def _row(request_id, n_sources, pieces, refused, error, outcome) -> pd.DataFrame:
-    text = "".join(t for _, t in sorted(pieces))
+def _row(request_id, n_sources, seqs, texts, refused, error, done_at, error_at) -> pd.DataFrame:
+    text = "".join(t for _, t in sorted(zip(seqs, texts), key=lambda p: p[0]) if t is not None)
+    outcome = "error" if error_at > NEVER else "done" if done_at > NEVER else "interrupted"
     return pd.DataFrame({
-        "request_id": [request_id], "n_sources": [n_sources], "answer": [text],
-        "refused": pd.Series([refused], dtype="object"), "error": [error], "outcome": [outcome]})
+        "request_id": [request_id], "n_sources": pd.Series([n_sources], dtype="int32"),
+        "answer": [text], "refused": pd.Series([refused], dtype="object"), "error": [error],
+        "outcome": [outcome]})
+
+
+def _per_milli(times: pd.Series) -> int:
+    return {"ns": 1_000_000, "us": 1000, "ms": 1}[getattr(times.dtype, "unit", "ns")]
 
 
 def _millis(duration: str) -> int:
