@@ -48,10 +48,10 @@ ENTITY_CTES = f"""
 
 
 @query("score_entities", f"""WITH {ENTITY_CTES}
-SELECT q AS query, symbol, name, CAST(score AS BIGINT) AS score, rank FROM ranked WHERE rank <= 64""")
+SELECT q AS query, symbol, name, CAST(score AS BIGINT) AS score, rank FROM ranked""")
 def _score_entities(t: Tables):
     """Every positive score of every distinct query text."""
-    return entities.score_entities(t("entity_queries"), t("entities"), 64)
+    return entities.score_entities(t("entity_queries"), t("entities"), None)
 
 
 @query("search_entities", f"""WITH {ENTITY_CTES}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import strip
+
 # The refusal phrase, the citation form and the verdict tag.
 REFUSAL = "not found in the covered filings"
 CITATION = r"\[(\d+(?:\s*,\s*\d+)*)\]"
@@ -29,7 +31,7 @@ def verdict_tag(answer: Column) -> Column:
 
 def without_echo(text: Column, question: Column) -> Column:
     """Text without a leading repetition of the question."""
-    asked = F.lower(F.trim(question))
+    asked = F.lower(strip(question))
     lead = F.regexp_replace(text, r"^\s+", "")
     rest = lead.substr(F.length(asked) + 1, F.length(lead))
     return F.when(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import strip
+
 # The keyword recipe and the feed's date formats.
 CONCALL_KEYWORD = "transcript"
 ANNUAL_REPORT_KEYWORD = "annual report"
@@ -23,7 +25,7 @@ def filing_type(desc: Column, text: Column) -> Column:
 
 def sequence_id(raw: Column) -> Column:
     """The feed's filing id as a long; null unless it is all digits."""
-    digits = F.trim(raw)
+    digits = strip(raw)
     return F.when(digits.rlike(r"\A[0-9]+\z"), digits.try_cast("bigint"))
 
 

@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import strip
 from foliospark.schemas import DOC_TYPES
 
 MAX_QUESTION_CHARS = 1000
@@ -28,7 +29,7 @@ INJECTION_PATTERNS = (
 
 
 def looks_like_injection(text: Column) -> Column:
-    return reduce(or_, (text.rlike(f"(?i){p}") for p in INJECTION_PATTERNS))
+    return reduce(or_, (text.rlike(f"(?iU){p}") for p in INJECTION_PATTERNS))
 
 
 def rejection(question: Column, doc_type: Column, top_k: Column,
@@ -39,7 +40,7 @@ def rejection(question: Column, doc_type: Column, top_k: Column,
         return F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
 
     return (
-        F.when(F.coalesce(F.trim(question), F.lit("")) == "", failed(400, "question_required"))
+        F.when(F.coalesce(strip(question), F.lit("")) == "", failed(400, "question_required"))
         .when(~doc_type.isin(*DOC_TYPES), failed(400, "doc_type"))
         .when(top_k <= 0, failed(400, "top_k"))
         .when(F.length(question) > max_chars, failed(413, "too_long"))
@@ -48,10 +49,10 @@ def rejection(question: Column, doc_type: Column, top_k: Column,
 
 
 def client_ip(forwarded_for: Column, real_ip: Column) -> Column:
-    first_hop = F.trim(F.split_part(forwarded_for, F.lit(","), F.lit(1)))
+    first_hop = strip(F.split_part(forwarded_for, F.lit(","), F.lit(1)))
     return (
         F.when(F.length(forwarded_for) > 0, first_hop)
-        .when(F.length(real_ip) > 0, F.trim(real_ip))
+        .when(F.length(real_ip) > 0, strip(real_ip))
         .otherwise(F.lit("unknown"))
     )
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import word_set
+from foliospark.functions.text import strip, word_set
 from foliospark.session import broadcast_if_small, pin_small, stored
 
 # Words that never identify an entity when routing.
@@ -83,31 +83,33 @@ def match_score(query: Column, symbol: Column, name: Column, words: Column) -> C
                       F.when(fuzzy > 0, fuzzy), loose)
 
 
-def score_entities(queries: DataFrame, entities: DataFrame, limit: int = 5,
+def score_entities(queries: DataFrame, entities: DataFrame, limit: int | None = 5,
                    slice_entities: int = SLICE_ENTITIES) -> DataFrame:
     """(query, symbol, name, score, rank): best entities per distinct query text.
 
     Typo matching has no join key, so every query has to see every entity. The entity
     dimension is packed into slices of bounded size; each query row meets each slice by
     an equi-join on the slice number and scores it inside the row, giving out its best
-    ``limit`` only. Equal query texts are scored once.
+    ``limit`` only (None: every positive score). Equal query texts are scored once.
     """
     packed, n_slices = _entity_slices(entities, slice_entities)
     asked = (
-        queries.select(F.lower(F.trim("query")).alias("query")).filter("query <> ''").distinct()
+        queries.select(F.lower(strip(F.col("query"))).alias("query")).filter("query <> ''").distinct()
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
     )
     scored = F.transform("members", lambda e: F.struct(
         (-match_score(F.col("query"), e["sym"], e["low"], e["words"])).alias("neg"),
         e["symbol"].alias("symbol"), e["name"].alias("name")))
-    best = F.slice(F.sort_array(F.filter(scored, lambda s: s["neg"] < 0)), 1, limit)
+    best = F.filter(scored, lambda s: s["neg"] < 0)
+    if limit is not None:
+        best = F.slice(F.sort_array(best), 1, limit)
     rows = asked.join(packed, "slice").select("query", F.inline_outer(best)).filter(
         "neg IS NOT NULL")
     order = Window.partitionBy("query").orderBy("neg", "symbol")
-    return (
-        rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-        .select("query", "symbol", "name", (-F.col("neg")).alias("score"), "rank")
-    )
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.filter(F.col("rank") <= limit)
+    return ranked.select("query", "symbol", "name", (-F.col("neg")).alias("score"), "rank")
 
 
 def _entity_slices(entities: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -123,7 +125,7 @@ def _entity_slices(entities: DataFrame, size: int) -> tuple[DataFrame, int]:
 def search_entities(queries: DataFrame, entities: DataFrame, limit: int = 5) -> DataFrame:
     """(query_id, rank, symbol, name, score) for rows (query_id, query)."""
     found = score_entities(queries, entities, limit)
-    asked = queries.select("query_id", F.lower(F.trim("query")).alias("query"))
+    asked = queries.select("query_id", F.lower(strip(F.col("query"))).alias("query"))
     return asked.join(found, "query").select("query_id", "rank", "symbol", "name", "score")
 
 

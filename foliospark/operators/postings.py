@@ -209,12 +209,14 @@ def rank_text(queries: DataFrame, postings: DataFrame, k: int = 8,
               small: bool | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): best keyword matches, ties by chunk id.
 
-    With ``documents`` (chunk_id, symbol, doc_type, period) the filter_* columns of the
-    queries act before the top k. An optional column k overrides ``k`` per query.
+    With ``documents`` (chunk_id, symbol, doc_type, period) those filter_* columns that the
+    queries have act before the top k. An optional column k overrides ``k`` per query.
     """
     found = matching_chunks(queries, postings, small)
     if documents is not None and any_filter(queries) is not None:
-        asked = queries.select("query_id", *FILTER_COLUMNS)
+        asked = queries.select("query_id", *(
+            F.col(c) if c in queries.columns else F.lit(None).cast("string").alias(c)
+            for c in FILTER_COLUMNS))
         docs = documents.select("chunk_id", "symbol", "doc_type", "period")
         found = (
             found.join(broadcast_if_small(asked, MAX_QUERY_TERMS, small), "query_id")
