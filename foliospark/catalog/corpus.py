@@ -291,11 +291,16 @@ def _freshness(t: Tables):
 SELECT 'companies' AS table_name, count(*) AS rows, 'ok' AS status FROM {companies}
 UNION ALL SELECT 'documents', count(*), 'ok' FROM {corpus_documents}
 UNION ALL SELECT 'chunks', count(*), 'ok' FROM {corpus_chunks}
-UNION ALL SELECT 'rate_limits', NULL, 'unreadable'""")
+UNION ALL SELECT 'rate_limits', NULL, 'unreadable'
+UNION ALL SELECT 'broken', NULL, 'unreadable'""")
 def _table_counts(t: Tables):
-    return corpus.table_counts({
+    """One table has no folder, the files of another are no Parquet."""
+    missing, broken = shared_folder(t.spark, "missing"), shared_folder(t.spark, "broken")
+    t.spark.range(1).selectExpr("'no table'").write.text(broken)
+    return corpus.table_counts(t.spark, {
         "companies": t("companies"), "documents": t("corpus_documents"),
-        "chunks": t("corpus_chunks"), "rate_limits": None})
+        "chunks": t("corpus_chunks"), "rate_limits": lambda: t.spark.read.parquet(missing),
+        "broken": lambda: t.spark.read.schema("id bigint").parquet(broken)})
 
 
 @query("keyword_yield", f"""
@@ -515,10 +520,11 @@ def _read_filings(t: Tables):
 
 @query("read_ledger", """SELECT DISTINCT seen FROM {ledger}""")
 def _read_ledger(t: Tables):
-    """Ledger files of bounded size, read, stored as a table and read again."""
-    path, table = shared_folder(t.spark, "seen"), shared_folder(t.spark, "ledger")
+    """Ledger files of bounded size beside one that cannot be parsed, and a missing ledger."""
+    path = shared_folder(t.spark, "seen")
     t("ledger").groupBy(F.pmod(F.xxhash64("seen"), F.lit(16)).alias("file")).agg(
-        F.collect_list("seen").alias("seen")).select("seen").write.json(path)
-    files = t.spark.read.schema("seen array<string>").json(path)
-    ledger.write_ledger(files.select(F.explode("seen").alias("seen")), table)
-    return ledger.read_ledger_table(t.spark, table)
+        F.collect_list("seen").alias("seen")).select("seen").repartition("seen").write \
+        .option("maxRecordsPerFile", 1).json(path)
+    t.spark.range(1).selectExpr("'{\"seen\": [\"cut'").write.mode("append").text(path)
+    found = ledger.read_ledger(t.spark, path)
+    return found.unionAll(ledger.read_ledger(t.spark, shared_folder(t.spark, "missing")))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.functions.filings import ANNUAL_REPORT_KEYWORD, CONCALL_KEYWORD
-from foliospark.session import broadcast_if_small
+from foliospark.session import broadcast_if_small, stored
 
 MAX_KEYS = 200_000
 DISPLAY_ZONE = "Asia/Kolkata"
@@ -65,22 +67,18 @@ def freshness(documents: DataFrame) -> DataFrame:
     )
 
 
-def table_counts(tables: dict[str, DataFrame | None]) -> DataFrame:
-    """Rows per table in one plan. A table that could not be opened is passed as None
-    and reported as unreadable, never as empty."""
-    spark = next(df for df in tables.values() if df is not None).sparkSession
-
-    def one(name: str, df: DataFrame | None) -> DataFrame:
-        if df is None:
-            return spark.range(1).select(
-                F.lit(name).alias("table_name"), F.lit(None).cast("bigint").alias("rows"),
-                F.lit("unreadable").alias("status"),
-            )
-        return df.agg(F.count("*").alias("rows")).select(
-            F.lit(name).alias("table_name"), "rows", F.lit("ok").alias("status")
-        )
-
-    return reduce(DataFrame.unionByName, (one(name, df) for name, df in tables.items()))
+def table_counts(spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]],
+                 ) -> DataFrame:
+    """Rows per table. A table, or a function that opens one, that fails when it is opened or
+    read is reported as unreadable, never as empty, and does not keep the others from being
+    counted."""
+    rows = []
+    for name, table in tables.items():
+        try:
+            rows.append((name, (table() if callable(table) else table).count(), "ok"))
+        except (PySparkException, Py4JError):
+            rows.append((name, None, "unreadable"))
+    return spark.createDataFrame(rows, "table_name string, rows bigint, status string")
 
 
 def keyword_yield(announcements: DataFrame) -> DataFrame:
@@ -152,10 +150,11 @@ def tracked_symbols(companies: DataFrame, subset: list[str] | None = None) -> Da
 def _missing_keys(child: DataFrame, parent: DataFrame, child_key: str,
                   parent_key: str) -> DataFrame:
     """Child keys without a parent: keys are made distinct map-side before they are
-    shuffled, so neither the child rows nor a parent with very many of them move."""
+    shuffled, so neither the child rows nor a parent with very many of them move. They are
+    stored before their number decides on a broadcast, so the child is read for them once."""
     used = child.filter(F.col(child_key).isNotNull()).select(child_key).distinct()
     missing = used.join(parent, used[child_key] == parent[parent_key], "left_anti")
-    return broadcast_if_small(missing, MAX_KEYS)
+    return broadcast_if_small(stored(missing, "missing_keys"), MAX_KEYS)
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

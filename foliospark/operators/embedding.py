@@ -19,11 +19,10 @@ BACKOFF_SECONDS = 5.0
 
 
 def pending_chunks(chunks: DataFrame, stored: DataFrame, provider: str) -> DataFrame:
-    """Chunks without a stored vector of this provider. Only ids of the stored table
-    are read, and the anti-join key is a uniform hash."""
-    done = stored.filter(
-        F.col("embedding").isNotNull() & (F.col("embedding_provider") == provider)
-    ).select("id")
+    """Chunks without a stored vector of this provider. A stored row names its provider only
+    when it has a vector, so ids and providers are all that is read of the table, and the
+    anti-join key is a uniform hash."""
+    done = stored.filter(F.col("embedding_provider") == provider).select("id")
     return chunks.join(done, "id", "left_anti")
 
 

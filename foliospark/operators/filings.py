@@ -91,22 +91,24 @@ def dedup_filings(filings: DataFrame, stored: DataFrame, order: list[str],
     Checked in turn: filing id already stored, key seen earlier in this run, fetch
     error, content hash already stored, content hash seen earlier in this run. The
     winners of a key or hash are found by a combining min and joined back on the unique
-    row id, so a heavily copied document never becomes a hot join key.
+    row id.
     """
-    # Stored ids and hashes are unique per document, which keeps these joins even.
     ids = stored.filter("nse_seq_id IS NOT NULL").select("nse_seq_id").distinct()
     hashes = stored.filter("sha256 IS NOT NULL").select("sha256").distinct()
 
-    def stored_rows(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-        distinct = df.filter(F.col(key).isNotNull()).select(key).distinct().join(keys, key)
-        return distinct.withColumn("_hit", F.lit(True))
+    def marked(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+        """``flag`` where the key is among ``keys``. Rows without a key, which no task could
+        hold together, do not take part; a frequent key meets one row, so AQE can split it."""
+        there = F.col(key).isNotNull()
+        joined = df.filter(there).join(keys.withColumn(flag, F.lit(True)), key, "left")
+        return joined.unionByName(df.filter(~there).withColumn(flag, F.lit(None).cast("boolean")))
 
     def winners(df: DataFrame, key: str, flag: str) -> DataFrame:
         first = F.min_by(row_id, F.struct(*order)).alias(row_id)
         return df.groupBy(key).agg(first).select(row_id, F.lit(True).alias(flag))
 
     by_key = filings.join(winners(filings, "ledger_key", "_first_key"), row_id, "left")
-    by_key = by_key.join(stored_rows(filings, ids, "nse_seq_id"), "nse_seq_id", "left")
+    by_key = marked(by_key, ids, "nse_seq_id", "_hit")
     by_key = by_key.withColumn(
         "_reason",
         F.when(F.col("_hit"), F.lit("filing_id"))
@@ -116,7 +118,6 @@ def dedup_filings(filings: DataFrame, stored: DataFrame, order: list[str],
     fetched = by_key.filter("_reason IS NULL")
     new_hash = fetched.select(row_id, "sha256", *order).join(hashes, "sha256", "left_anti")
     kept = winners(new_hash, "sha256", "_first_hash")
-    known = stored_rows(fetched, hashes, "sha256").select("sha256", F.lit(True).alias("_known"))
     reason = (
         F.when(F.col("_reason").isNotNull(), F.col("_reason"))
         .when(F.col("_first_hash"), F.lit("new"))
@@ -129,7 +130,7 @@ def dedup_filings(filings: DataFrame, stored: DataFrame, order: list[str],
         .otherwise(F.lit("skipped"))
     )
     return (
-        by_key.join(kept, row_id, "left").join(known, "sha256", "left")
+        marked(by_key.join(kept, row_id, "left"), hashes, "sha256", "_known")
         .withColumn("reason", reason).withColumn("outcome", outcome)
         .select(*filings.columns, "outcome", "reason")
     )

@@ -271,7 +271,8 @@ def test_upsert_and_versions(spark, tmp_path):
 
 def test_counts_report_unreadable_tables(spark):
     got = {r["table_name"]: (r["rows"], r["status"]) for r in corpus.table_counts(
-        {"a": spark.range(3), "b": None, "c": spark.range(0)}).collect()}
+        spark, {"a": spark.range(3), "b": lambda: spark.read.parquet("/no/such/table"),
+                "c": spark.range(0)}).collect()}
     assert got == {"a": (3, "ok"), "b": (None, "unreadable"), "c": (0, "ok")}
 
 
