@@ -304,6 +304,41 @@ def test_answers_end_to_end(spark):
     assert {r["query_id"] for r in sources.collect()} == {1, 2}
 
 
+def test_ask_gives_every_question_one_outcome(spark):
+    chunks = spark.createDataFrame(
+        [(1, "Capex rose to 5.", "TCS", "concall", None, 3, "u", [1.0, 0.0]),
+         (2, "Attrition fell.", "INFY", "concall", "FY1", None, "u", [0.0, 1.0])],
+        "chunk_id bigint, content string, symbol string, doc_type string, period string, page int, "
+        "source_url string, embedding array<float>")
+    entities = spark.createDataFrame(
+        [("TCS", "Tata Consultancy Limited"), ("STEELCO", "Tata Steel Limited"),
+         ("INFY", "Infosys Limited")], "symbol string, name string")
+    companies = spark.createDataFrame([("INFY", "Infosys Limited", None, None)], schemas.COMPANY)
+    asked = spark.createDataFrame(
+        [(1, "What is the capex?", "a", [1.0, 0.1]), (2, "\t", "a", None),
+         (3, "x" * 1001, "b", None), (4, "jailbreak now", "b", None),
+         (5, "How did INFY attrition do?", "b", [0.1, 1.0]), (6, "What about Tata?", "c", [1.0, 0.0]),
+         (7, "Weather?", "d", [-1.0, -1.0]), (8, "Capex again?", "a", [1.0, 0.1]),
+         (9, "Capex a third time?", "a", [1.0, 0.1])],
+        "query_id bigint, question string, ip string, embedding array<float>").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("query_id")))
+
+    def generate(prompt, system):
+        if "again" in prompt:
+            raise RuntimeError("quota")
+        return "ANSWER:\nYes [1]."
+
+    outcomes, _, choices = ask.ask(asked, chunks, companies, entities, generate, limit=2, k=1)
+    got = {r["query_id"]: (r["status"], r["outcome"], r["reason"]) for r in outcomes.collect()}
+    assert got == {
+        1: (200, "answered", None), 2: (400, "rejected", "question_required"),
+        3: (413, "rejected", "too_long"), 4: (400, "rejected", "injection"),
+        5: (200, "answered", None), 6: (200, "choose", "ambiguous"),
+        7: (200, "refused_threshold", None), 8: (200, "extractive", None),
+        9: (429, "over_limit", None)}
+    assert {r["symbol"] for r in choices.filter("question_id = 6").collect()} == {"TCS", "STEELCO"}
+
+
 def drain(query):
     query.awaitTermination()
 
