@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from foliospark.llm.texts import (BLANK_SPLIT, Texts, bounded_batches, hashes_of, mix, pieces,
                                   texts_of, words_of)
 
-LABELLED, POOL = 8192, 4096
+LABELLED, POOL = 4096, 2048
 #: Hashed words of the text view, and hashed values of the metadata view.
 BITS = 18
 WORD_BUCKETS, META_BUCKETS = 1 << BITS, 1 << 12
@@ -52,8 +52,9 @@ class Features:
     """Sparse rows: ``index`` and ``value`` of each row from ``first`` on."""
 
     def __init__(self, first: np.ndarray, index: np.ndarray, value: np.ndarray, size: int):
-        self.first, self.index, self.value, self.size = first, index, value, size
-        self.row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        self.first, self.size = first, size
+        self.index, self.value = index.astype(np.int32), value.astype(np.float32)
+        self.row = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
 
     def __len__(self) -> int:
         return len(self.first) - 1
@@ -275,13 +276,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
         values = part.column("value").chunk(0) if len(part) else pa.array([], pa.list_(pa.float32()))
         size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         every = Features(np.append(0, np.cumsum(size)).astype(np.int64),
-                         lists.flatten().to_numpy().astype(np.int64),
-                         values.flatten().to_numpy().astype(np.float64),
+                         lists.flatten().to_numpy(), values.flatten().to_numpy(),
                          (WORD_BUCKETS + NUMBERS, META_BUCKETS)[k])
         by_hash = np.argsort(mix(np.arange(len(good)).astype(np.uint64)), kind="stable")
         with_label = by_hash[good[by_hash] >= 0]
         views[k] = [_rows(every, with_label), _rows(every, np.flatnonzero(good < 0))]
         targets = good[with_label]
+    del rows, part, lists, values, every
     return co_train([v[0] for v in views], targets, [v[1] for v in views])
 
 
