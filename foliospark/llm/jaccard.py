@@ -41,7 +41,7 @@ LEAST_KEY = 2
 BAND = 1.3
 #: Cost model: the share of a band's sets that have a passage in common, the share of such a
 #: set that the passage makes up, and keys that one test of two texts is worth.
-SHARED_SETS, SHARED_PART, TEST_COST = 0.01, 0.15, 50
+SHARED_SETS, SHARED_PART, TEST_COST = 0.01, 0.15, 1
 GROUP_BYTES = 16 << 20
 
 
@@ -72,6 +72,36 @@ def fingerprints(element: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.
     return size, mix(_sums(text, mix(element), texts) + size.astype(np.uint64)).view(np.int64)
 
 
+#: Bits of a sketch for each element in which a similar set can differ; a power of two in all.
+SKETCH = 8
+
+
+def sketches(element: np.ndarray, text: np.ndarray, size: np.ndarray, percent: int) -> pa.Array:
+    """The parity sketch of each set; the first half folded on the second is the shorter one."""
+    differ = 2 * size * (100 - percent) // (100 + percent) + 1
+    bits = 1 << np.ceil(np.log2(np.maximum(64, SKETCH * differ))).astype(np.int64)
+    end = np.cumsum(bits)
+    at = (end - bits)[text] + (mix(element + np.uint64(1)) % bits[text].astype(np.uint64)) \
+        .astype(np.int64)
+    odd = np.bincount(at, minlength=int(end[-1]) if len(end) else 0) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [
+        None, pa.py_buffer(np.append(0, end // 8).astype(np.int32).tobytes()),
+        pa.py_buffer(data.tobytes())])
+
+
+def _same_length(sketch: list[bytes]) -> np.ndarray:
+    """Sketches folded to the shortest of them, as rows of 64-bit words."""
+    least = min(map(len, sketch)) // 8
+    rows = []
+    for s in sketch:
+        words = np.frombuffer(s, "<u8")
+        while len(words) > least:
+            words = words[:len(words) // 2] ^ words[len(words) // 2:]
+        rows.append(words)
+    return np.array(rows)
+
+
 def difference(smaller: int, percent: int = PERCENT) -> int:
     """The most elements in which similar sets can differ, the smaller having at most that
     many."""
@@ -242,17 +272,45 @@ def _similar(shingle: int, percent: int):
     return test
 
 
-def _across(batches):
-    """Pairs of a key's sets from different components, but for those with the least set."""
-    for batch in batches:
-        for sets, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by = np.argsort(np.array(sets))
-            member, part = np.array(sets)[by][1:], np.array(parts)[by][1:]
-            for i in range(len(member)):
-                other = member[i + 1:][part[i + 1:] != part[i]]
-                if len(other):
-                    yield pa.RecordBatch.from_pydict(
-                        {"a": pa.array(np.full(len(other), member[i])), "b": pa.array(other)})
+def _most(total: np.ndarray, percent: int) -> np.ndarray:
+    """The most elements in which similar sets with sizes adding up to ``total`` differ."""
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
+def _may_be_similar(percent: int):
+    """Whether the sketches of a pair leave open that it is similar."""
+    def bound(batches):
+        for batch in batches:
+            left, right = batch.column(2), batch.column(3)
+            most = _most(left.field("n").to_numpy() + right.field("n").to_numpy(), percent)
+            bits = [int(np.bitwise_count(np.bitwise_xor(*_same_length([x, y]))).sum())
+                    for x, y in zip(left.field("sketch").to_pylist(),
+                                    right.field("sketch").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.array(bits, np.int64) <= most)],
+                names=["a", "b", "open"])
+    return bound
+
+
+def _across(percent: int):
+    """Pairs of a key's sets from different components that may be similar by their sketches,
+    but for those with the least set, which are tested already."""
+    def pairs(batches):
+        for batch in batches:
+            for members in batch.column(0).to_pylist():
+                members.sort(key=lambda m: m["node"])
+                members = members[1:]
+                node, part, n = (np.array([m[k] for m in members], np.int64)
+                                 for k in ("node", "part", "n"))
+                sketch = _same_length([m["sketch"] for m in members])
+                for i in range(len(node) - 1):
+                    most = _most(n[i] + n[i + 1:], percent)
+                    bits = np.bitwise_count(sketch[i] ^ sketch[i + 1:]).sum(1, dtype=np.int64)
+                    near = node[i + 1:][(bits <= most) & (part[i + 1:] != part[i])]
+                    if len(near):
+                        yield pa.RecordBatch.from_pydict(
+                            {"a": pa.array(np.full(len(near), node[i])), "b": pa.array(near)})
+    return pairs
 
 
 def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
@@ -269,13 +327,15 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     def measure(batches):
         for batch in batches:
             for rows, texts in pieces(batch):
-                size, print_ = fingerprints(*shingle_sets(texts, shingle), len(texts))
+                element, text = shingle_sets(texts, shingle)
+                size, print_ = fingerprints(element, text, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(size, pa.int64()), pa.array(print_),
-                     pa.array(texts.sizes())], names=["doc_id", "n", "set", "bytes"])
+                     pa.array(texts.sizes()), sketches(element, text, size, percent)],
+                    names=["doc_id", "n", "set", "bytes", "sketch"])
 
-    sizes = stored(docs.mapInArrow(measure, "doc_id bigint, n bigint, set bigint, bytes bigint"),
-                   "sets")
+    sizes = stored(docs.mapInArrow(measure, "doc_id bigint, n bigint, set bigint, bytes bigint, "
+                                            "sketch binary"), "sets")
     total, largest = sizes.agg(F.sum("bytes"), F.max("n")).first()
     edges = np.array(band_edges(largest or 1))
     places = max(1, math.ceil((total or 0) / group_bytes))
@@ -291,16 +351,27 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         docs.mapInArrow(_key_blobs(places, shingle, edges, plan, percent), "place int, blob binary")
         .groupBy("place").applyInArrow(_meet, _FOUND), "met")
     classes = sizes.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    # Equal sets have equal sketches, so any row will do.
+    outline = stored(sizes.filter("n > 0").select(F.col("set").alias("node"), "n", "sketch")
+                     .dropDuplicates(["node"]), "outline")
 
     def tested(pairs: DataFrame) -> DataFrame:
+        """(a, b, similar): most pairs are settled by their sketches, the others by texts."""
+        sides = [outline.select(F.col("node").alias(k), F.struct("n", "sketch").alias(f"_{k}"))
+                 for k in ("a", "b")]
+        bounded = stored(pairs.join(sides[0], "a").join(sides[1], "b")
+                         .select("a", "b", "_a", "_b").mapInArrow(
+                             _may_be_similar(percent), "a bigint, b bigint, open boolean"), "bounded")
+        pairs = bounded.filter("open").select("a", "b")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         texts = wanted.join(classes, "set").join(docs, "doc_id").select("set", "text")
         texts = stored(texts.mapInArrow(_own_text(shingle), "set bigint, text string")
                        .dropDuplicates(["set"]), "candidates")
         joined = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a") \
             .join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
-        return stored(joined.select("a", "b", "x", "y").mapInArrow(
+        compared = stored(joined.select("a", "b", "x", "y").mapInArrow(
             _similar(shingle, percent), "a bigint, b bigint, similar boolean"), "tested")
+        return compared.unionAll(bounded.filter("NOT open").select("a", "b", F.lit(False)))
 
     first = tested(found.filter("sets IS NULL").select("a", "b").distinct())
     links = first.filter("similar").select("a", "b")
@@ -311,11 +382,12 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     mixed = keys.join(failed, (keys.a == failed.least)
                       & F.array_contains("sets", F.col("other")), "left_semi")
     members = mixed.select("b", F.explode("sets").alias("node")).join(parts, "node", "left") \
-        .select("b", "node", F.coalesce("component", "node").alias("part"))
-    several = members.groupBy("b").agg(
-        F.collect_list("node").alias("sets"), F.collect_list("part").alias("parts"),
-        F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi AND size(sets) > 2")
-    more = several.select("sets", "parts").mapInArrow(_across, "a bigint, b bigint").distinct()
+        .withColumn("part", F.coalesce("component", "node"))
+    several = members.groupBy("b").agg(F.min("part").alias("lo"), F.max("part").alias("hi")) \
+        .filter("lo < hi").select("b")
+    lists = members.join(several, "b").join(outline, "node").groupBy("b").agg(
+        F.collect_list(F.struct("node", "part", "n", "sketch")).alias("members"))
+    more = lists.select("members").mapInArrow(_across(percent), "a bigint, b bigint").distinct()
     second = tested(stored(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
     new = second.filter("similar").select("a", "b")
     if not new.isEmpty():
