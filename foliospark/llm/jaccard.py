@@ -73,7 +73,7 @@ def fingerprints(element: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.
 
 
 #: Bits of a sketch for each element in which a similar set can differ; a power of two in all.
-SKETCH = 8
+SKETCH = 32
 
 
 def sketches(element: np.ndarray, text: np.ndarray, size: np.ndarray, percent: int) -> pa.Array:
