@@ -172,16 +172,16 @@ def _sent(rows) -> pa.RecordBatch:
                                       names=["place", "blob"])
 
 
-def _entry_blobs(places: int, anchor, stretch, doc, key, start, run, before, behind):
+def _entry_blobs(places: int, text, anchor, stretch, doc, key, start, run, before, behind):
     """Entries of a shard by place, in text order: 40 bits of the anchor besides the place, 48
-    of the stretch, and what zstd makes small (steps of the start, rows of one document)."""
+    of the stretch, and what zstd makes small (steps of the start, rows of one text)."""
     order = np.argsort(anchor % np.uint64(places), kind="stable")
     place = (anchor % np.uint64(places))[order].astype(np.int64)
     anchor = mix(anchor[order])
-    stretch, doc, key, start, run, before, behind = (
-        v[order] for v in (stretch, doc, key, start, run, before, behind))
+    text, stretch, doc, key, start, run, before, behind = (
+        v[order] for v in (text, stretch, doc, key, start, run, before, behind))
     for a, b in _ranges(_groups(place)):
-        row = _groups(doc[a:b], key[a:b])
+        row = _groups(text[a:b])                      # repeated rows have the same doc and key
         step = np.diff(start[a:b], prepend=0)
         step[row] = start[a:b][row]
         yield int(place[a]), _blob(
@@ -234,8 +234,8 @@ def _anchor_entries(places: int, length: int, gram: int, shard_bytes: int):
                 repeat = np.zeros(len(doc), dtype=bool)
                 repeat[order] = doc[order] > least
                 new = ~repeat
-                yield _sent(_entry_blobs(places, anchor[new], stretch[new], doc[new], key[new],
-                                         start[new], run[new], before[new], behind[new]))
+                yield _sent(_entry_blobs(places, text[new], anchor[new], stretch[new], doc[new],
+                                         key[new], start[new], run[new], before[new], behind[new]))
                 if repeat.any():
                     yield _sent((-1 - p, b) for p, b in _by(
                         _place_of(doc[repeat], places), doc=doc[repeat], key=key[repeat],

@@ -178,3 +178,13 @@ def test_pieces_cover_all_rows():
     batch = pa.record_batch({"text": pa.array(["a" * n for n in (5, 0, 30, 2, 2)])})
     sizes = [(len(r), len(t.data)) for r, t in texts.pieces(batch, size=6)]
     assert sum(n for n, _ in sizes) == 5 and sum(b for _, b in sizes) == 39
+
+
+def test_adjacent_repeated_rows_of_a_text_with_several_stretches(spark):
+    rng = random.Random(9)
+    text, more = ("".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(2))
+    rows = [(3, text + more), (5, text), (5, text), (6, more), (6, more)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    got = repeats.find_repeats(docs, shard_bytes=1850).collect()    # shards are 3, 5 and 5, 6 and 6
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got),
+                  key=str) == brute_repeats(rows)
