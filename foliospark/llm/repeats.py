@@ -16,6 +16,11 @@ with the square of the input, so suffixes meet by content:
    group, and its smallest document keeps the string. Sub-shards of a large bucket look their
    strings up in each other's arrays by bisection.
 
+An anchor with very many open stretches (the border of a passage that many documents share) is
+spread instead: each shard or group of documents settles the strings that it has itself under a
+smaller doc_id, and sends those of the least one singly to the bucket of the string's hash. A
+shard that does so tells the bucket of the anchor, which then has all others do the same.
+
 Documents and what was found about them come together in groups by a hash of doc_id, each of
 about ``GROUP_BYTES`` of text.
 """
@@ -43,6 +48,8 @@ SHARD_BYTES = 2 << 20
 GROUP_BYTES = 16 << 20
 #: Strings of one stretch at most.
 STRETCH = 200
+#: Open stretches of an anchor, in a shard and in a bucket, from which on it is spread.
+SPREAD_SHARD, SPREAD_BUCKET = 32, 4096
 
 # Odd 64-bit constants of the gram hash.
 _SEED, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -194,6 +201,42 @@ def _entry_blobs(places: int, text, anchor, stretch, doc, key, start, run, befor
             doc=doc[a:b][row], key=key[a:b][row].astype(np.uint32))
 
 
+def _many_open(anchor, before, behind, least: int) -> np.ndarray:
+    """The anchors that ``least`` of some different stretches have with the same hash beside."""
+    spread = np.zeros(len(anchor), dtype=bool)
+    for side in (before, behind):
+        order = np.lexsort([side, anchor])
+        first = np.flatnonzero(_groups(anchor[order], side[order]))
+        size = np.diff(np.append(first, len(order)))
+        spread[order] |= np.repeat(size >= least, size)
+    return np.unique(anchor[spread])
+
+
+def _runs(start: np.ndarray, *owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number) of the runs of consecutive starts of one owner, ``STRETCH`` at most."""
+    follows = np.zeros(len(start), dtype=bool)
+    follows[1:] = (start[1:] == start[:-1] + 1) & ~_groups(*owner)[1:]
+    first = np.flatnonzero(~follows)
+    run = np.diff(np.append(first, len(start)))
+    part, nth = expand(np.zeros(len(run), np.int64), -(-run // STRETCH))
+    return first[part] + nth * STRETCH, np.minimum(STRETCH, run[part] - nth * STRETCH)
+
+
+def _spread(places: int, length: int, data, at, run, doc, key, start):
+    """(which strings of some stretches are repeats among themselves, columns of all strings, the
+    bucket of each). ``at`` is where a stretch begins in the data, ``start`` where in its text."""
+    row, nth = expand(np.zeros(len(run), np.int64), run)
+    where = at[row] + nth
+    string = hashes_of(data, where, where + length)
+    e = {"string": string, "doc": doc[row], "key": key[row], "start": start[row] + nth}
+    order = np.lexsort([e["doc"], string])
+    least = e["doc"][order][np.maximum.accumulate(
+        np.where(_groups(string[order]), np.arange(len(order)), 0))]
+    repeat = np.zeros(len(order), dtype=bool)
+    repeat[order] = e["doc"][order] > least
+    return repeat, e, places + (mix(string) % np.uint64(places)).astype(np.int64)
+
+
 def _read_entries(blobs: list[bytes]) -> dict[str, np.ndarray]:
     found = []
     for blob in blobs:
@@ -212,8 +255,17 @@ def _read_entries(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
 
 
-def _anchor_entries(places: int, length: int, gram: int, shard_bytes: int):
-    """Step 1. Places below zero are groups of documents: what the shard has settled itself."""
+def _anchor_entries(places: int, length: int, gram: int, shard_bytes: int,
+                    spread: int = SPREAD_SHARD):
+    """Step 1. Places below zero are groups of documents: what the shard has settled itself.
+    Those from ``places`` on are buckets of strings. A stretch of no strings says that the shard
+    has spread its anchor."""
+    def settled(doc, key, start, run):
+        n = len(doc)
+        return ((-1 - p, b) for p, b in _by(
+            _place_of(doc, places), doc=doc, key=key, start=start, run=run.astype(np.uint8),
+            anchor=np.zeros(n, np.uint64), whole=np.ones(n, bool), spread=np.zeros(n, bool)))
+
     def entries(batches):
         for batch in batches:
             for rows, texts in pieces(batch, size=shard_bytes):
@@ -233,15 +285,28 @@ def _anchor_entries(places: int, length: int, gram: int, shard_bytes: int):
                 least = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))]
                 repeat = np.zeros(len(doc), dtype=bool)
                 repeat[order] = doc[order] > least
-                new = ~repeat
-                yield _sent(_entry_blobs(places, text[new], anchor[new], stretch[new], doc[new],
-                                         key[new], start[new], run[new], before[new], behind[new]))
+                new = np.flatnonzero(~repeat)
+                once = order[head]
+                hot = new[np.isin(anchor[new], _many_open(
+                    anchor[once], before[once], behind[once], spread))]
+                if len(hot):
+                    again, e, place = _spread(places, length, texts.data, at[hot], run[hot],
+                                              doc[hot], key[hot], start[hot])
+                    yield _sent(_by(place[~again], **{k: v[~again] for k, v in e.items()}))
+                    if again.any():
+                        gone = {k: v[again] for k, v in e.items()}
+                        first, size = _runs(gone["start"], gone["doc"], gone["key"])
+                        yield _sent(settled(gone["doc"][first], gone["key"][first],
+                                            gone["start"][first], size))
+                    # One empty stretch for each spread anchor stands for all of them.
+                    _, one = np.unique(anchor[hot], return_index=True)
+                    told = np.sort(hot[one])
+                    run[told] = 0
+                    new = np.sort(np.append(np.setdiff1d(new, hot), told))
+                yield _sent(_entry_blobs(places, *(v[new] for v in (
+                    text, anchor, stretch, doc, key, start, run, before, behind))))
                 if repeat.any():
-                    yield _sent((-1 - p, b) for p, b in _by(
-                        _place_of(doc[repeat], places), doc=doc[repeat], key=key[repeat],
-                        start=start[repeat], run=run[repeat].astype(np.uint8),
-                        anchor=np.zeros(int(repeat.sum()), np.uint64),
-                        whole=np.ones(int(repeat.sum()), bool)))
+                    yield _sent(settled(doc[repeat], key[repeat], start[repeat], run[repeat]))
     return entries
 
 
@@ -265,14 +330,21 @@ def _may_meet(anchor, doc, before, behind) -> np.ndarray:
     return met
 
 
-def _merge_bucket(places: int):
-    """Step 2: (group of documents, stretches that are repeats or still open)."""
+def _merge_bucket(places: int, spread: int = SPREAD_BUCKET):
+    """Step 2: (group of documents, stretches that are repeats or still open). Strings that were
+    sent singly pass through."""
     def merged(table: pa.Table) -> pa.Table:
         place = table.column("place")[0].as_py()
         blobs = table.column("blob").to_pylist()
         if place < 0:
             return pa.Table.from_batches([_sent((-1 - place, b) for b in blobs)])
+        if place >= places:
+            return table
         e = _read_entries(blobs)
+        told = np.unique(e["anchor"][e["run"] == 0])
+        e = {k: v[e["run"] > 0] for k, v in e.items()}
+        if not len(e["doc"]):
+            return pa.Table.from_batches([_sent([])])
         order = np.lexsort([e["doc"], e["stretch"], e["anchor"]])
         e = {k: v[order] for k, v in e.items()}
         new_anchor = _groups(e["anchor"])
@@ -287,13 +359,18 @@ def _merge_bucket(places: int):
         rows = np.flatnonzero(new_stretch & several_docs)
         opened = np.zeros(len(group), dtype=bool)
         opened[rows] = _may_meet(*(e[k][rows] for k in ("anchor", "doc", "before", "behind")))
+        spreads = np.bincount(group, opened)[group] >= spread
+        if len(told):
+            here = np.isin(e["anchor"], told)
+            spreads |= here
+            opened |= here & new_stretch
         opened = opened[np.maximum.accumulate(np.where(new_stretch, np.arange(len(group)), 0))]
         keep = whole | opened
         out = {k: e[k][keep] for k in ("doc", "key", "start", "run")}
         # Anchors of another bucket are others, even with the same 40 bits.
         out["anchor"] = mix(e["anchor"][keep] + np.uint64(place << 40))
         return pa.Table.from_batches([_sent(_by(_place_of(out["doc"], places), **out,
-                                                whole=whole[keep]))])
+                                                whole=whole[keep], spread=spreads[keep]))])
     return merged
 
 
@@ -368,9 +445,12 @@ def _documents(rows: pa.Table | None, found: pa.Table):
 
 
 def _open_texts(places: int, length: int):
-    """Repeats of a group (place below zero) and the text of its open stretches."""
+    """Repeats of a group (place below zero) and the text of its open stretches, or of spread
+    ones the strings."""
     def opened(docs: pa.Table, found: pa.Table) -> pa.Table:
-        seen, whole, sent, texts = set(), [], [], []
+        if not len(docs) and len(found) and found.column("place")[0].as_py() >= places:
+            return found
+        seen, whole, sent, texts, single, parts, size = set(), [], [], [], [], [], 0
         for doc_id, key, raw, f in _documents(_unpacked(docs), found):
             if not len(f["doc"]) or (doc_id, key) in seen:
                 continue
@@ -380,10 +460,25 @@ def _open_texts(places: int, length: int):
             done = f["whole"].astype(bool)
             a, b = _spans(_mask(len(raw), start[done], end[done]))
             whole.append((np.full(len(a), doc_id), np.full(len(a), key), a, b))
-            left = np.flatnonzero(~done)
+            hot = np.flatnonzero(~done & f["spread"].astype(bool))
+            if len(hot):
+                single.append((size + start[hot], f["run"][hot].astype(np.int64), f["doc"][hot],
+                               f["key"][hot], start[hot]))
+                parts.append(raw)
+                size += len(raw)
+            left = np.flatnonzero(~done & ~f["spread"].astype(bool))
             sent.append((f["anchor"][left], f["doc"][left], f["key"][left], start[left]))
             texts += [raw[x:y].tobytes() for x, y in zip(start[left].tolist(), end[left].tolist())]
         out = []
+        if single:
+            again, e, place = _spread(places, length, np.concatenate(parts),
+                                      *(np.concatenate(c) for c in zip(*single)))
+            out += _by(place[~again], **{k: v[~again] for k, v in e.items()})
+            gone = {k: v[again] for k, v in e.items()}
+            if again.any():
+                first, run = _runs(gone["start"], gone["doc"], gone["key"])
+                a = gone["start"][first]
+                whole.append((gone["doc"][first], gone["key"][first], a, a + run + (length - 1)))
         if seen:
             doc, key, a, b = (np.concatenate(c) for c in zip(*whole))
             if len(doc):
@@ -434,9 +529,17 @@ class _Shard:
 
 
 def _resolve(places: int, length: int, shard_bytes: int):
-    """Step 3: strings of the open stretches of a bucket."""
+    """Step 3: strings of the open stretches of a bucket, or those that were sent singly."""
     def resolved(table: pa.Table) -> pa.Table:
         e = _unblob(table.column("blob").to_pylist())
+        if table.column("place")[0].as_py() >= places:
+            order = np.lexsort([e["doc"], e["string"]])
+            doc, head = e["doc"][order], _groups(e["string"][order])
+            at = order[doc > doc[np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]]
+            start = e["start"][at]
+            return pa.Table.from_batches([_sent(_by(
+                _place_of(e["doc"][at], places), doc=e["doc"][at], key=e["key"][at], start=start,
+                end=start + length))])
         until = np.cumsum(np.fromiter(map(len, e["text"]), np.int64, len(e["text"])))
         part = (until - 1) // shard_bytes
         shards = []
@@ -502,8 +605,8 @@ def _without_repeats(schema: pa.Schema):
     return cleaned
 
 
-def _found(docs: DataFrame, length: int, gram: int, shard_bytes: int,
-           group_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _found(docs: DataFrame, length: int, gram: int, shard_bytes: int, group_bytes: int,
+           spread: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """(rows packed by group, repeats packed by group)."""
     docs = bounded_batches(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -511,8 +614,8 @@ def _found(docs: DataFrame, length: int, gram: int, shard_bytes: int,
     blob = "place int, blob binary"
 
     found = docs.select("doc_id", "text") \
-        .mapInArrow(_anchor_entries(places, length, gram, shard_bytes), blob) \
-        .groupBy("place").applyInArrow(_merge_bucket(places), blob)
+        .mapInArrow(_anchor_entries(places, length, gram, shard_bytes, spread[0]), blob) \
+        .groupBy("place").applyInArrow(_merge_bucket(places, spread[1]), blob)
     texts = docs.select("doc_id", "text") \
         .mapInArrow(_text_blobs(places, shard_bytes), blob)
     state = stored(texts.groupBy("place").cogroup(found.groupBy("place"))
@@ -525,16 +628,18 @@ def _found(docs: DataFrame, length: int, gram: int, shard_bytes: int,
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
-                 shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+                 shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES,
+                 spread: tuple[int, int] = (SPREAD_SHARD, SPREAD_BUCKET)) -> DataFrame:
     """(doc_id, text_key, n_bytes, n_removed, n_spans, kept_sha256, removed) per row.
 
     ``removed`` holds the begin and end of each maximal removed run, in bytes of the UTF-8
     text, one after another. A null text is empty. A row without doc_id is neither changed nor
     compared. Rows with the same doc_id do not repeat each other; equal rows get equal results.
     ``text_key`` is a 32-bit hash of the text. Strings count as equal in step 2 when 88 bits of
-    hashes (anchor and stretch, in one bucket) are.
+    hashes (anchor and stretch, in one bucket) are, and those of spread anchors when 64 bits are.
     """
-    rows, found = _found(docs.select("doc_id", "text"), length, gram, shard_bytes, group_bytes)
+    rows, found = _found(docs.select("doc_id", "text"), length, gram, shard_bytes, group_bytes,
+                         spread)
     return rows.groupBy("place").cogroup(found.groupBy("place")).applyInArrow(_finished, _RESULT)
 
 
@@ -546,7 +651,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     is dropped; a text that was repeated as a whole is empty. Other columns stay as they are.
     """
     columns = docs.columns
-    rows, found = _found(docs, length, gram, shard_bytes, group_bytes)
+    rows, found = _found(docs, length, gram, shard_bytes, group_bytes,
+                         (SPREAD_SHARD, SPREAD_BUCKET))
     first = ["doc_id", "text"]
     schema = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).select(
         *first, *[c for c in columns if c not in first]).schema

@@ -188,3 +188,33 @@ def test_adjacent_repeated_rows_of_a_text_with_several_stretches(spark):
     got = repeats.find_repeats(docs, shard_bytes=1850).collect()    # shards are 3, 5 and 5, 6 and 6
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got),
                   key=str) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("spread", [(2, 1 << 30), (1 << 30, 2), (3, 4)])
+def test_repeats_of_spread_anchors_are_those_of_brute_force(spark, spread):
+    rng = random.Random(6)
+    rows = made_rows(4, 70) + EDGE + [
+        (200 + i // 2, "".join(rng.choice("abcdefgh ") for _ in range(60)) + "the shared words " * (i % 3)
+         + "A passage that many documents have, after a text of their own." + str(i))
+        for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = repeats.find_repeats(docs, shard_bytes=2500, group_bytes=3000, spread=spread).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got),
+                  key=str) == brute_repeats(rows)
+
+
+def test_a_shared_passage_goes_to_many_buckets():
+    rng = random.Random(7)
+    own = ["".join(rng.choice("abcdefgh ") for _ in range(80)) for _ in range(1200)]
+    passage = "This licence text stands in a third of all documents, after another text in each."
+    batch = pa.record_batch({"doc_id": pa.array(range(600)), "text": pa.array(
+        [a + passage + b for a, b in zip(own[:600], own[600:])])})
+    entries, strings = [], {}
+    for out in repeats._anchor_entries(16, 50, 16, 1 << 21)([batch]):
+        for place, blob in zip(*(out.column(i).to_pylist() for i in range(2))):
+            if 0 <= place < 16:
+                entries += repeats._read_entries([blob])["anchor"].tolist()
+            elif place >= 16:
+                strings[place] = len(repeats._unblob([blob])["string"])
+    assert max(np.unique(entries, return_counts=True)[1]) < 32
+    assert len(strings) == 16 and max(strings.values()) < sum(strings.values()) / 8
