@@ -1,8 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text, each with the path of block tags from the root to it. Parts
-that are named as something else than the article (navigation, forms, adverts, comments and so
-on) are left out first. Then, for every path, text length and punctuation are summed up over
+that are something else than the article (navigation, forms, adverts, comments and so on) are
+left out first; one that is so by its class, id or role alone stays when it holds half of the
+page, or a main heading or the largest article with a tenth of the text and the article is longer
+than all text outside such parts. Then, for every path, text length and punctuation are summed up over
 its blocks and divided by their number; the two ratios are smoothed in page order, fused, and
 paths are content when their mean reaches a share of the page's standard deviation. A short
 paragraph is content because its path is. The content blocks point out the article: the
@@ -23,6 +25,9 @@ from foliospark.llm.texts import bounded_batches
 
 #: Share of the standard deviation of the fused ratios that a content path reaches.
 THRESHOLD = 0.8
+#: Shares of the page's text with which a block stays whatever its name: of text and punctuation
+#: alike, and of text with the largest article or a main heading.
+MOST, SOME = 0.5, 0.1
 
 # Element names of HTML.
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe",
@@ -72,10 +77,10 @@ _PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？।؟،]")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "path", "depth")
+    __slots__ = ("tag", "parent", "path", "depth", "named")
 
-    def __init__(self, tag: str, parent: _Element | None):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: _Element | None, named: bool = False):
+        self.tag, self.parent, self.named = tag, parent, named
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.depth = parent.depth + 1 if parent else 0
 
@@ -89,10 +94,13 @@ class _Element:
 def _is_other(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in OTHER_TAGS or tag == "header" and not inside_article:
         return True
+    return tag not in ("html", "body") and bool(_HIDDEN.search(attributes))
+
+
+def _is_named(tag: str, attributes: str, inside_article: bool) -> bool:
+    """Whether a class, id or role says that it is something else than the article."""
     if not attributes or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
     for kind, *values in _NAMES.findall(attributes):
         for name in "".join(values).lower().split():
             words = _WORDS.findall(name) if not name.startswith(HAS) else ()
@@ -153,14 +161,53 @@ def blocks_of(html: str) -> list[tuple[_Element, str]]:
             if tag in BLOCKS:
                 close()
                 at = _implied_end(at, tag)
-            if _is_other(tag, attributes, inside) and not attributes.endswith("/"):
+            named = _is_named(tag, attributes, inside)
+            if (_is_other(tag, attributes, inside) or named and tag not in BLOCKS) \
+                    and not attributes.endswith("/"):
                 skipped, depth = tag, 1
             elif tag in BLOCKS:
-                at = _Element(tag, at)
+                at = _Element(tag, at, named and not attributes.endswith("/"))
     if not skipped:
         held.append(html[max(place, until):])
     close()
-    return out
+    return _without_named(out)
+
+
+def _without_named(blocks: list[tuple[_Element, str]]) -> list[tuple[_Element, str]]:
+    """The blocks but for those inside an element that its name and its share rule out."""
+    if not any(x.named for e in {e for e, _ in blocks} for x in e.around()):
+        return blocks
+    length, marks, heading = defaultdict(int), defaultdict(int), set()
+    for element, text in blocks:
+        n, m = len(text), len(_PUNCTUATION.findall(text))
+        title = False
+        for x in element.around():
+            title |= x.tag == "h1"
+            if x.named or x.tag in ("article", "main") or not x.parent:
+                length[x] += n
+                marks[x] += m
+                if title:
+                    heading.add(x)
+    root = next(x for x in blocks[0][0].around() if not x.parent)
+    articles = [x for x in length if x.tag in ("article", "main")]
+    # Of those of one size the outermost, or else the first.
+    largest = max(articles, key=lambda x: (length[x], -x.depth), default=None)
+    # One in a named block counts only if it is longer than all that is in none.
+    plain = sum(len(t) for e, t in blocks if not any(x.named for x in e.around()))
+    if largest and (length[largest] < SOME * length[root] or length[largest] < plain
+                    and any(x.named for x in largest.around())):
+        largest = None
+    holders = set(largest.around()) if largest else set()
+
+    def stays(x: _Element) -> bool:
+        if x in holders or x in heading and length[x] >= SOME * length[root]:
+            return True
+        # An article elsewhere is the article, however long the comments are.
+        elsewhere = largest and x not in holders and largest not in x.around()
+        return not elsewhere and length[x] >= MOST * length[root] and marks[x] >= MOST * marks[root]
+
+    gone = {x for x in length if x.named and not stays(x)}
+    return [(e, t) for e, t in blocks if gone.isdisjoint(e.around())]
 
 
 def _implied_end(at: _Element, tag: str) -> _Element:

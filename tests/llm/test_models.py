@@ -234,3 +234,21 @@ def test_pages_as_a_table(spark):
 def test_a_very_long_page():
     html = "<article>" + "<div><p>Some text, here.</p>" * 3000 + "</article>"
     assert len(html_text.main_text(html)) == 3000 * 17 - 1
+
+
+STORY = "<h1>Title</h1><p>A long story, with points. It goes on, and on.</p><p>More of it; yes.</p>"
+TOLD = "Title A long story, with points. It goes on, and on. More of it; yes."
+
+
+@pytest.mark.parametrize("html", [
+    f"<div class='layout-right-sidebar'>{STORY}</div><footer>Us.</footer>",
+    f"<div class='page-with-sidebar'><article>{STORY}</article></div>",
+    f"<div id='search-results'><div class='content widget-area'><main>{STORY}</main></div></div>",
+    f"<article class='share-price'>{STORY}<div class='share'>Share this, now.</div></article>",
+    f"<div class='page-with-sidebar'><div>{STORY.replace('h1', 'h2')}</div><div class='sidebar'>"
+    "Other, short.</div></div>",
+    f"<article>{STORY}</article><div class='comments'><article class='comment'>Great, thanks.</article>"
+    + "<p>I liked it, a lot. And you, too?</p>" * 9 + "</div>",
+    f"<div class='post'>{STORY}</div><div class='related'><article>Another, one.</article></div>"])
+def test_names_alone_do_not_drop_the_article(html):
+    assert html_text.main_text(f"<html><body>{html}</body></html>") == TOLD
