@@ -7,8 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import (cotrain, decontaminate, html_text, jaccard, langmix, lblm, mixing,
-                            packing, repeats, rules, wavelet, whitening)
+from foliospark.llm import (cotrain, decontaminate, hardneg, html_text, jaccard, langmix, lblm,
+                            mixing, packing, repeats, rules, wavelet, whitening)
 from foliospark.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(hardneg.labelled(table(spark, sf_dir, "embeddings")))
+
+
+ORACLES["op12_hard_negatives"] = hardneg.ORACLE
+
+
 @query
 def op13_capped_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(
