@@ -5,7 +5,8 @@ matrix T and sums up the Gram matrix of the rows of A T over the partitions; the
 of that sum orthogonalises the rows further (T becomes T R^-1, by triangular solves), and the
 product of all factors is the R of A = Q R. The first factor is that of the Gram matrix plus a
 shift, which exists however badly the columns are conditioned; two more passes then bring Q to
-working precision, and more follow where that is not reached. Singular values and right vectors
+working precision, and more follow where that is not reached. Columns that depend on others show
+by their pivots after the shifted pass and leave Q, but not R. Singular values and right vectors
 of R are those of A, whose squares are never formed in the result: small components keep their
 digits.
 
@@ -138,6 +139,19 @@ def _sums(df: DataFrame, scale: int, offset: int) -> tuple[int, np.ndarray] | No
     return best and (best.n, np.array([s for _, s in best.sums], np.int64))
 
 
+def _factor(g: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(R, kept): the upper Cholesky factor of a Gram matrix, with zero rows for columns that
+    depend on earlier ones, which are those whose pivot is under ``least``."""
+    g, d = g.copy(), len(g)
+    r, kept = np.zeros((d, d)), np.zeros(d, bool)
+    for j in range(d):
+        if g[j, j] > least:
+            kept[j] = True
+            r[j, j:] = g[j, j:] / math.sqrt(g[j, j])
+            g[j:, j:] -= np.outer(r[j, j:], r[j, j:])
+    return r, kept
+
+
 def _inverse(r: np.ndarray) -> np.ndarray:
     """The inverse of an upper triangular matrix by back substitution."""
     d = len(r)
@@ -186,21 +200,18 @@ def fit(vectors: DataFrame, vector: str = "embedding", components: int = COMPONE
     shift = 11 * (n * dims + dims * (dims + 1)) * eps * np.linalg.norm(g, 2)
     if trace == 0:
         return Whitening(n, sums, np.zeros((dims, 0)), np.zeros(0), 0.0, 0.0)
+    # After the shifted pass a direction keeps 1 / (11 n) of its length squared where its variance
+    # is just above rounding; what dependent columns keep is rounding of that again.
+    least = 1e-4 / (11 * (n + dims))
     for done in range(1, PASSES):
-        try:
-            step = np.linalg.cholesky(g + (shift if done == 1 else 0) * np.eye(dims)).T
-        except np.linalg.LinAlgError:
-            # Columns that depend on others: still shifted, by what rounding does to this sum.
-            step = np.linalg.cholesky(g + dims * dims * eps * np.trace(g) * np.eye(dims)).T
-        r, t = step @ r, t @ _inverse(step)
+        step, kept = _factor(g + shift * np.eye(dims), 0.0) if done == 1 else _factor(g, least)
+        solved = np.zeros((dims, dims))
+        solved[np.ix_(kept, kept)] = _inverse(step[np.ix_(kept, kept)])
+        r, t = step @ r, t @ solved
         g = gram(t)
-        if np.abs(g - np.eye(dims)).max() < NEAR:
+        if np.abs(g - np.diag(kept.astype(float))).max() < NEAR:
             break
-    # What is left of g beside the identity is part of R too (its symmetric root): directions
-    # in which the rows do not differ have length 0 in Q however often they are rescaled.
-    left, turn = np.linalg.eigh(g)
-    left = np.where(left > dims * eps * max(left[-1], 1.0), left, 0.0)
-    _, sigma, wt = np.linalg.svd((np.sqrt(left)[:, None] * turn.T) @ r)
+    _, sigma, wt = np.linalg.svd(r)
     variances = sigma ** 2 / n
     keep = min(components, int((variances > dims * eps * variances[0]).sum()))
     model = Whitening(n, sums, wt[:keep].T.copy(), variances[:keep], trace)
