@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import strip, word_set
+from foliospark.operators.matching import in_order, is_subsequence, similar, within
 from foliospark.session import broadcast_if_small, pin_small, stored
 
 # Words that never identify an entity when routing.
@@ -28,7 +27,9 @@ ROUTING_STOP_WORDS = (
 STRONG_SCORE = 700
 MIN_TOKEN_CHARS = 3
 MAX_SPAN_WORDS = 3
-SLICE_ENTITIES = 512
+#: Edits that a typo match allows, as a share of the longer text: of a symbol, and of a word, which
+#: also has to be of about the query's length.
+SYMBOL_EDITS, WORD_EDITS, WORD_GAP = 0.4, 0.3, 2
 MAX_KEYS = 200_000
 
 
@@ -45,13 +46,6 @@ def _similarity(a: Column, b: Column) -> Column:
         F.lit(1.0) - edits / longer)
 
 
-def _is_subsequence(short: Column, text: Column) -> Column:
-    matched = F.aggregate(
-        F.split(text, ""), F.lit(0),
-        lambda at, ch: at + F.when(short.substr(at + 1, F.lit(1)) == ch, 1).otherwise(0))
-    return matched == F.length(short)
-
-
 def strong_score(query: Column, symbol: Column, name: Column, words: Column) -> Column:
     """Score of the rules that identify an entity beyond doubt, null when none applies."""
     return (
@@ -76,50 +70,59 @@ def match_score(query: Column, symbol: Column, name: Column, words: Column) -> C
         F.coalesce(word_fuzzy, F.lit(0.0)),
     ).cast("int")
     loose = F.when(
-        (F.length(query) >= 3) & _is_subsequence(query, symbol), 120).otherwise(0)
+        (F.length(query) >= 3) & is_subsequence(query, symbol), 120).otherwise(0)
     inside = F.when(F.contains(symbol, query), 601 - F.instr(symbol, query)).when(
         F.contains(name, query), 500 - F.least(F.instr(name, query) - 1, F.lit(99)))
     return F.coalesce(strong_score(query, symbol, name, words), inside,
                       F.when(fuzzy > 0, fuzzy), loose)
 
 
-def score_entities(queries: DataFrame, entities: DataFrame, limit: int | None = 5,
-                   slice_entities: int = SLICE_ENTITIES) -> DataFrame:
-    """(query, symbol, name, score, rank): best entities per distinct query text.
+def entity_candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query, symbol, name): the pairs that some rule can give a score, of distinct trimmed
+    lower-case texts ``query`` with entities.
 
-    Typo matching has no join key, so every query has to see every entity. The entity
-    dimension is packed into slices of bounded size; each query row meets each slice by
-    an equi-join on the slice number and scores it inside the row, giving out its best
-    ``limit`` only (None: every positive score). Equal query texts are scored once.
+    Distinct symbols, names and words are matched, not entities: a word of many names is
+    looked at once. Every rule of ``match_score`` has its keys: what begins with, equals or
+    contains the query contains it; typo matches share a segment; loose ones three characters.
     """
-    packed, n_slices = _entity_slices(entities, slice_entities)
-    asked = (
-        queries.select(F.lower(strip(F.col("query"))).alias("query")).filter("query <> ''").distinct()
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))))
-    )
-    scored = F.transform("members", lambda e: F.struct(
-        (-match_score(F.col("query"), e["sym"], e["low"], e["words"])).alias("neg"),
-        e["symbol"].alias("symbol"), e["name"].alias("name")))
-    best = F.filter(scored, lambda s: s["neg"] < 0)
-    if limit is not None:
-        best = F.slice(F.sort_array(best), 1, limit)
-    rows = asked.join(packed, "slice").select("query", F.inline_outer(best)).filter(
-        "neg IS NOT NULL")
-    order = Window.partitionBy("query").orderBy("neg", "symbol")
-    ranked = rows.withColumn("rank", F.row_number().over(order))
+    low = F.lower("name")
+    rows = entities.select("symbol", "name").distinct().withColumns(
+        {"sym": F.lower("symbol"), "low": low})
+    words = rows.select("symbol", "name", F.explode(F.array_distinct(_name_words(F.col("low"))))
+                        .alias("text"))
+
+    def texts(column: str) -> DataFrame:
+        return rows.select(F.col(column).alias("text")).filter("text <> ''").distinct()
+
+    of_symbol = within(queries, texts("sym")).unionByName(
+        similar(queries, texts("sym"), SYMBOL_EDITS)).unionByName(
+        in_order(queries, texts("sym"))).distinct()
+    of_word = similar(queries, words.select("text").distinct(), WORD_EDITS, WORD_GAP)
+    found = [of_symbol.join(rows.withColumnRenamed("sym", "text"), "text"),
+             within(queries, texts("low")).join(rows.withColumnRenamed("low", "text"), "text"),
+             of_word.join(words, "text")]
+    first, *others = [f.select("query", "symbol", "name") for f in found]
+    for other in others:
+        first = first.unionByName(other)
+    return first.distinct()
+
+
+def score_entities(queries: DataFrame, entities: DataFrame, limit: int | None = 5) -> DataFrame:
+    """(query, symbol, name, score, rank): best entities per distinct query text, or with
+    ``limit`` None all of a positive score.
+
+    Only candidate pairs are scored. Rows that repeat a symbol and a name are one entity.
+    """
+    asked = queries.select(F.lower(strip(F.col("query"))).alias("query")).filter(
+        "query <> ''").distinct()
+    low = F.lower("name")
+    score = match_score(F.col("query"), F.lower("symbol"), low, _name_words(low))
+    scored = entity_candidates(asked, entities).withColumn("score", score).filter("score > 0")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "symbol", "name")
+    ranked = scored.withColumn("rank", F.row_number().over(order))
     if limit is not None:
         ranked = ranked.filter(F.col("rank") <= limit)
-    return ranked.select("query", "symbol", "name", (-F.col("neg")).alias("score"), "rank")
-
-
-def _entity_slices(entities: DataFrame, size: int) -> tuple[DataFrame, int]:
-    n_slices = max(1, math.ceil(entities.count() / size))
-    low = F.lower("name")
-    members = F.collect_list(F.struct(
-        "symbol", "name", F.lower("symbol").alias("sym"), low.alias("low"),
-        _name_words(low).alias("words"))).alias("members")
-    slot = F.pmod(F.xxhash64("symbol"), F.lit(n_slices)).cast("int").alias("slice")
-    return entities.groupBy(slot).agg(members), n_slices
+    return ranked.select("query", "symbol", "name", "score", "rank")
 
 
 def search_entities(queries: DataFrame, entities: DataFrame, limit: int = 5) -> DataFrame:
