@@ -85,26 +85,29 @@ def entity_candidates(queries: DataFrame, entities: DataFrame) -> DataFrame:
     looked at once. Every rule of ``match_score`` has its keys: what begins with, equals or
     contains the query contains it; typo matches share a segment; loose ones three characters.
     """
-    low = F.lower("name")
-    rows = entities.select("symbol", "name").distinct().withColumns(
-        {"sym": F.lower("symbol"), "low": low})
-    words = rows.select("symbol", "name", F.explode(F.array_distinct(_name_words(F.col("low"))))
-                        .alias("text"))
-
-    def texts(column: str) -> DataFrame:
-        return rows.select(F.col(column).alias("text")).filter("text <> ''").distinct()
-
-    of_symbol = within(queries, texts("sym")).unionByName(
-        similar(queries, texts("sym"), SYMBOL_EDITS)).unionByName(
-        in_order(queries, texts("sym"))).distinct()
-    of_word = similar(queries, words.select("text").distinct(), WORD_EDITS, WORD_GAP)
-    found = [of_symbol.join(rows.withColumnRenamed("sym", "text"), "text"),
-             within(queries, texts("low")).join(rows.withColumnRenamed("low", "text"), "text"),
-             of_word.join(words, "text")]
-    first, *others = [f.select("query", "symbol", "name") for f in found]
+    queries = stored(queries.select("query").distinct(), "asked")
+    sym, low = F.lower("symbol"), F.lower("name")
+
+    def of_kind(kind: str, texts: Column) -> Column:
+        return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+
+    # What the rules look at: parts of symbol and name, the symbol, the words of the name.
+    looked_at = F.concat(of_kind("part", F.array(sym, low)), of_kind("symbol", F.array(sym)),
+                         of_kind("word", F.coalesce(F.array_distinct(_name_words(low)), F.array())))
+    keyed = stored(entities.select("symbol", "name").distinct().select(
+        "symbol", "name", F.inline(looked_at)).filter("text <> ''"), "entities")
+
+    def texts(kind: str) -> DataFrame:
+        return keyed.filter(F.col("kind") == kind).select("text").distinct()
+
+    found = [("part", within(queries, texts("part"))),
+             ("symbol", similar(queries, texts("symbol"), SYMBOL_EDITS)),
+             ("symbol", in_order(queries, texts("symbol"))),
+             ("word", similar(queries, texts("word"), WORD_EDITS, WORD_GAP))]
+    first, *others = [f.select("query", F.lit(kind).alias("kind"), "text") for kind, f in found]
     for other in others:
         first = first.unionByName(other)
-    return first.distinct()
+    return first.join(keyed, ["kind", "text"]).select("query", "symbol", "name").distinct()
 
 
 def score_entities(queries: DataFrame, entities: DataFrame, limit: int | None = 5) -> DataFrame:

@@ -3,7 +3,8 @@
 Each rule of matching has keys that a matching pair shares: a gram for texts inside others, a
 segment that stays in place for texts with few edits, three characters in order for texts that
 run through others. Keys meet in equi-joins, and what they bring together is verified there, so
-every function gives exactly the pairs (query, text) of its rule.
+every function gives exactly the pairs (query, text) of its rule. A pair that shares several keys
+comes several times; callers that put rules together take distinct pairs once, at the end.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def similar(queries: DataFrame, texts: DataFrame, ratio: float,
         F.sequence(F.lit(0), F.col("edits")), probes))))
     met = probed.join(indexed, ["length", "edits", "part", "chars"])
     near = F.call_function("levenshtein", query, text, F.col("edits"))
-    return met.filter((near >= 1)).select("query", "text").distinct()
+    return met.filter(near >= 1).select("query", "text")
 
 
 def is_subsequence(short: Column, text: Column) -> Column:
@@ -148,4 +149,4 @@ def in_order(queries: DataFrame, texts: DataFrame) -> DataFrame:
         F.concat(first, middle, last), F.concat(first, last))).alias("key"))
     return asked.join(indexed, "key").filter(
         (F.length(query) <= n) & (F.call_function("translate", query, text, F.lit("")) == "")
-        & is_subsequence(query, text)).select("query", "text").distinct()
+        & is_subsequence(query, text)).select("query", "text")

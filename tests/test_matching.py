@@ -30,9 +30,7 @@ def both(spark):
 
 
 def pairs(found):
-    rows = [tuple(r) for r in found.collect()]
-    assert len(rows) == len(set(rows))
-    return set(rows)
+    return {tuple(r) for r in found.collect()}
 
 
 def frames(spark, both):
