@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.catalog.inputs import Tables, query
@@ -122,21 +123,28 @@ def _vector_search_filtered(t: Tables):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("approx_vector_search")
+@query("approx_vector_search", """
+SELECT query_id, CAST(10 AS BIGINT) AS exact_neighbours, true AS found_nine, true AS few_vectors
+FROM {questions} WHERE embedding IS NOT NULL""")
 def _approx_vector_search(t: Tables):
-    """Approximate search over stored cells and its agreement with the exact one."""
-    chunks = t("chunks").select("chunk_id", "embedding")
+    """Approximate search over stored cells and codes against the exact one: whether each
+    question gets nine of its ten nearest chunks from the vectors of a quarter of all."""
+    k, oversample = 10, 4
+    chunks = t("chunks").select("chunk_id", "embedding").filter("embedding IS NOT NULL")
     questions = t("questions").select("query_id", "embedding")
-    centres = vectors.fit_cells(chunks, 16)
-    path = shared_folder(t.spark, "cells")
+    centres, path = vectors.fit_cells(chunks), shared_folder(t.spark, "cells")
     vectors.store_cells(vectors.assign_cells(chunks, centres), path)
-    approx = vectors.approx_rank_chunks(
-        questions, t.spark.read.parquet(path), centres, k=10, probes=8)
-    exact = vectors.rank_chunks(questions, chunks, 10)
+    celled = t.spark.read.parquet(path)
+    probes = vectors.tune_probes(celled, centres, k, 0.99)
+    approx = vectors.approx_rank_chunks(questions, celled, centres, k, probes, oversample)
+    exact = vectors.rank_chunks(questions, chunks, k)
     found = approx.select("query_id", "chunk_id", F.lit(1).alias("found"))
+    # Vectors that a question was scored with: its survivors, at most.
+    few = k * oversample * 4 <= celled.count()
     return (
         exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id")
-        .agg(F.count("*").alias("exact_neighbours"), F.count("found").alias("found_neighbours"))
+        .agg(F.count("*").alias("exact_neighbours"), (F.count("found") >= 9).alias("found_nine"))
+        .withColumn("few_vectors", F.lit(few))
     )
 
 
@@ -181,6 +189,29 @@ def _stored_text_search(t: Tables):
     return found.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def _stored(t: Tables) -> tuple[DataFrame, postings.StoredIndex]:
+    """The chunk table and its text index as a search finds them stored."""
+    chunks_path, index_path = shared_folder(t.spark, "chunks"), shared_folder(t.spark, "index")
+    vectors.store_chunks(t("chunks"), chunks_path)
+    chunks = t.spark.read.parquet(chunks_path)
+    postings.store_index(chunks, index_path, buckets=8, blocks=4)
+    return chunks, postings.StoredIndex(t.spark, index_path, buckets=8)
+
+
+@query("indexed_text_search", f"""
+WITH c AS (SELECT * FROM {{chunks}}), s AS (SELECT * FROM {{search_texts}}),
+{text_ctes('s')}
+SELECT query_id, rank, chunk_id, {LABEL_SQL} AS source, symbol, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM text_scores) JOIN chunks USING (chunk_id) WHERE rank <= 8""")
+def _indexed_text_search(t: Tables):
+    """The keyword search from stored chunks and the stored index with its bounds."""
+    chunks, index = _stored(t)
+    found = postings.text_search(t("search_texts"), chunks, k=8, index=index)
+    return found.select("query_id", "rank", "chunk_id", "source", "symbol",
+                        F.round("score", 6).alias("score"))
+
+
 @query("query_semantics", f"""
 WITH c AS (SELECT * FROM {{chunks}}), s AS (SELECT * FROM {{search_texts}}),
 {text_ctes('s')}
@@ -228,6 +259,17 @@ def _hybrid_search(t: Tables):
     return found.drop("content").withColumn("score", F.round("score", 9))
 
 
+@query("indexed_hybrid_search", hybrid_sql("{questions}", """
+SELECT query_id, rank, chunk_id, symbol, doc_type, period, CAST(page AS BIGINT) AS page, source_url,
+  round(score, 9) AS score, vector_rank, text_rank
+FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 10"""))
+def _indexed_hybrid_search(t: Tables):
+    """Hybrid search with keywords from the stored index and winners from stored chunks."""
+    chunks, index = _stored(t)
+    found = hybrid.hybrid_search(t("questions"), chunks, k=10, index=index)
+    return found.drop("content").withColumn("score", F.round("score", 9))
+
+
 @query("rank_fusion", hybrid_sql("{questions}", """
 SELECT query_id, chunk_id, round(score, 9) AS score, vector_rank, text_rank FROM fused"""))
 def _rank_fusion(t: Tables):
@@ -343,6 +385,21 @@ def _retrieve_for_questions(t: Tables):
         ranked, "query_id", "left")
 
 
+@query("indexed_retrieve_for_questions", hybrid_sql("shaped", SUMMARY_CTES + """
+SELECT s.query_id, keyword_query, round(max_score, 6) AS max_score, n_sources, rank, chunk_id,
+  vector_rank, text_rank, round(score, 9) AS score
+FROM summary s LEFT JOIN (SELECT * FROM ranked WHERE rank <= 8) r ON r.query_id = s.query_id""",
+    RETRIEVE_SQL))
+def _indexed_retrieve_for_questions(t: Tables):
+    """Retrieval for questions from the stored tables."""
+    chunks, index = _stored(t)
+    sources, summary = hybrid.retrieve_for_questions(t("questions"), chunks, t("companies"), index=index)
+    ranked = sources.select("query_id", "rank", "chunk_id", "vector_rank", "text_rank",
+                            F.round("score", 9).alias("score"))
+    return summary.drop("question").withColumn("max_score", F.round("max_score", 6)).join(
+        ranked, "query_id", "left")
+
+
 @query("confidence_gate", hybrid_sql("shaped", SUMMARY_CTES + """
 SELECT query_id, round(max_score, 6) AS max_score, n_sources,
   n_sources = 0 OR max_score < 9e-1 AS refused,

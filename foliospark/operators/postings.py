@@ -1,9 +1,13 @@
-"""Keyword search over a postings table."""
+"""Keyword search over a postings table.
 
-from __future__ import annotations
+Postings carry the filtered columns of their chunk, so a filter acts where a term is met, before
+anything is grouped. A stored index (``store_index``) is partitioned by term and by chunk length;
+for each term and block of lengths it knows the most that the term can add to a score. A search
+reads the most promising block of each query first and then only blocks that can still reach the
+k-th score found there.
+"""
 
-from functools import reduce
-from operator import or_
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,39 +15,46 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import STOP_WORDS, one_of, stem, terms, word_set
 from foliospark.functions.filings import citation_label
 from foliospark.operators.filings import matches_filters
-from foliospark.operators.vectors import MAX_QUESTIONS, with_details
-from foliospark.session import broadcast_if_small, pin_small
+from foliospark.operators.vectors import with_details
+from foliospark.session import PINNED_ROWS, broadcast_if_small, pin_small, stored
 
 MAX_QUERY_TERMS = 200_000
 UNIT_PATTERN = r'-?"[^"]*"|\S+'
-FILTER_COLUMNS = ("filter_symbol", "filter_doc_type", "filter_period")
+CARRIED = ("symbol", "doc_type", "period")
 
 
-def token_rows(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, pos, term): stemmed terms with their word position, stop words out."""
+def token_rows(chunks: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, carried columns, pos, term): stemmed terms with their word position, stop
+    words out."""
     # The outer form saves the size filter Spark would infer, a second tokenising.
-    words = chunks.select("chunk_id", F.posexplode_outer(terms(F.col("content")))
+    words = chunks.select("chunk_id", *carried, F.posexplode_outer(terms(F.col("content")))
                           .alias("_at", "_raw"))
     return words.filter(~one_of("_raw", STOP_WORDS)).select(
-        "chunk_id", (F.col("_at") + 1).alias("pos"), stem(F.col("_raw")).alias("term"))
+        "chunk_id", *carried, (F.col("_at") + 1).alias("pos"), stem(F.col("_raw")).alias("term"))
 
 
-def _group(tokens: DataFrame) -> DataFrame:
+def _group(tokens: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     positions = F.sort_array(F.collect_list("pos"))
-    return tokens.groupBy("chunk_id", "term").agg(positions.alias("positions")).select(
-        "chunk_id", "term", F.size("positions").alias("tf"), "positions")
+    return tokens.groupBy("chunk_id", "term").agg(
+        positions.alias("positions"), *(F.first(c).alias(c) for c in carried)).select(
+        "chunk_id", "term", F.size("positions").alias("tf"), "positions", *carried)
+
 
+def _carried(table: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in CARRIED if c in table.columns)
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, positions). A group is one term in one chunk; positions are
-    combined before the shuffle. Store it clustered by term for repeated searches."""
-    return _group(token_rows(chunks))
+
+def build_postings(chunks: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, term, tf, positions, carried columns). A group is one term in one chunk;
+    positions are combined before the shuffle. Store it clustered by term for repeated
+    searches; with ``CARRIED`` columns, searches can be filtered by them."""
+    return _group(token_rows(chunks, carried), carried)
 
 
 def refresh_postings(postings: DataFrame, changed: DataFrame) -> DataFrame:
     """Postings with the rows of changed chunks replaced; only those are tokenised."""
     kept = postings.join(changed.select("chunk_id"), "chunk_id", "left_anti")
-    return kept.unionByName(build_postings(changed))
+    return kept.unionByName(build_postings(changed, _carried(postings)))
 
 
 def postings_for(queries: DataFrame, chunks: DataFrame, small: bool | None = None) -> DataFrame:
@@ -52,13 +63,15 @@ def postings_for(queries: DataFrame, chunks: DataFrame, small: bool | None = Non
     that the queries are known to be few; None has them counted. Positions are collected
     only when a phrase needs them."""
     wanted = query_terms(queries)
+    carried = _carried(chunks) if any(f"filter_{c}" in queries.columns for c in CARRIED) else ()
     vocabulary = wanted.select("term").distinct()
-    tokens = token_rows(chunks).join(
+    tokens = token_rows(chunks, carried).join(
         broadcast_if_small(vocabulary, MAX_QUERY_TERMS, small), "term", "left_semi")
     if small and _shape(wanted) != "phrases":
-        return tokens.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")).withColumn(
+        return tokens.groupBy("chunk_id", "term").agg(
+            F.count("*").alias("tf"), *(F.first(c).alias(c) for c in carried)).withColumn(
             "positions", F.lit(None).cast("array<int>"))
-    return _group(tokens)
+    return _group(tokens, carried)
 
 
 def _bucket(buckets: int) -> Column:
@@ -146,12 +159,36 @@ def matching_chunks(queries: DataFrame, postings: DataFrame,
 
     score = sum of tf / (tf + 1) over the matched query terms, divided by the number of
     terms in the query. The query side is broadcast when a count proves it small;
-    otherwise the join shuffles by term, where AQE splits the frequent terms.
+    otherwise the join shuffles by term, where AQE splits the frequent terms. Filters of the
+    queries act on the joined rows when the postings carry the columns.
     """
-    wanted = query_terms(queries)
-    hits = postings.join(broadcast_if_small(wanted, MAX_QUERY_TERMS, small), "term").withColumn(
-        "_gain", F.when(F.col("scores"), F.col("tf") / (F.col("tf") + 1)))
-    shape = _shape(wanted) if small else None
+    wanted = _with_filters(query_terms(queries), queries, small)
+    hits = postings.join(broadcast_if_small(wanted, MAX_QUERY_TERMS, small), "term")
+    return _matches(_visible(hits, queries), _shape(wanted) if small else None)
+
+
+def _filtered(queries: DataFrame) -> bool:
+    return any(f"filter_{c}" in queries.columns for c in CARRIED)
+
+
+def _with_filters(wanted: DataFrame, queries: DataFrame, small: bool | None) -> DataFrame:
+    """Query terms with the filters of their query, null for those it lacks."""
+    if not _filtered(queries):
+        return wanted
+    filters = queries.select("query_id", *(
+        F.col(f"filter_{c}") if f"filter_{c}" in queries.columns
+        else F.lit(None).cast("string").alias(f"filter_{c}") for c in CARRIED))
+    return wanted.join(broadcast_if_small(filters, MAX_QUERY_TERMS, small), "query_id")
+
+
+def _visible(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    carries = len(_carried(hits)) == len(CARRIED)
+    return hits.filter(matches_filters()) if carries and _filtered(queries) else hits
+
+
+def _matches(hits: DataFrame, shape: str | None) -> DataFrame:
+    """Scores of the chunks whose hits satisfy their query."""
+    hits = hits.withColumn("_gain", F.when(F.col("scores"), F.col("tf") / (F.col("tf") + 1)))
     score = (F.coalesce(F.sum("gain"), F.lit(0.0)) / F.first("n_terms")).alias("score")
     if shape == "any word":
         return hits.withColumnRenamed("_gain", "gain").groupBy("query_id", "chunk_id").agg(score)
@@ -198,31 +235,28 @@ def _shape(wanted: DataFrame) -> str:
     return "words" if (most[1] or 1) > 1 or most[2] else "any word"
 
 
-def any_filter(questions: DataFrame) -> Column | None:
-    """Condition 'this question has a filter', or None when no such columns exist."""
-    present = [c for c in FILTER_COLUMNS if c in questions.columns]
-    return reduce(or_, (F.col(c).isNotNull() for c in present)) if present else None
-
-
 def rank_text(queries: DataFrame, postings: DataFrame, k: int = 8,
               documents: DataFrame | None = None, precision: int = 9,
               small: bool | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): best keyword matches, ties by chunk id.
 
-    With ``documents`` (chunk_id, symbol, doc_type, period) those filter_* columns that the
-    queries have act before the top k. An optional column k overrides ``k`` per query.
+    Filters of the queries act before the top k: on the postings' own columns, or else on
+    ``documents`` (chunk_id, symbol, doc_type, period), which then has to be met by all
+    matches. An optional column k overrides ``k`` per query.
     """
     found = matching_chunks(queries, postings, small)
-    if documents is not None and any_filter(queries) is not None:
-        asked = queries.select("query_id", *(
-            F.col(c) if c in queries.columns else F.lit(None).cast("string").alias(c)
-            for c in FILTER_COLUMNS))
-        docs = documents.select("chunk_id", "symbol", "doc_type", "period")
+    if documents is not None and _filtered(queries) and len(_carried(postings)) < len(CARRIED):
+        asked = _with_filters(queries.select("query_id"), queries, small)
         found = (
             found.join(broadcast_if_small(asked, MAX_QUERY_TERMS, small), "query_id")
-            .join(docs, "chunk_id").filter(matches_filters())
+            .join(documents.select("chunk_id", *CARRIED), "chunk_id").filter(matches_filters())
             .select("query_id", "chunk_id", "score")
         )
+    return _best(queries, found, k, precision, small)
+
+
+def _best(queries: DataFrame, found: DataFrame, k: int, precision: int = 9,
+          small: bool | None = None) -> DataFrame:
     max_k = k
     if "k" in queries.columns:
         max_k = max(k, queries.agg(F.max("k")).first()[0] or k)
@@ -239,16 +273,100 @@ def rank_text(queries: DataFrame, postings: DataFrame, k: int = 8,
     )
 
 
+# --- stored index -----------------------------------------------------------------
+
+
+def store_index(chunks: DataFrame, path: str, buckets: int = 64, blocks: int = 16) -> None:
+    """Writes postings with their chunk's symbol, doc_type and period below ``path``, in
+    partitions by term bucket and by block of chunk lengths, and for each term and block the
+    most that the term adds to a score. Long chunks hold the high counts, so blocks differ.
+    """
+    length = F.length("content")
+    cuts = chunks.select(length.alias("n")).approxQuantile(
+        "n", [i / blocks for i in range(1, blocks)], 0.01)
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= length)) if cuts \
+        else F.lit(0)
+    carried = (*CARRIED, "block")
+    posts = build_postings(chunks.withColumn("block", F.coalesce(block, F.lit(0))), carried)
+    (
+        posts.withColumn("bucket", _bucket(buckets)).repartition("bucket", "block")
+        .sortWithinPartitions("bucket", "block", "term")
+        .write.partitionBy("bucket", "block").parquet(f"{path}/postings")
+    )
+    written = chunks.sparkSession.read.schema(
+        posts.withColumn("bucket", F.lit(0)).schema).parquet(f"{path}/postings")
+    (
+        written.groupBy("bucket", "block", "term").agg(F.max(F.col("tf") / (F.col("tf") + 1)).alias("most"))
+        .repartition("bucket").sortWithinPartitions("bucket", "term")
+        .write.partitionBy("bucket").parquet(f"{path}/bounds")
+    )
+
+
+class StoredIndex:
+    """A stored index and how many term buckets it has."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.bounds = spark.read.parquet(f"{path}/bounds")
+        self.buckets = buckets
+
+
+def block_bounds(wanted: DataFrame, index: StoredIndex) -> DataFrame:
+    """(query_id, block, upper): the most a chunk of the block can score for the query."""
+    terms_of = wanted.filter("scores").select("query_id", "term", "n_terms")
+    buckets = [r[0] for r in terms_of.select(_bucket(index.buckets)).distinct().collect()]
+    return index.bounds.filter(F.col("bucket").isin(buckets)).join(terms_of, "term").groupBy(
+        "query_id", "block").agg((F.sum("most") / F.first("n_terms")).alias("upper"))
+
+
+def rank_stored(queries: DataFrame, index: StoredIndex, k: int = 8, precision: int = 9,
+                small: bool | None = None) -> DataFrame:
+    """``rank_text`` over a stored index; ``small`` as there. Only the partitions of the
+    queries' terms are read, and of those the blocks that can still reach the top k: a query's
+    most promising block sets its k-th score, and a block whose bound is under that is left
+    out. Filters lower scores and no bounds, so the result is exact."""
+    wanted = stored(_with_filters(query_terms(queries), queries, small), "terms")
+    shape = _shape(wanted) if small else None
+    uppers = stored(block_bounds(wanted, index).withColumn("nth", F.row_number().over(
+        Window.partitionBy("query_id").orderBy(F.desc("upper"), "block"))), "bounds")
+
+    def read(pairs: DataFrame) -> DataFrame:
+        # At most as many numbers as the index has partitions.
+        blocks = [r[0] for r in pairs.select("block").distinct().collect()]
+        buckets = [r[0] for r in wanted.select(_bucket(index.buckets)).distinct().collect()]
+        terms_there = wanted.join(pairs.select("query_id", "block"), "query_id")
+        hits = index.postings.filter(F.col("bucket").isin(buckets) & F.col("block").isin(blocks)) \
+            .join(broadcast_if_small(terms_there, MAX_QUERY_TERMS, small), ["term", "block"])
+        return _matches(_visible(hits, queries), shape)
+
+    first = stored(_best(queries, read(uppers.filter("nth = 1")), k, precision, small), "ranked")
+    limits = queries.select("query_id", (F.coalesce("k", F.lit(k)) if "k" in queries.columns
+                                         else F.lit(k)).alias("_k"))
+    reached = first.join(limits, "query_id").filter(F.col("rank") == F.col("_k")).select(
+        "query_id", F.col("score").alias("reached"))
+    # A bound is a sum in another order than a score, and scores count to ``precision`` places.
+    left = uppers.filter("nth > 1").join(reached, "query_id", "left").filter(
+        "reached IS NULL OR upper + 1e-8 >= reached")
+    rest = read(stored(left.select("query_id", "block"), "blocks"))
+    both = first.select("query_id", "chunk_id", "score").unionByName(
+        _best(queries, rest, k, precision, small).select("query_id", "chunk_id", "score"))
+    return _best(queries, both, k, precision, small)
+
+
 def text_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame | None = None,
-                k: int = 8) -> DataFrame:
-    """Ranked keyword matches with content and citation label; the postings are made for
-    the queried terms when no stored table is given."""
-    asked, small = pin_small(queries, MAX_QUESTIONS)
-    index = postings if postings is not None else postings_for(asked, chunks, small)
+                k: int = 8, index: StoredIndex | None = None) -> DataFrame:
+    """Ranked keyword matches with content and citation label, from a stored index or postings;
+    without either, postings are made for the queried terms."""
+    asked, small = pin_small(queries, PINNED_ROWS)
+    if index is not None:
+        ranked = rank_stored(asked, index, k, small=small)
+    else:
+        made = postings if postings is not None else postings_for(asked, chunks, small)
+        ranked = rank_text(asked, made, k, documents=chunks if _filtered(asked) else None, small=small)
     label = citation_label(F.col("symbol"), F.col("doc_type"), F.col("period"),
                            F.col("source_url"))
     return with_details(
-        rank_text(asked, index, k, small=small), chunks, "content", "page", "section", "symbol",
-        "doc_type", "period", "source_url", small=small,
+        ranked, chunks, "content", "page", "section", "symbol", "doc_type", "period", "source_url",
+        rows=k * asked.count() if small and "k" not in asked.columns else None,
     ).select("query_id", "rank", "chunk_id", "content", "page", "section",
              label.alias("source"), "symbol", "score")

@@ -1,13 +1,13 @@
 """Exact and cell-pruned vector search for tables of questions.
 
-No join ever produces question-chunk pairs. Chunks stay where they are stored: each
-task multiplies its Arrow batches with the question matrix and keeps the best k of
-every question, so a task emits at most questions x k rows whatever its input. A window
-over those picks the final ranks.
-
-The question matrix reaches the tasks inside the task closure only after a bounded read
-proved that it is small. Larger question tables are cut into blocks, the chunks into
-slices, and each (block, slice) pair is one co-grouped task of bounded size.
+No join ever produces question-chunk pairs, and chunks stay where they are stored: each
+task multiplies its Arrow batches with a block of questions and keeps the best k of every
+question, so a task emits at most questions x k rows whatever its input.
+
+A block holds ``BLOCK_BYTES`` of question vectors, which are sent out; more questions are
+more blocks, each a scan of its own that reads what its questions may see. Questions with
+the same filters share a block, so filters and cells reach the scan for any number of
+questions. Ranks are cut twice: within a question and salt, then within the question.
 """
 
 from __future__ import annotations
@@ -16,18 +16,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.functions.filings import citation_label
-from foliospark.session import pin_small, rows_within
+from foliospark.session import stored
 
 FILTERS = ("symbol", "doc_type", "period")
-MAX_QUESTIONS = 4096
-SLICE_ROWS = 50_000
+BLOCK_BYTES = 32 << 20
+SALTS = 32
+#: Ranked rows (ids and scores) up to which they are sent to the chunks, not joined by a shuffle.
+SENT_ROWS = 100_000
 PRECISION = 9  # decimals that count for ranking; ties go to the smaller chunk id
 
 
@@ -60,9 +62,11 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 class _Questions:
-    """Question vectors grouped by what they may see (cell and filters)."""
+    """Question vectors grouped by what they may see (cell and filters). With ``keep_cell``
+    ids are pairs (chunk_id, cell) until the results are given out."""
 
-    def __init__(self, rows: list, k: int):
+    def __init__(self, rows: list, k: int, keep_cell: bool = False):
+        self.keep_cell = keep_cell
         self.ids = [r["query_id"] for r in rows]
         self.unit = _unit_rows(np.array([r["embedding"] for r in rows], dtype="float64"))
         self.k = [int(r["k"]) if r["k"] is not None else k for r in rows]
@@ -74,6 +78,10 @@ class _Questions:
 
     def score(self, chunks: dict[str, np.ndarray], best: dict[int, _Best]) -> None:
         unit = _unit_rows(chunks["embedding"])
+        all_ids = chunks["chunk_id"]
+        if self.keep_cell:
+            all_ids = np.empty(len(unit), dtype=object)
+            all_ids[:] = list(zip(chunks["chunk_id"].tolist(), chunks["cell"].tolist()))
         for (cell, wanted), members in self.groups.items():
             visible = np.ones(len(unit), dtype=bool)
             if cell is not None:
@@ -88,15 +96,21 @@ class _Questions:
                 scores = np.round(self.unit[members] @ unit[part].T, PRECISION)
                 # A zero vector has no direction: it ranks behind everything.
                 scores = np.where(np.isnan(scores), -2.0, scores)
-                ids = chunks["chunk_id"][part]
+                ids = all_ids[part]
                 for row, q in enumerate(members):
                     best.setdefault(q, _Best(self.k[q])).add(scores[row], ids)
 
     def results(self, best: dict[int, _Best]) -> dict[str, list]:
         out: dict[str, list] = {"query_id": [], "chunk_id": [], "score": [], "k": []}
+        if self.keep_cell:
+            out["cell"] = []
         for q, found in best.items():
             out["query_id"] += [self.ids[q]] * len(found.ids)
-            out["chunk_id"] += found.ids
+            if self.keep_cell:
+                out["chunk_id"] += [i for i, _ in found.ids]
+                out["cell"] += [c for _, c in found.ids]
+            else:
+                out["chunk_id"] += found.ids
             out["score"] += [None if s == -2.0 else s for s in found.scores]
             out["k"] += [self.k[q]] * len(found.ids)
         return out
@@ -135,79 +149,101 @@ def _chunk_columns(chunks: DataFrame) -> DataFrame:
 
 
 def _ranked(scored: DataFrame, max_k: int) -> DataFrame:
-    """Final ranks. The literal bound lets Spark cut groups before the shuffle; the exact
-    per-question k is applied after it."""
-    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id")
+    """Final ranks, from at most k rows of a task and question: those of some tasks together
+    first, so that a question's rows of all tasks never meet in one. The literal bound lets
+    Spark cut groups before the shuffle; the exact per-question k is applied after it."""
+    best = [F.desc_nulls_last("score"), F.col("chunk_id")]
+    salted = Window.partitionBy("query_id", "_salt").orderBy(*best)
+    some = (
+        scored.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= max_k)
+    )
+    order = Window.partitionBy("query_id").orderBy(*best)
     return (
-        scored.withColumn("rank", F.row_number().over(order))
+        some.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= max_k)
-        .filter(F.col("rank") <= F.col("k"))
-        .select("query_id", "chunk_id", "score", "rank")
+        .filter(F.col("rank") <= F.col("k")).drop("k", "_salt")
     )
 
 
+def _blocks(asked: DataFrame, block_bytes: int) -> Iterator[list]:
+    """The questions in lists of bounded size, those with equal filters together; only one
+    list is in the driver at a time."""
+    n, dims = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if not n:
+        return
+    rows = max(1, block_bytes // (8 * dims + 200))
+    if n <= rows:
+        yield asked.collect()
+        return
+    by = [f"filter_{f}" for f in FILTERS]
+    ranged = asked.repartitionByRange(math.ceil(n / rows), *by, "query_id").withColumn(
+        "_block", F.spark_partition_id())
+    ranged = stored(ranged, "questions")
+    for block, size in sorted(tuple(r) for r in ranged.groupBy("_block").count().collect()):
+        parts = math.ceil(size / rows)
+        for part in range(parts):
+            yield ranged.filter((F.col("_block") == block) & (
+                F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)).drop("_block").collect()
+
+
 def rank_chunks(questions: DataFrame, chunks: DataFrame, k: int = 8,
-                max_questions: int = MAX_QUESTIONS, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k chunks of highest cosine similarity.
+                block_bytes: int = BLOCK_BYTES, keep_cell: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score, rank), with ``keep_cell`` also the chunk's cell: the k chunks of highest cosine similarity.
 
     ``questions`` has query_id and embedding, and optionally k, filter_symbol,
     filter_doc_type, filter_period (null: no filter) and cells (the cells to look in).
     ``chunks`` has chunk_id, embedding and the filtered columns. Filters act before the
-    top k. Chunks or questions without a vector do not take part.
+    top k. Chunks or questions without a vector do not take part. The result of each of
+    several blocks is written before the next one is read.
     """
+    spark = chunks.sparkSession
     asked = _question_columns(questions)
     pool = _chunk_columns(chunks)
     kinds = dict(asked.dtypes) | dict(pool.dtypes)
-    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, k int"
-    rows = rows_within(asked, max_questions)
-
-    if rows is not None:
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double, k int, _salt int"
+    if keep_cell:
+        schema += ", cell int"
+    done: DataFrame | None = None
+    held: DataFrame | None = None
+    for rows in _blocks(asked, block_bytes):
         if not rows:
-            return chunks.sparkSession.createDataFrame([], schema).transform(_ranked, k)
-        plan = _Questions(rows, k)
-        for f in FILTERS:  # one filter shared by all questions reaches the scan
-            wanted = {r[f"filter_{f}"] for r in rows}
-            if None not in wanted:
-                pool = pool.filter(F.col(f).isin(sorted(wanted)))
-        if all(r["cells"] is not None for r in rows):
-            pool = pool.filter(F.col("cell").isin(sorted({c for r in rows for c in r["cells"]})))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict[int, _Best] = {}
-            for batch in batches:
-                if batch.num_rows:
-                    plan.score(_from_arrow(batch), best)
-            if best:
-                found = plan.results(best)
-                yield pa.RecordBatch.from_pydict(found).cast(arrow_schema)
-
-        arrow_schema = _arrow_schema(schema)
-        return _ranked(pool.mapInArrow(scan, schema), max(plan.k))
-
-    # More questions than one task should carry: bounded blocks against bounded slices.
-    n_blocks = math.ceil(asked.count() / max_questions)
-    n_slices = max(1, math.ceil(pool.count() / slice_rows))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("_block")
-    part = F.pmod(F.xxhash64("chunk_id"), F.lit(n_slices)).alias("_slice")
-    left = asked.select("*", block).select(
-        "*", F.explode(F.expr(f"sequence(0L, {n_slices - 1}L)")).alias("_slice"))
-    right = pool.select("*", part).select(
-        "*", F.explode(F.expr(f"sequence(0L, {n_blocks - 1}L)")).alias("_block"))
-
-    def pair(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": [], "k": []})
-        group = _Questions(qs.astype(object).where(qs.notna(), None).to_dict("records"), k)
-        columns = {c: cs[c].to_numpy() for c in cs.columns if c != "embedding"}
-        columns["embedding"] = np.stack(cs["embedding"].to_numpy()).astype("float64")
+            continue
+        if held is not None:
+            kept = stored(held, "ranked")
+            done = kept if done is None else done.unionByName(kept)
+        held = _scan(spark, _Questions(rows, k, keep_cell), rows, pool, schema)
+    if held is None:
+        held = _ranked(spark.createDataFrame([], schema), k)
+    return held if done is None else done.unionByName(stored(held, "ranked"))
+
+
+def _scan(spark: SparkSession, plan: _Questions, rows: list, pool: DataFrame,
+          schema: str) -> DataFrame:
+    """Ranks of one block of questions."""
+    for f in FILTERS:  # filters that all questions of the block have reach the scan
+        wanted = {r[f"filter_{f}"] for r in rows}
+        if None not in wanted:
+            pool = pool.filter(F.col(f).isin(sorted(wanted)))
+    if all(r["cells"] is not None for r in rows):
+        pool = pool.filter(F.col("cell").isin(sorted({c for r in rows for c in r["cells"]})))
+    max_k = max(plan.k)
+    sent = spark.sparkContext.broadcast(plan)
+    arrow_schema = _arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, _Best] = {}
-        group.score(columns, best)
-        return pd.DataFrame(group.results(best))
+        for batch in batches:
+            if batch.num_rows:
+                sent.value.score(_from_arrow(batch), best)
+        if best:
+            found = sent.value.results(best)
+            # Told by the task, not by Spark's function for it, which would keep a plan with this
+            # ranking from pruning partitions at run time.
+            found["_salt"] = [TaskContext.get().partitionId() % SALTS] * len(found["k"])
+            yield pa.RecordBatch.from_pydict({c: found[c] for c in arrow_schema.names}).cast(
+                arrow_schema)
 
-    max_k = max(k, asked.agg(F.max("k")).first()[0] or k)
-    keys = ["_block", "_slice"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, schema)
-    return _ranked(scored, max_k)
+    return _ranked(pool.mapInArrow(scan, schema), max_k)
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
@@ -217,32 +253,60 @@ def _arrow_schema(ddl: str) -> pa.Schema:
 
 
 def with_details(ranked: DataFrame, chunks: DataFrame, *columns: str,
-                 small: bool = True) -> DataFrame:
+                 rows: int | None = None) -> DataFrame:
     """Adds chunk columns to ranked rows. Only ids and scores travel through the ranking;
-    content is read for the winners. ``small`` says the winners are few (questions x k,
-    with the questions bounded), which lets the chunk table stay unshuffled."""
-    side = F.broadcast(ranked) if small else ranked
-    return chunks.select("chunk_id", *columns).join(side, "chunk_id")
+    content is read for the winners. ``rows`` bounds the winners: up to ``SENT_ROWS`` they
+    are sent to the chunk table, which then need not be shuffled, and of which only the
+    winners' partitions are read when it is stored by ``store_chunks``."""
+    side, keys = ranked, ["chunk_id"]
+    if PREFIX in chunks.columns:
+        side, keys = side.withColumn(PREFIX, prefix_of("chunk_id")), ["chunk_id", PREFIX]
+    if rows is not None and rows <= SENT_ROWS:
+        # The filter is always true; it tells Spark that this side selects.
+        side = F.broadcast(side.filter("rank >= 1"))
+    return chunks.select(*keys, *columns).join(side, keys).drop(PREFIX)
+
+
+PREFIX, PREFIXES = "id_prefix", 256
+
+
+def prefix_of(chunk_id: str, prefixes: int = PREFIXES) -> Column:
+    """The part of a stored chunk table that a chunk is in."""
+    return F.pmod(F.xxhash64(F.col(chunk_id).cast("string")), F.lit(prefixes)).cast("int")
+
+
+def store_chunks(chunks: DataFrame, path: str) -> None:
+    """Writes chunks in partitions by a prefix of their hashed id; the winners of a search
+    then prune partitions at run time."""
+    chunks.withColumn(PREFIX, prefix_of("chunk_id")).repartition(PREFIX) \
+        .write.partitionBy(PREFIX).parquet(path)
+
+
+def _winners(questions: DataFrame, k: int) -> int:
+    """How many rows a ranking of the questions has at most."""
+    if "k" not in questions.columns:
+        return k * questions.count()
+    return questions.agg(F.sum(F.coalesce("k", F.lit(k)))).first()[0] or 0
 
 
 def vector_search(questions: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     """Ranked chunks with content and a ready citation label."""
-    asked, small = pin_small(questions, MAX_QUESTIONS)
+    asked = stored(questions, "questions")
     label = citation_label(F.col("symbol"), F.col("doc_type"), F.col("period"),
                            F.col("source_url"))
     return with_details(
         rank_chunks(asked, chunks, k), chunks, "content", "page", "section", "symbol",
-        "doc_type", "period", "source_url", small=small,
+        "doc_type", "period", "source_url", rows=_winners(asked, k),
     ).select("query_id", "rank", "chunk_id", "content", "page", "section",
              label.alias("source"), "symbol", F.col("score").alias("similarity"))
 
 
 def vector_search_filtered(questions: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
     """Ranked chunks with raw fields; filters act before the top k."""
-    asked, small = pin_small(questions, MAX_QUESTIONS)
+    asked = stored(questions, "questions")
     return with_details(
         rank_chunks(asked, chunks, k), chunks, "content", "symbol", "doc_type", "period", "page",
-        "source_url", small=small,
+        "source_url", rows=_winners(asked, k),
     ).select("query_id", "rank", "chunk_id", "content", "symbol", "doc_type", "period", "page",
              "source_url", "score")
 
@@ -250,18 +314,31 @@ def vector_search_filtered(questions: DataFrame, chunks: DataFrame, k: int = 10)
 # --- approximate search ----------------------------------------------------------
 
 
-def fit_cells(chunks: DataFrame, cells: int = 16, seed: int = 42) -> np.ndarray:
-    """Unit cell centres from distributed k-means; the centres (cells x dimension) are
-    the only thing that comes back to the driver."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from foliospark.operators.embedding import l2_normalise
-
-    training = chunks.filter("embedding IS NOT NULL").select(
-        array_to_vector(l2_normalise(F.col("embedding"))).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=20, initMode="k-means||").fit(training)
-    return _unit_rows(np.array(model.clusterCenters()))
+#: Vectors for each cell that centres are fitted on, most vectors in all, and passes.
+FIT_ROWS, MOST_FIT_ROWS, FIT_PASSES = 64, 200_000, 8
+
+
+def fit_cells(chunks: DataFrame, cells: int | None = None) -> np.ndarray:
+    """Unit cell centres by k-means of directions: by default as many as the square root of
+    the number of vectors. They are fitted on a sample, the ``FIT_ROWS`` vectors for each cell
+    (``MOST_FIT_ROWS`` in all) whose ids have the least hashes; fewer cells where that gives
+    fewer vectors than cells. Every vector gets a cell."""
+    with_vector = chunks.filter("embedding IS NOT NULL")
+    if cells is None:
+        cells = max(1, math.isqrt(with_vector.count()))
+    sample = with_vector.select("embedding", F.xxhash64("chunk_id").alias("_h")).orderBy("_h") \
+        .limit(min(FIT_ROWS * cells, MOST_FIT_ROWS)).select("embedding").toArrow()
+    if not sample.num_rows:
+        return np.zeros((1, 1))
+    unit = np.nan_to_num(_unit_rows(_from_arrow(sample.combine_chunks().to_batches()[0])["embedding"]))
+    centres = unit[:cells].copy()
+    for _ in range(FIT_PASSES):
+        nearest = (unit @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, unit)
+        moved = np.nan_to_num(_unit_rows(sums))
+        centres = np.where(np.abs(moved).sum(axis=1, keepdims=True) > 0, moved, centres)
+    return centres
 
 
 def _with_cells(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
@@ -288,21 +365,84 @@ def assign_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return celled.withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
 
 
+def code_of(vector: Column) -> Column:
+    """A vector in 8 bits a component: its direction, on a scale of its own."""
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    return F.when(largest > 0, F.transform(vector, lambda x: F.round(
+        x.cast("double") * 127 / largest).cast("tinyint"))).otherwise(
+        F.transform(vector, lambda x: F.lit(0).cast("tinyint")))
+
+
 def store_cells(celled: DataFrame, path: str, splits: int = 8) -> None:
-    """Writes vectors partitioned by cell, so that a search reads only the cells it
-    probes. A crowded cell is spread over several files and tasks."""
+    """Writes vectors and their codes partitioned by cell, so that a search reads only the
+    cells it probes, codes first. A crowded cell is spread over several files and tasks."""
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(splits))
     (
-        celled.withColumn("_part", part).repartition("cell", "_part").drop("_part")
+        celled.withColumn("code", code_of(F.col("embedding"))).withColumn("_part", part)
+        .repartition("cell", "_part").drop("_part").sortWithinPartitions("cell", "chunk_id")
         .write.partitionBy("cell").parquet(path)
     )
 
 
 def approx_rank_chunks(questions: DataFrame, celled: DataFrame, centres: np.ndarray,
-                       k: int = 8, probes: int = 4) -> DataFrame:
-    """Nearest neighbours among the chunks of the ``probes`` nearest cells, scored
-    exactly. Whole cells are skipped, never parts of one."""
-    return rank_chunks(_with_cells(questions, centres, probes), celled, k)
+                       k: int = 8, probes: int = 4, oversample: int = 4) -> DataFrame:
+    """Nearest neighbours among the chunks of each question's ``probes`` nearest cells.
+
+    A cell is read once, by the questions that probe it. Where the table has codes, these are
+    ranked first, and ``oversample`` times k survivors of each question are scored exactly
+    from their vectors; without codes all of the probed cells are. Questions that bring a k
+    of their own keep it.
+    """
+    asked = stored(_with_cells(questions, centres, probes), "questions")
+    if "code" not in celled.columns:
+        return rank_chunks(asked, celled, k)
+    own = F.coalesce("k", F.lit(k)) if "k" in asked.columns else F.lit(k)
+    asked = asked.withColumn("_k", own)
+    coded = celled.drop("embedding").withColumnRenamed("code", "embedding")
+    rough = stored(rank_chunks(asked.withColumn("k", (F.col("_k") * oversample).cast("int")), coded,
+                               k * oversample, keep_cell=True), "survivors")
+    # Survivors are few: sent to the vectors, of which only their cells are read.
+    survivors = rough.filter("rank >= 1").select("query_id", "chunk_id", "cell")
+    if rough.count() <= SENT_ROWS:
+        survivors = F.broadcast(survivors)
+    probed = asked.select("query_id", F.col("embedding").alias("_asked"), "_k")
+    near = celled.select("chunk_id", "cell", "embedding").join(
+        survivors, ["chunk_id", "cell"]).join(probed, "query_id")
+    score = F.round(cosine(F.col("_asked"), F.col("embedding")), PRECISION)
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id")
+    return (
+        near.withColumn("score", score).withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= F.col("_k")).select("query_id", "chunk_id", "score", "rank")
+    )
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors of one length; null where one has no direction."""
+    def dot(x: Column, y: Column) -> Column:
+        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
+        return F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
+
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size > 0, dot(a, b) / size)
+
+
+#: Stored vectors that stand in as questions when the number of probes is measured.
+TRIAL_ROWS = 64
+
+
+def tune_probes(celled: DataFrame, centres: np.ndarray, k: int = 10, target: float = 0.95,
+                trials: int = TRIAL_ROWS) -> int:
+    """The least number of probes that finds ``target`` of the exact k nearest of ``trials``
+    stored vectors, those whose ids have the least hashes. One exact search tells: a neighbour
+    is found by as many probes as its cell's place among the question's nearest cells."""
+    asked = celled.select(F.col("chunk_id").alias("query_id"), "embedding").orderBy(
+        F.xxhash64("query_id")).limit(trials)
+    asked = stored(_with_cells(asked, centres, len(centres)), "trials")
+    exact = rank_chunks(asked, celled, k, keep_cell=True)
+    needed = exact.join(asked.select("query_id", F.col("cells").alias("_cells")), "query_id") \
+        .select(F.array_position("_cells", F.col("cell")).cast("double").alias("place"))
+    place = needed.agg(F.percentile("place", F.lit(target))).first()[0]
+    return min(len(centres), math.ceil(place)) if place else 1
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,17 +52,15 @@ def shared_folder(spark: SparkSession, name: str, base: str | None = None) -> st
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def rows_within(df: DataFrame, max_rows: int) -> list[Row] | None:
-    """The rows of a question-sized table, or None when there are more than ``max_rows``."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Size check that reads at most ``max_rows + 1`` rows."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+#: Questions that are pinned in the plan rather than read again.
+PINNED_ROWS = 4096
+
+
 def pin_small(df: DataFrame, max_rows: int, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
     """(table, is_small). A question-sized table is read once and continues as a local
     relation, so the branches of a plan do not work it out again and again. A larger

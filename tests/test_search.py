@@ -1,5 +1,7 @@
 """Search, entities and routing on small fixtures."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -98,16 +100,16 @@ def questions(spark):
               "filter_doc_type string, filter_period string")
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_questions": 4, "slice_rows": 3}])
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 700}])
 def test_vector_ranks_match_brute_force(spark, chunks, questions, limits):
-    """The broadcast form and the block form give the same, exact answer."""
+    """One block and several give the same, exact answer."""
     got = {}
     for r in vectors.rank_chunks(questions, chunks, 3, **limits).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["chunk_id"])
     assert got == brute(chunks, questions, 3)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_questions": 4, "slice_rows": 3}])
+@pytest.mark.parametrize("limits", [{}, {"block_bytes": 700}])
 def test_each_question_can_have_its_own_k(spark, chunks, questions, limits):
     asked = questions.withColumn("k", (F.col("query_id") % 3 + 1).cast("int"))
     counts = vectors.rank_chunks(asked, chunks, 2, **limits).groupBy("query_id").count().collect()
@@ -132,6 +134,45 @@ def test_probing_all_cells_is_exact(spark, chunks, questions):
     assert vectors.recall(approx, exact).first()["recall"] == 1.0
 
 
+def test_codes_first_then_vectors(spark, tmp_path):
+    """Stored cells and codes find what the exact search finds; probes are measured."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(9, 16)) * 3
+    rows = [(i, (centres[i % 9] + rng.normal(size=16)).astype("float32").tolist()) for i in range(900)]
+    rows += [(2000, [0.0] * 16), (2001, None)]
+    pool = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i}", rows[i * 7][1]) for i in range(12)],
+                                  "query_id string, embedding array<float>")
+    fitted = vectors.fit_cells(pool)
+    assert len(fitted) == 30
+    path = str(tmp_path / "cells")
+    vectors.store_cells(vectors.assign_cells(pool, fitted), path)
+    celled = spark.read.parquet(path)
+    assert celled.count() == 901
+    probes = vectors.tune_probes(celled, fitted, 5)
+    assert 1 <= probes < 15
+    exact = vectors.rank_chunks(asked, pool, 5)
+    near = vectors.approx_rank_chunks(asked, celled, fitted, 5, probes)
+    assert vectors.recall(near, exact).first()["recall"] >= 0.9
+    all_cells = vectors.approx_rank_chunks(asked, celled, fitted, 5, 30, oversample=8)
+    assert all_cells.exceptAll(exact).count() == exact.exceptAll(all_cells).count() == 0
+    plan = near._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan and "cell" in plan
+
+
+def test_winners_prune_the_chunk_store(spark, chunks, questions, tmp_path):
+    path = str(tmp_path / "chunks")
+    vectors.store_chunks(chunks.withColumns({"section": F.lit(None).cast("string"),
+                                             "page": F.lit(1), "source_url": F.lit("u")}), path)
+    pool = spark.read.parquet(path)
+    found = vectors.vector_search_filtered(questions, pool, 3)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    assert got == brute(chunks, questions, 3)
+    assert "dynamicpruning" in found._jdf.queryExecution().toString()
+
+
 def test_fusion_weights(spark, chunks, questions):
     asked = questions.filter("filter_symbol IS NULL")
     only_vector = hybrid.hybrid_search(asked, chunks, k=5, weight=1.0).filter("vector_rank <= 5")
@@ -210,3 +251,34 @@ def test_routing(spark, companies, question, kind, reason, symbols):
     got = decisions.first()
     assert (got["kind"], got["reason"]) == (kind, reason)
     assert [r["symbol"] for r in choices.orderBy("choice_rank").collect()] == symbols
+
+
+def test_stored_index_reads_few_blocks_and_loses_nothing(spark, tmp_path):
+    """Blocks whose bound is under the k-th score are left out; ranks are those of all."""
+    rng = random.Random(11)
+    words = ["capex", "dividend", "margin", "order", "plant", "debt"]
+    rows = []
+    for i in range(400):
+        # a quarter of the chunks is long and repeats its words
+        n = rng.randint(60, 120) if i % 4 == 0 else rng.randint(1, 6)
+        rows.append((i, " ".join(rng.choice(words) for _ in range(n)) if i % 50 else None,
+                     f"S{i % 3}", "concall", "FY2025" if i % 2 else None))
+    chunks = spark.createDataFrame(
+        rows, "chunk_id bigint, content string, symbol string, doc_type string, period string")
+    path = str(tmp_path / "index")
+    postings.store_index(chunks, path, buckets=4, blocks=4)
+    index = postings.StoredIndex(spark, path, 4)
+    asked = spark.createDataFrame(
+        [(1, "capex", None), (2, "capex OR dividend", "S1"), (3, "margin -debt", None),
+         (4, '"order plant" OR debt', "S2"), (5, "nothing here", None), (6, "the", None)],
+        "query_id bigint, text string, filter_symbol string")
+    full = postings.rank_text(asked, postings.build_postings(chunks, postings.CARRIED), 5)
+    got = postings.rank_stored(asked, index, 5, small=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
+    assert sorted(map(tuple, postings.rank_stored(asked, index, 5).collect())) == \
+        sorted(map(tuple, full.collect()))
+    uppers = postings.block_bounds(postings.query_terms(asked), index).filter("query_id = 1")
+    reached = full.filter("query_id = 1 AND rank = 5").first()["score"]
+    assert uppers.filter(F.col("upper") + 1e-8 >= reached).count() < uppers.count() == 4
+    none = postings.rank_stored(asked.limit(0), index, 5)
+    assert none.count() == 0
