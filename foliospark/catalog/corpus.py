@@ -429,6 +429,28 @@ def _versioned_upsert(t: Tables):
     return tables.read_current(t.spark, path, "c_custkey bigint, name string", "c_custkey")
 
 
+@query("run_versions", """
+SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'B ' || c_name WHEN c_custkey % 3 = 0
+  THEN 'A ' || c_name ELSE c_name END AS name FROM {customer}""")
+def _run_versions(t: Tables):
+    """Two runs: the second one's first version is newer than the first one's last, also with
+    a compaction between them and a late retry of what it folded."""
+    path, schema = shared_folder(t.spark, "customers"), "c_custkey bigint, name string"
+    base = t("customer").select("c_custkey", F.col("c_name").alias("name"))
+
+    def named(letter: str, every: int):
+        return base.filter(F.col("c_custkey") % every == 0).withColumn(
+            "name", F.concat(F.lit(f"{letter} "), F.col("name")))
+
+    tables.append_version(base, path, 0, "first")
+    tables.append_version(named("A", 3), path, 3, "first")
+    tables.compact(t.spark, path, schema, "c_custkey")
+    tables.vacuum(t.spark, path)
+    tables.append_version(named("B", 5), path, 0, "second")
+    tables.append_version(named("late", 1), path, 3, "first")
+    return tables.read_current(t.spark, path, schema, "c_custkey")
+
+
 # --- sources and sinks: written and read back ------------------------------------
 
 

@@ -42,10 +42,17 @@ def _stream_new_filings(t: Tables):
 
 @query("stream_admission", ADMIT_SQL)
 def _stream_admission(t: Tables):
+    """The requests in two runs with a checkpoint each, the first half of the time in the first;
+    the usage is compacted between them."""
     out, usage = shared_folder(t.spark, "decisions"), shared_folder(t.spark, "usage")
-    requests = _derived_stream(t, "requests", "events")
-    admission.stream_admission(
-        requests, out, usage, shared_folder(t.spark, "checkpoint"), 5).awaitTermination()
+    half = t("events").agg(F.percentile_approx("ts", 0.5)).first()[0]
+    for early in (True, False):
+        requests = _derived_stream(t, "requests", "events")
+        requests = requests.filter(F.col("ts") <= F.lit(half) if early else F.col("ts") > F.lit(half))
+        admission.stream_admission(
+            requests, out, usage, shared_folder(t.spark, "checkpoint"), 5).awaitTermination()
+        admission.compact_usage(t.spark, usage)
+        tables.vacuum(t.spark, usage)
     decided = tables.read_versions(
         t.spark, out, "ip string, ts timestamp, id bigint, day date, used bigint, allowed boolean")
     return decided.select("id", "ip", F.col("day").cast("string").alias("day"), "used", "allowed")
@@ -55,15 +62,16 @@ def _stream_admission(t: Tables):
 SELECT ip, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS count FROM {requests} GROUP BY ALL""")
 def _stream_daily_usage(t: Tables):
     """Running counts in update mode; the last update of each (ip, day) stands."""
-    out = shared_folder(t.spark, "daily")
+    out, checkpoint = shared_folder(t.spark, "daily"), shared_folder(t.spark, "checkpoint")
     requests = _derived_stream(t, "requests", "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tables.append_version(batch.withColumn("key", F.concat_ws("|", "ip", "day")), out, batch_id)
+        tables.append_version(batch.withColumn("key", F.concat_ws("|", "ip", "day")), out, batch_id,
+                              tables.run_of(batch.sparkSession, checkpoint))
 
     (
         admission.daily_usage_stream(requests).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", shared_folder(t.spark, "checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start().awaitTermination()
     )
     current = tables.read_current(
