@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliospark.catalog.inputs import Tables, query
-from foliospark.catalog.search import RETRIEVE_SQL, SUMMARY_CTES, hybrid_sql, words_sql
+from foliospark.catalog.search import (
+    HYBRID_CTES, RETRIEVE_SQL, SUMMARY_CTES, hybrid_sql, text_ctes, words_sql,
+)
 from foliospark.functions import answers as fa
 from foliospark.operators import answers, entities, hybrid, postings, vectors
 from foliospark.plans import ask, evaluate, sql_functions
+from foliospark.session import shared_folder
 
 PROMPT_END = "\n".join(hybrid.PROMPT_RULES)
 
@@ -432,14 +435,59 @@ SELECT CAST(doc_id AS STRING) AS id, source AS symbol, round(score, 6) AS score
 ORDER BY score DESC, id LIMIT 12""")
 def _sql_match_chunks(t: Tables):
     """The retrieval function called from SQL, with a filter, for one stored vector."""
-    chunks = t("chunks").select(
-        F.col("chunk_id").cast("string").alias("id"), F.col("chunk_id").cast("string").alias("document_id"),
-        "content", "page", "embedding")
-    documents = t("chunks").select(
-        F.col("chunk_id").cast("string").alias("id"), "symbol", "doc_type", "period", "source_url")
-    sql_functions.register(t.spark, chunks, documents)
+    _registered(t)
     vector = t("embeddings").filter("vec_id = 0").first()["embedding"]
     literal = ", ".join(f"{x!r}D" for x in vector)
     return t.spark.sql(f"""
         SELECT id, symbol, round(score, 6) AS score
         FROM match_chunks(CAST(array({literal}) AS ARRAY<FLOAT>), 12, filter_doc_type => 'en')""")
+
+
+def _registered(t: Tables, with_index: bool = False) -> None:
+    """The session's functions, over stored tables where text is searched."""
+    keyed = t("chunks").withColumn("id", F.col("chunk_id").cast("string"))
+    index = None
+    if with_index:
+        path = shared_folder(t.spark, "index")
+        postings.store_index(t("chunks"), path, buckets=8, blocks=4)
+        index = postings.StoredIndex(t.spark, path, buckets=8)
+    sql_functions.register(
+        t.spark, keyed.select("id", F.col("id").alias("document_id"), "content", "page", "embedding"),
+        keyed.select("id", "symbol", "doc_type", "period", "source_url"), index)
+
+
+ANY_WORDS = "replace(split_part(text, '.', 1), ' ', ' OR ')"
+
+
+@query("sql_search_chunks", f"""
+WITH s AS (SELECT item_id AS query_id, {ANY_WORDS} AS text FROM {{benchmark}} WHERE item_id = 1),
+{text_ctes('s').replace("FROM chunks", "FROM {chunks}")}
+SELECT CAST(chunk_id AS STRING) AS id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (ORDER BY score DESC, CAST(chunk_id AS STRING)) AS rank FROM text_scores)
+WHERE rank <= 12""")
+def _sql_search_chunks(t: Tables):
+    """The text search called from SQL over the stored index: any word of one sentence."""
+    _registered(t, with_index=True)
+    text = t("benchmark").filter("item_id = 1").select(F.split_part("text", F.lit("."), F.lit(1))).first()[0]
+    return t.spark.sql(
+        "SELECT id, round(score, 6) AS score FROM search_chunks(:text, 12, true)", args={"text": text})
+
+
+@query("sql_match_hybrid", f"""
+WITH one AS (SELECT q.* REPLACE ({ANY_WORDS} AS text) FROM {{questions}} q WHERE query_id = 2),
+{HYBRID_CTES.replace("{asked}", "one").replace("{questions}", "one")
+     .replace("FROM chunks", "FROM {chunks}").replace("JOIN chunks", "JOIN {chunks}")
+     .replace("ORDER BY score DESC, chunk_id", "ORDER BY score DESC, CAST(chunk_id AS STRING)")}
+SELECT CAST(chunk_id AS STRING) AS id, round(score, 9) AS score, vector_rank, text_rank, rank
+FROM ranked WHERE rank <= 10""")
+def _sql_match_hybrid(t: Tables):
+    """Hybrid search called from SQL for one question, with its filter."""
+    _registered(t, with_index=True)
+    asked = t("questions").filter("query_id = 2").select(
+        "embedding", F.split_part("text", F.lit("."), F.lit(1)).alias("text"), "filter_doc_type").first()
+    vector = ", ".join(f"{x!r}D" for x in asked["embedding"])
+    return t.spark.sql(f"""
+        SELECT id, round(score, 9) AS score, vector_rank, text_rank, rank
+        FROM match_chunks_hybrid(CAST(array({vector}) AS ARRAY<FLOAT>), :text, 10, match_any => true,
+                                 filter_doc_type => :kind)""",
+        args={"text": asked["text"], "kind": asked["filter_doc_type"]})

@@ -10,7 +10,8 @@ from foliospark.catalog.corpus import ADMIT_SQL, UNSEEN
 from foliospark.catalog.inputs import INPUTS, Tables, query
 from foliospark.catalog.text import letter_profile
 from foliospark.functions import filings as ff
-from foliospark.session import shared_folder
+from foliospark.plans import discovery
+from foliospark.session import shared_folder, stored
 from foliospark.sources import ledger, tables
 from foliospark.streaming import admission, answers, embed, filings
 
@@ -40,6 +41,57 @@ def _stream_new_filings(t: Tables):
     return stored.select("symbol", "doc_type", "source_url", "nse_seq_id", "ledger_key")
 
 
+@query("discovery_runs", f"""WITH k AS (SELECT 1), {UNSEEN},
+  fetched AS (
+    SELECT f.*, {{sha_of_text}} AS sha256 FROM fresh f
+    LEFT JOIN {{documents}} d ON f.source_url = 'https://feed.example.org/corporate/f'
+      || CAST(d.doc_id AS STRING) || '.pdf?dl=1' WHERE nth = 1),
+  judged AS (
+    SELECT ledger_key, CASE WHEN sha256 IS NULL THEN 'error'
+      WHEN row_number() OVER (PARTITION BY sha256 ORDER BY date_trunc('second', ts), source_url) = 1
+      THEN 'ingested' ELSE 'skipped' END AS outcome
+    FROM fetched)
+SELECT ledger_key, outcome, outcome = 'skipped' AS seen_first, outcome <> 'error' AS seen_second,
+  outcome = 'ingested' AS stored FROM judged""")
+def _discovery_runs(t: Tables):
+    """Announcements as a stream of finds, settled twice: with an embedder that fails, which
+    holds back what is new, and then with one that works."""
+    spark, base = t.spark, shared_folder(t.spark, "discovery")
+    held = discovery.DiscoveryTables(base)
+    tables.append_version(t("ledger"), held.ledger, 0, "import")
+    feed = _derived_stream(t, "announcements", "events").withColumn(
+        "an_dt", F.date_format("ts", ff.FEED_TIMESTAMP)).drop("ts", "event_id")
+    imported = shared_folder(spark, "ledger")
+    ledger.write_ledger(t("ledger"), imported)
+    filings.stream_new_filings(
+        feed, held.found, shared_folder(spark, "checkpoint"), imported).awaitTermination()
+    url = "https://feed.example.org/corporate/f"
+    texts = t("documents").select(
+        F.concat(F.lit(url), F.col("doc_id").cast("string"), F.lit(".pdf?dl=1")).alias("source_url"),
+        "text")
+
+    def fetch(pending: DataFrame) -> DataFrame:
+        return pending.join(texts, "source_url", "left").withColumns({
+            "sha256": F.sha2("text", 256),
+            "error": F.when(F.col("text").isNull(), F.lit("HTTP 404"))})
+
+    def failing(texts: list[str]) -> list[list[float]]:
+        raise RuntimeError("down")
+
+    first, _ = discovery.settle(spark, held, fetch, failing, "letters", "first", "\n", backoff=0)
+    seen_first = held.read_ledger(spark).select(F.col("seen").alias("ledger_key"), F.lit(True).alias("a"))
+    seen_first = stored(seen_first, "seen")
+    discovery.settle(spark, held, fetch, letter_profile, "letters", "second", "\n", backoff=0)
+    seen = held.read_ledger(spark).select(F.col("seen").alias("ledger_key"), F.lit(True).alias("b"))
+    kept = tables.read_versions(spark, held.documents, discovery.DOCUMENT).select(
+        "ledger_key", F.lit(True).alias("c"))
+    out = first.select("ledger_key", "outcome")
+    for flag in (seen_first, seen, kept):
+        out = out.join(flag, "ledger_key", "left")
+    return out.select("ledger_key", "outcome", *(F.coalesce(c, F.lit(False)).alias(n) for c, n in (
+        ("a", "seen_first"), ("b", "seen_second"), ("c", "stored"))))
+
+
 @query("stream_admission", ADMIT_SQL)
 def _stream_admission(t: Tables):
     """The requests in two runs with a checkpoint each, the first half of the time in the first;

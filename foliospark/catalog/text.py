@@ -8,6 +8,7 @@ from foliospark.catalog.inputs import Tables, query
 from foliospark.functions import text as ft
 from foliospark.operators import chunking, embedding, layout, quality
 from foliospark.plans import ingest as ingest_plan
+from foliospark.session import shared_folder
 
 SOLID = "length(regexp_replace(text, '\\s+', '', 'g'))"
 IN_BAND = "(y1 <= 45 OR y0 >= page_height - 45)"
@@ -279,18 +280,28 @@ def _pending_chunks(t: Tables):
 
 
 @query("embed_summary", """
-WITH done AS (SELECT id FROM {corpus_chunks} WHERE embedding_provider = 'alpha'),
-  tried AS (SELECT *, page = 7 AS bad FROM {corpus_chunks} WHERE id NOT IN (SELECT id FROM done))
-SELECT (SELECT count(*) FROM {corpus_chunks}) AS total,
-  (SELECT count(*) FROM {corpus_chunks}) - count(*) AS skipped,
-  count(*) FILTER (NOT bad) AS embedded, count(*) FILTER (bad) AS failed FROM tried""")
+SELECT count(*) AS total, count(embedding) AS skipped,
+  count(*) FILTER (embedding IS NULL AND chunk_id % 7 <> 3) AS embedded,
+  count(*) FILTER (embedding IS NULL AND chunk_id % 7 = 3) AS failed FROM {chunks}""")
 def _embed_summary(t: Tables):
-    """Skipped, embedded and failed chunks of a run in which every seventh page fails."""
-    chunks = t("corpus_chunks")
-    done = chunks.filter("embedding_provider = 'alpha'").select("id")
-    tried = chunks.join(done, "id", "left_anti").withColumn(
-        "status", F.when(F.col("page") == 7, "failed").otherwise("embedded"))
-    return embedding.embed_summary(chunks.count(), tried)
+    """Counts observed while an embedder that fails for every seventh chunk writes its rows."""
+
+    def failing(texts: list[str]) -> list[list[float]]:
+        if any(int(x) % 7 == 3 for x in texts):
+            raise RuntimeError("down")
+        return [[float(x)] for x in texts]
+
+    chunks = t("chunks").select(F.col("chunk_id").alias("id"),
+                                F.col("chunk_id").cast("string").alias("content"), "embedding")
+    done = chunks.filter("embedding IS NOT NULL").select("id", F.lit("p").alias("embedding_provider"))
+    path = shared_folder(t.spark, "embedded")
+    counts = embedding.embed_pending(
+        chunks.drop("embedding"), done, failing, "p", lambda rows: rows.write.parquet(path),
+        batch_size=1, tries=1)
+    written = embedding.embed_summary(counts["total"], t.spark.read.parquet(path)).first()
+    if written.asDict() != counts:
+        raise RuntimeError(f"observed {counts}, written {written}")
+    return t.spark.createDataFrame([counts], "total bigint, skipped bigint, embedded bigint, failed bigint")
 
 
 @query("l2_normalise", """

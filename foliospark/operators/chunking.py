@@ -2,8 +2,10 @@
 
 Each page is one row and everything happens inside that row with built-in array
 functions, so chunking needs no shuffle and scales with the number of pages. The
-packing is a single fold whose three positions only move forward: it costs a small
-constant times the number of sentences of the page.
+packing is a single fold whose three positions only move forward. Folds that make a list
+go through their items in blocks of about the square root of their number, each with a list of
+its own: appending copies a list, and so no item is copied more than twice that often. A
+page may be a whole book.
 
 Arrays are opened with the outer generators and a null filter: for the inner ones Spark
 infers a filter on the array's size, which would work out the whole array twice.
@@ -11,6 +13,8 @@ infers a filter on the array's size, which would work out the whole array twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,32 @@ ABBREVIATIONS = (
 SENTENCE_BREAK = r"(?U)(?<=[.!?])(?=\s+[A-Z\"'(])"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fold(items: Column, start: Column, step: Callable[[Column, Column], Column],
+          name: str) -> Column:
+    """``F.aggregate`` whose state has a list ``name`` that steps append to."""
+
+    def over(all_items: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(all_items))), F.lit(1)).cast("int")
+        blocks = F.ceil(F.size(all_items) / size).cast("int")
+
+        def block(acc: Column, at: Column) -> Column:
+            inner = F.aggregate(F.slice(all_items, at * size + 1, size),
+                                acc.withField(name, F.slice(acc[name], 1, 0)), step)
+            return _bound(inner, lambda done: done.withField(
+                name, F.concat(acc[name], done[name])))
+
+        numbers = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(
+            F.array().cast("array<int>"))
+        return F.aggregate(numbers, start, block)
+
+    return _bound(items, over)
+
+
 def _pieces(text: Column) -> Column:
     """array<struct(raw, len, tok, cut, trail)> of the text between possible breaks."""
     bodies = F.transform(
@@ -86,7 +116,7 @@ def _spans(pieces: Column) -> Column:
             acc["spans"].alias("spans"),
         ))
 
-    return F.aggregate(pieces, start, step)
+    return _fold(pieces, start, step, "spans")
 
 
 def _sentences(pages: DataFrame) -> DataFrame:
@@ -148,7 +178,7 @@ def _headings(text: Column, separator: str) -> Column:
         F.split(text, separator),
         lambda b: F.struct(F.length(b).alias("len"), strip(b).alias("title")),
     )
-    return F.aggregate(blocks, start, step)["found"]
+    return _fold(blocks, start, step, "found")["found"]
 
 
 def detect_headings(pages: DataFrame, separator: str = "\n\n") -> DataFrame:
@@ -190,7 +220,7 @@ def _packing(target: int, overlap: int) -> Column:
         )
 
     moves = F.when(n > 0, F.sequence(F.lit(1), 3 * n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(moves, start, step)["out"]
+    return _fold(moves, start, step, "out")["out"]
 
 
 def chunk_pages(pages: DataFrame, target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS,

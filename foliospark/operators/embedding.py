@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,43 @@ def embed_batches(chunks: DataFrame, embedder: Embedder, provider: str,
     return chunks.mapInPandas(run, schema)
 
 
+class EmbedRun:
+    """Counts of one embedding run, taken while its rows pass: nothing is read twice.
+
+    ``total`` chunks came in, ``embedded`` and ``failed`` went out; the others were skipped.
+    """
+
+    def __init__(self):
+        self._seen, self._done = Observation(), Observation()
+
+    def chunks(self, chunks: DataFrame) -> DataFrame:
+        return chunks.observe(self._seen, F.count(F.lit(1)).alias("total"))
+
+    def results(self, results: DataFrame) -> DataFrame:
+        return results.observe(
+            self._done, F.count_if(F.col("status") == "embedded").alias("embedded"),
+            F.count_if(F.col("status") == "failed").alias("failed"))
+
+    def counts(self) -> dict[str, int]:
+        """After the run's rows have been written."""
+        seen, done = self._seen.get, self._done.get
+        total, embedded, failed = (int(d.get(n) or 0) for d, n in (
+            (seen, "total"), (done, "embedded"), (done, "failed")))
+        return {"total": total, "skipped": total - embedded - failed, "embedded": embedded,
+                "failed": failed}
+
+
+def embed_pending(chunks: DataFrame, stored: DataFrame, embedder: Embedder, provider: str,
+                  write: Callable[[DataFrame], object], **settings) -> dict[str, int]:
+    """Embeds what ``stored`` has no vector of this provider for, hands the rows to ``write``,
+    which has to write them once, and gives the counts observed on the way. ``settings`` are
+    those of ``embed_batches``."""
+    run = EmbedRun()
+    todo = pending_chunks(run.chunks(chunks), stored, provider)
+    write(run.results(embed_batches(todo, embedder, provider, **settings)))
+    return run.counts()
+
+
 def embed_summary(total: int | Column, results: DataFrame) -> DataFrame:
     """total / skipped / embedded / failed of a run over ``total`` chunks."""
     count = total if isinstance(total, Column) else F.lit(total)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import uuid5
 from foliospark.operators.chunking import OVERLAP_TOKENS, TARGET_TOKENS, chunk_pages
-from foliospark.operators.embedding import Embedder, embed_batches, pending_chunks
+from foliospark.operators.embedding import Embedder, embed_pending
 from foliospark.operators.layout import extract_pages
 from foliospark.session import shared_folder
+from foliospark.session import stored as write_table
 
 STORED_COLUMNS = ("id", "document_id", "page", "section", "content", "token_count")
 
@@ -30,10 +31,11 @@ def ingest(pages: DataFrame, stored: DataFrame, embedder: Embedder, provider: st
     The embedder is the costly step, so its output is written to the shared folder once
     and both results read that table.
     """
-    chunks = chunks_to_store(pages, target, overlap, separator)
-    todo = pending_chunks(chunks, stored, provider)
+    # Written once: the embedder and the statuses both start from it.
+    chunks = write_table(chunks_to_store(pages, target, overlap, separator), "chunks")
     path = shared_folder(pages.sparkSession, "embedded")
-    embed_batches(todo, embedder, provider, backoff=backoff).write.parquet(path)
+    embed_pending(chunks, stored, embedder, provider, lambda rows: rows.write.parquet(path),
+                  backoff=backoff)
     done = pages.sparkSession.read.parquet(path)
     statuses = chunks.select("id", "document_id").join(
         done.select("id", "status"), "id", "left").withColumn(

@@ -35,12 +35,17 @@ _COMPACTED = "compacted"
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or none of its rows before the first write."""
-    try:
+    folder, files = _folder(spark, path)
+    if files.exists(folder):
         return spark.read.schema(schema).parquet(path)
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path and the file system that it is in, as Hadoop sees them."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
@@ -139,10 +144,8 @@ def vacuum(spark: SparkSession, path: str) -> int:
     were. Their commits stay, so that a late retry is known. No reader may be at work on them."""
     old = commits(spark, path).filter(F.col("seq") <= _replaced(spark, path)).select(
         "run", "version").collect()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     gone = 0
     for run, version in old:
-        folder = hadoop(f"{path}/run={run}/version={version}")
-        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        folder, files = _folder(spark, f"{path}/run={run}/version={version}")
         gone += bool(files.delete(folder, True))
     return gone
