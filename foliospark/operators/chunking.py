@@ -27,12 +27,10 @@ HEADING_MAX_WORDS = 10
 
 # Words after which a full stop does not end a sentence.
 ABBREVIATIONS = (
-    "mr mrs ms dr sh smt prof sr jr st "
-    "ltd inc co corp govt no fig approx vs "
-    "etc eg ie rs us uk fy q1 q2 q3 q4 "
-    "jan feb mar apr jun jul aug sep sept "
-    "oct nov dec"
-).split()
+    "mr", "mrs", "ms", "dr", "sh", "smt", "prof", "sr", "jr", "st", "ltd", "inc", "co", "corp",
+    "govt", "no", "fig", "approx", "vs", "etc", "eg", "ie", "rs", "us", "uk", "fy", "q1", "q2",
+    "q3", "q4", "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec",
+)
 
 # A sentence may end between closing punctuation and whitespace that leads to a
 # capital letter, a quote or a bracket.

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +72,13 @@ def embed_batches(chunks: DataFrame, embedder: Embedder, provider: str,
     return chunks.mapInPandas(run, schema)
 
 
+def _observed(observation: Observation) -> dict:
+    try:
+        return observation.get
+    except Py4JJavaError:     # Spark leaves out the observation of a table it knows to be empty
+        return {}
+
+
 class EmbedRun:
     """Counts of one embedding run, taken while its rows pass: nothing is read twice.
 
@@ -90,7 +98,7 @@ class EmbedRun:
 
     def counts(self) -> dict[str, int]:
         """After the run's rows have been written."""
-        seen, done = self._seen.get, self._done.get
+        seen, done = _observed(self._seen), _observed(self._done)
         total, embedded, failed = (int(d.get(n) or 0) for d, n in (
             (seen, "total"), (done, "embedded"), (done, "failed")))
         return {"total": total, "skipped": total - embedded - failed, "embedded": embedded,

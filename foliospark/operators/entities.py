@@ -11,18 +11,16 @@ from foliospark.session import broadcast_if_small, pin_small, stored
 
 # Words that never identify an entity when routing.
 ROUTING_STOP_WORDS = (
-    "the a an of for on in to and or with at by "
-    "is are was were be been do does did has have had "
-    "what which who how why when where whats "
-    "say said says tell told mention mentioned comment comments "
-    "about regarding their its they this that these those "
-    "last recent latest quarter quarterly annual year fy "
-    "revenue revenues margin margins growth guidance outlook "
-    "results result report reports dividend demand risk risks "
-    "business market share shares price earnings call transcript "
-    "filing filings management board company companies limited ltd "
-    "bank services industries"
-).split()
+    "the", "a", "an", "of", "for", "on", "in", "to", "and", "or", "with", "at", "by", "is", "are",
+    "was", "were", "be", "been", "do", "does", "did", "has", "have", "had", "what", "which", "who",
+    "how", "why", "when", "where", "whats", "say", "said", "says", "tell", "told", "mention",
+    "mentioned", "comment", "comments", "about", "regarding", "their", "its", "they", "this",
+    "that", "these", "those", "last", "recent", "latest", "quarter", "quarterly", "annual", "year",
+    "fy", "revenue", "revenues", "margin", "margins", "growth", "guidance", "outlook", "results",
+    "result", "report", "reports", "dividend", "demand", "risk", "risks", "business", "market",
+    "share", "shares", "price", "earnings", "call", "transcript", "filing", "filings", "management",
+    "board", "company", "companies", "limited", "ltd", "bank", "services", "industries",
+)
 
 STRONG_SCORE = 700
 MIN_TOKEN_CHARS = 3

@@ -10,21 +10,19 @@ from foliospark.session import broadcast_if_small
 
 # Question words, verbs of saying and generic time words.
 QUESTION_STOP_WORDS = (
-    "the a an of for on in to and or with at by "
-    "from as into over under about regarding per vs versus "
-    "during between after before since while within across through "
-    "towards against including such also other each both than "
-    "then but whether not only just still yet very "
-    "is are was were be been being do does did has have "
-    "had will would can could should may might "
-    "what which who whom how why when where whats "
-    "say said says tell told mention mentioned comment commented "
-    "comments discuss discussed describe described note noted "
-    "their its they them this that these those there any "
-    "all some much many more most key main recent latest "
-    "last next current year years quarter quarters quarterly "
-    "fiscal annual management company companies limited ltd"
-).split()
+    "the", "a", "an", "of", "for", "on", "in", "to", "and", "or", "with", "at", "by", "from", "as",
+    "into", "over", "under", "about", "regarding", "per", "vs", "versus", "during", "between",
+    "after", "before", "since", "while", "within", "across", "through", "towards", "against",
+    "including", "such", "also", "other", "each", "both", "than", "then", "but", "whether", "not",
+    "only", "just", "still", "yet", "very", "is", "are", "was", "were", "be", "been", "being", "do",
+    "does", "did", "has", "have", "had", "will", "would", "can", "could", "should", "may", "might",
+    "what", "which", "who", "whom", "how", "why", "when", "where", "whats", "say", "said", "says",
+    "tell", "told", "mention", "mentioned", "comment", "commented", "comments", "discuss",
+    "discussed", "describe", "described", "note", "noted", "their", "its", "they", "them", "this",
+    "that", "these", "those", "there", "any", "all", "some", "much", "many", "more", "most", "key",
+    "main", "recent", "latest", "last", "next", "current", "year", "years", "quarter", "quarters",
+    "quarterly", "fiscal", "annual", "management", "company", "companies", "limited", "ltd",
+)
 
 # Terms the filings use for one another.
 SYNONYMS = {
