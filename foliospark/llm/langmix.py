@@ -59,8 +59,9 @@ def grams(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
     return found
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log probability of each bucket in each of them), from (text, lang).
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages in order, log probability of each bucket in each of them, each language's share
+    of all n-grams), from (text, lang).
 
     Rows without a language or a text are left out. The model has one row of ``BUCKETS``
     numbers for each language.
@@ -91,7 +92,8 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = np.array([number[x] for x in counted.column("lang").to_pylist()], np.int64)
     if len(rows):
         table[rows, counted.column("bucket").to_numpy()] += counted.column("n").to_numpy()
-    return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    size = table.sum(1, keepdims=True)
+    return langs, np.log(table / size).astype(np.float32), (size / size.sum()).ravel()
 
 
 def _em(p: np.ndarray, count: np.ndarray, share: np.ndarray, rounds: int) -> np.ndarray:
@@ -133,18 +135,19 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], model: np.ndarray, prior: np.ndarray) -> DataFrame:
     """(doc_id, lang_pred, score, mixture): the language with the largest proportion, that
     proportion, and all languages of the set.
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned.
-    Ties go to the language that sorts first. ``lang`` and ``source`` are not read.
+    A text with a letter but without an n-gram, which is one ASCII letter, gets the language with
+    the largest share ``prior`` and that as its score. Ties go to the language that sorts first. ``lang`` and ``source`` are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast((langs, model))
+    sent = docs.sparkSession.sparkContext.broadcast((langs, model, prior))
 
     def guess(batches):
-        langs, model = sent.value
+        langs, model, prior = sent.value
         scaled = np.exp(model - model.max(0)).T.copy() if langs else None
         logs = model.T.copy()
         for batch in batches:
@@ -159,6 +162,8 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
                     some = np.flatnonzero(count)
                     if len(some):
                         share[i] = mixture(count[some].astype(np.float32), logs[some], scaled[some])
+                    else:
+                        share[i, prior.argmax()] = prior.max()
                 top = share.argmax(1) if langs else np.zeros(n, np.int64)
                 score = np.clip(share[np.arange(n), top], 0, 1) if langs else np.zeros(n)
                 certain = score > 0
@@ -183,6 +188,5 @@ def held_out(doc_id, parts: int, part: int):
 def identify(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) with a model of the rows that are not held out."""
     out = held_out(F.col("doc_id"), parts, part)
-    langs, model = train(docs.filter(~out))
-    return predict(docs, langs, model).select(
+    return predict(docs, *train(docs.filter(~out))).select(
         "doc_id", out.alias("held_out"), "lang_pred", "score", "mixture")
