@@ -141,7 +141,8 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, prior: np.ndar
 
     ``und`` with score 0 where the text is null or has no letter, or no language was learned.
     A text with a letter but without an n-gram, which is one ASCII letter, gets the language with
-    the largest share ``prior`` and that as its score. Ties go to the language that sorts first. ``lang`` and ``source`` are not read.
+    the largest share ``prior`` and that as its score. Ties go to the language that sorts first.
+    ``lang`` and ``source`` are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast((langs, model, prior))

@@ -31,7 +31,8 @@ def test_languages_of_held_out_texts(spark):
     mixed = " ".join("".join(rng.choice(syllables[g]) for _ in range(3))
                      for g in ["en"] * 60 + ["fr"] * 40)
     extra = [(1000, None, "en", "s", 0), (1001, "", None, "s", 0), (1002, "12 !?", "fr", "s", 0),
-             (1003, mixed, None, "s", 0), (None, "thering", "en", "s", 0), (5, "und " * 3, None, None, None)]
+             (1003, mixed, None, "s", 0), (None, "thering", "en", "s", 0), (1004, "a", None, "s", 0),
+             (1006, " I\n", "fr", "s", 0), (5, "und " * 3, None, None, None)]
     docs = spark.createDataFrame(rows + extra, DOCS)
     got = {r.doc_id: r for r in langmix.identify(docs).collect()}
     for i, _, lang, *_ in rows:
@@ -40,6 +41,8 @@ def test_languages_of_held_out_texts(spark):
             assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
     assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3
     assert set(got[1003].mixture) == {"en", "fr"} and 0.5 < got[1003].mixture["en"] < 0.75
+    for i in (1004, 1006):                            # one letter: the most frequent language
+        assert got[i].lang_pred in syllables and 0 < got[i].score <= 1
     assert got[None].held_out is False
     nothing = langmix.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in nothing} == {"und"} and {r.score for r in nothing} == {0.0}
