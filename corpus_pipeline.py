@@ -57,7 +57,7 @@ STAGES = [
 ]
 
 #: Learned models, suffix arrays and tokenizers are beyond SQL; tests compare each stage with a
-#: brute-force version.
+#: brute-force version, but for quality, of which they want clean documents kept and bad ones gone.
 ORACLE_SQL = None
 
 
