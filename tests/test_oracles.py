@@ -23,9 +23,9 @@ def test_gives_rows(spark, sf_dir, name):
 
 
 def test_approximate_search_recall(spark, sf_dir):
-    found = QUERIES["approx_vector_search"](spark, sf_dir).groupBy().sum(
-        "exact_neighbours", "found_neighbours").first()
-    assert found[1] / found[0] >= 0.8
+    """Nine of ten exact neighbours for every question, from the vectors of a quarter of the rows."""
+    found = QUERIES["approx_vector_search"](spark, sf_dir)
+    assert found.filter("NOT (found_nine AND few_vectors)").count() == 0 < found.count()
 
 
 def test_second_ingest_run_has_nothing_to_do(spark, sf_dir):
