@@ -334,6 +334,28 @@ def _ingest_pages(t: Tables):
     return again.groupBy("status").agg(F.count("*").alias("chunks"))
 
 
+ASSEMBLED_SQL = f"""(WITH {LAYOUT_CTES}
+  SELECT document_id, CAST(page AS BIGINT) AS page,
+    coalesce(string_agg(text, chr(10) || chr(10) ORDER BY ord) FILTER (kept), '') AS text
+  FROM ordered GROUP BY document_id, page)"""
+
+
+@query("ingest_blocks", CHUNKS_SQL.replace("<= 200", "<= 800").replace(">= 40", ">= 100").replace(
+    "WITH RECURSIVE ", f"WITH RECURSIVE assembled AS {ASSEMBLED_SQL}, ").replace(
+    "{doc_pages}", "assembled") + """
+SELECT document_id, count(*) AS chunks,
+  CAST(sum(len(regexp_extract_all(content, '\\S+'))) AS BIGINT) AS tokens, 'letters' AS embedding_provider
+FROM sliced GROUP BY document_id""")
+def _ingest_blocks(t: Tables):
+    """Layout blocks to pages, chunks and vectors: what is stored of each document."""
+    empty = t.spark.createDataFrame(
+        [], "id string, embedding array<float>, embedding_provider string")
+    written, _ = ingest_plan.ingest_blocks(t("blocks"), empty, letter_profile, "letters",
+                                           separator="\n", backoff=0)
+    return written.groupBy("document_id", "embedding_provider").agg(
+        F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
+
+
 @query("run_generator", """
 SELECT query_id, 'Q' || length(question) AS answer, query_id % 5 = 0 AS failed FROM (
   SELECT * FROM {questions} WHERE query_id % 5 <> 0)
