@@ -311,10 +311,14 @@ class StoredIndex:
         self.buckets = buckets
 
 
-def block_bounds(wanted: DataFrame, index: StoredIndex) -> DataFrame:
+def _buckets(wanted: DataFrame, index: StoredIndex) -> list[int]:
+    """Term buckets that the queries need, of those that the index has."""
+    return [r[0] for r in wanted.select(_bucket(index.buckets)).distinct().collect()]
+
+
+def block_bounds(wanted: DataFrame, index: StoredIndex, buckets: list[int]) -> DataFrame:
     """(query_id, block, upper): the most a chunk of the block can score for the query."""
     terms_of = wanted.filter("scores").select("query_id", "term", "n_terms")
-    buckets = [r[0] for r in terms_of.select(_bucket(index.buckets)).distinct().collect()]
     return index.bounds.filter(F.col("bucket").isin(buckets)).join(terms_of, "term").groupBy(
         "query_id", "block").agg((F.sum("most") / F.first("n_terms")).alias("upper"))
 
@@ -327,13 +331,13 @@ def rank_stored(queries: DataFrame, index: StoredIndex, k: int = 8, precision: i
     out. Filters lower scores and no bounds, so the result is exact."""
     wanted = stored(_with_filters(query_terms(queries), queries, small), "terms")
     shape = _shape(wanted) if small else None
-    uppers = stored(block_bounds(wanted, index).withColumn("nth", F.row_number().over(
+    buckets = _buckets(wanted, index)
+    uppers = stored(block_bounds(wanted, index, buckets).withColumn("nth", F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.desc("upper"), "block"))), "bounds")
 
     def read(pairs: DataFrame) -> DataFrame:
         # At most as many numbers as the index has partitions.
         blocks = [r[0] for r in pairs.select("block").distinct().collect()]
-        buckets = [r[0] for r in wanted.select(_bucket(index.buckets)).distinct().collect()]
         terms_there = wanted.join(pairs.select("query_id", "block"), "query_id")
         hits = index.postings.filter(F.col("bucket").isin(buckets) & F.col("block").isin(blocks)) \
             .join(broadcast_if_small(terms_there, MAX_QUERY_TERMS, small), ["term", "block"])

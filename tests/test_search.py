@@ -277,7 +277,8 @@ def test_stored_index_reads_few_blocks_and_loses_nothing(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
     assert sorted(map(tuple, postings.rank_stored(asked, index, 5).collect())) == \
         sorted(map(tuple, full.collect()))
-    uppers = postings.block_bounds(postings.query_terms(asked), index).filter("query_id = 1")
+    wanted = postings.query_terms(asked)
+    uppers = postings.block_bounds(wanted, index, postings._buckets(wanted, index)).filter("query_id = 1")
     reached = full.filter("query_id = 1 AND rank = 5").first()["score"]
     assert uppers.filter(F.col("upper") + 1e-8 >= reached).count() < uppers.count() == 4
     none = postings.rank_stored(asked.limit(0), index, 5)
