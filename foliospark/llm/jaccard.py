@@ -12,9 +12,13 @@ which unrelated sets share; a set with more such segments than r covers sends al
 How many segments get the value 2 is a matter of cost, worked out for each band from the
 number of its sets: one-deletion keys are many, but far fewer unrelated sets meet in them.
 
-Sets with a key in common are tested with the least of them, by their whole texts. Where such
-a test fails and the sets are still in different components, all pairs of the key's sets from
-different components are tested, so the components are those of all similar pairs.
+Two sets alone with a key are tested by their whole texts. In larger keys each set is first
+tested with one set of the key only, which joins most of them. Keys whose sets are then still in
+different components go on in rounds: their sets' sketches, which bound the difference from below,
+are compared across components, each set gives out its nearest open partners, and these are
+tested. Later rounds let a set name more partners; they end when no key holds an open pair that
+was not tested, so the components are those of all similar pairs. A key with very many sets is
+split into pairs of blocks of its sets.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.components import components
-from foliospark.llm.repeats import _blob, _by, _groups, _ranges, _sent, _unblob
+from foliospark.llm.repeats import _by, _groups, _sent, _unblob
 from foliospark.llm.suffixes import expand
 from foliospark.llm.texts import (BLANK_SPLIT, Texts, bounded_batches, mix, pieces, texts_of,
                                   windows_of, words_of)
@@ -43,6 +47,11 @@ BAND = 1.3
 #: set that the passage makes up, and keys that one test of two texts is worth.
 SHARED_SETS, SHARED_PART, TEST_COST = 0.01, 0.15, 1
 GROUP_BYTES = 16 << 20
+#: Sets of a large key that a set is tested with at first, by what a task can see.
+STARS = 2
+#: Sets of a block of a key, and partners that a set names in the first round; each round more
+#: by the factor.
+BLOCK, NAMED, MORE = 4096, 1, 8
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +99,18 @@ def sketches(element: np.ndarray, text: np.ndarray, size: np.ndarray, percent: i
         pa.py_buffer(data.tobytes())])
 
 
+def shorter(sketch: pa.Array, folds: int = 2) -> pa.Array:
+    """Sketches folded on themselves, none below one word of 64 bits."""
+    out = []
+    for s in sketch.to_pylist():
+        words = np.frombuffer(s, "<u8")
+        for _ in range(folds):
+            if len(words) > 1:
+                words = words[:len(words) // 2] ^ words[len(words) // 2:]
+        out.append(words.tobytes())
+    return pa.array(out, pa.binary())
+
+
 def _same_length(sketch: list[bytes]) -> np.ndarray:
     """Sketches folded to the shortest of them, as rows of 64-bit words."""
     least = min(map(len, sketch)) // 8
@@ -150,7 +171,12 @@ def signatures(element: np.ndarray, text: np.ndarray, size: np.ndarray, edges: n
                plan: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(key, text) of all keys of some sets, in the scheme of their own band and of each lower
     band in which they can have a similar set. ``plan``: `allocate` of each band."""
-    keys, owners = [], []
+    return labelled_signatures(element, text, size, edges, plan, percent)[:2]
+
+
+def labelled_signatures(element, text, size, edges, plan, percent):
+    """`signatures`, and the band and the segment of each key."""
+    keys, owners, bands, segments = [], [], [], []
     own = np.searchsorted(edges, size)
     element = mix(element ^ np.uint64(0xA5A5A5A5A5A5A5A5))
     steps = 0
@@ -161,14 +187,14 @@ def signatures(element: np.ndarray, text: np.ndarray, size: np.ndarray, edges: n
             use &= size <= edges[np.maximum(band, 0)] * 100 // percent
         if not use.any():
             break
-        _scheme_keys(element, text, use, np.maximum(band, 0), plan, keys, owners)
+        _scheme_keys(element, text, use, np.maximum(band, 0), plan, keys, owners, bands, segments)
         steps += 1
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate(v) for v in (keys, owners, bands, segments))
 
 
-def _scheme_keys(element, text, use, band, plan, keys, owners) -> None:
+def _scheme_keys(element, text, use, band, plan, keys, owners, bands, segments) -> None:
     there = use[text]
     element, text = element[there], text[there]
     ones, twos, spare = (plan[:, i][band] for i in range(3))
@@ -186,20 +212,41 @@ def _scheme_keys(element, text, use, band, plan, keys, owners) -> None:
     skips = np.bincount(owner, loss, len(use)) <= spare
     label = mix((band[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64))
 
-    def add(content, held, owner, label):
-        ok = (held >= LEAST_KEY) | ~skips[owner]
+    def add(content, held, s):
+        ok = (held >= LEAST_KEY) | ~skips[owner[s]]
+        s = s[ok]
         with np.errstate(over="ignore"):
-            keys.append(mix(content + held.astype(np.uint64) + label)[ok])
-        owners.append(owner[ok])
+            keys.append(mix(content[ok] + held[ok].astype(np.uint64) + label[s]))
+        owners.append(owner[s])
+        bands.append(band[owner[s]])
+        segments.append(number[s])
 
-    add(content, held, owner, label)
+    add(content, held, np.arange(total))
     inner = two[segment]
     if inner.any():
         s = segment[inner]
-        add(content[s] - element[inner], held[s] - 1, owner[s], label[s])
+        add(content[s] - element[inner], held[s] - 1, s)
 
 
-def _key_blobs(places: int, shingle: int, edges: np.ndarray, plan: np.ndarray, percent: int):
+def deal(plan: np.ndarray, edges: np.ndarray, sets: np.ndarray, group_bytes: int,
+         percent: int) -> np.ndarray:
+    """(first place, places) of each band's keys, by the bytes that its scheme is expected to
+    send. Keys of one segment stay together as far as that goes, so that sets which share many
+    keys meet in few places."""
+    segments = np.maximum(plan[:, 0] + plan[:, 1], 1)
+    keys = plan[:, 0] + plan[:, 1] * (1 + np.append(edges[:-1], edges[-1]) / segments)
+    reach = np.searchsorted(edges, edges * 100 // percent, "right")
+    total = np.append(0, np.cumsum(sets))
+    sends = total[np.minimum(reach + 1, len(sets))] - total[:-1]
+    places = np.maximum(1, np.ceil(16 * keys * sends / group_bytes)).astype(np.int64)
+    return np.column_stack([np.cumsum(places) - places, places])
+
+
+def _key_blobs(dealt: np.ndarray, shingle: int, edges: np.ndarray, plan: np.ndarray, percent: int):
+    count = np.maximum(plan[:, 0] + plan[:, 1], 1)
+    # Where a band has more places than segments, a segment has several.
+    spread = -(-dealt[:, 1] // count)
+
     def send(batches):
         for batch in batches:
             for rows, texts in pieces(batch):
@@ -210,31 +257,49 @@ def _key_blobs(places: int, shingle: int, edges: np.ndarray, plan: np.ndarray, p
                 once = np.zeros(len(texts), dtype=bool)
                 once[first] = True
                 keep = once[text]
-                key, owner = signatures(element[keep], text[keep], np.where(once, size, 0), edges,
-                                        plan, percent)
-                place = (key % np.uint64(places)).astype(np.int64)
-                yield _sent(_by(place, key=key, set=print_[owner]))
+                key, owner, band, segment = labelled_signatures(
+                    element[keep], text[keep], np.where(once, size, 0), edges, plan, percent)
+                part = (key >> np.uint64(40)).astype(np.int64) % spread[band]
+                place = dealt[band, 0] + (segment + count[band] * part) % dealt[band, 1]
+                by = np.lexsort([owner, place])
+                key, owner, place = key[by], owner[by], place[by]
+                new = _groups(owner, place)
+                # 40 bits of a key beside its place; more sets meet by chance, tests see to it.
+                yield _sent(_by(place, low=key.astype(np.uint32), new=new,
+                                high=(key >> np.uint64(32)).astype(np.uint8),
+                                set=np.where(new, print_[owner], 0)))
     return send
 
 
-_FOUND = "a bigint, b bigint, sets array<bigint>"
+_FOUND = "a bigint, b bigint, pair boolean, sets array<bigint>"
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Sets with a key in common: (least, other) for a test; keys of three sets or more also
-    as (least, their hash, all sets)."""
+    """Sets with a key in common: (a, b, true) of two sets alone with a key, (a, b, false) of a
+    set and one of those it shares most keys with as their least set, at most ``STARS`` of these
+    for a set, and (null, their hash, null, all sets) of keys of three sets or more."""
     e = _unblob(table.column("blob").to_pylist())
-    by = np.lexsort([e["set"], e["key"]])
-    key, member = e["key"][by], e["set"][by]
+    key = e["low"].astype(np.int64) | e["high"].astype(np.int64) << 32
+    member = e["set"][np.maximum.accumulate(np.where(e["new"], np.arange(len(key)), 0))]
+    by = np.lexsort([member, key])
+    key, member = key[by], member[by]
     new = _groups(key, member)
     key, member = key[new], member[new]
     head = _groups(key)
     first = np.flatnonzero(head)
     size = np.diff(np.append(first, len(key)))
-    least = np.repeat(member[first], size)
-    other = ~head
-    pairs = np.unique(np.column_stack([least[other], member[other]]), axis=0)
+    two = first[size == 2]
+    pairs = np.unique(np.column_stack([member[two], member[two + 1]]), axis=0)
     many = size >= 3
+    least = np.repeat(member[first], size)
+    other = ~head & np.repeat(many, size)
+    stars, times = np.unique(np.column_stack([member[other], least[other]]), axis=0,
+                             return_counts=True)
+    by = np.lexsort([-times, stars[:, 0]])
+    stars = stars[by]
+    begin = _groups(stars[:, 0])
+    rank = np.arange(len(stars)) - np.maximum.accumulate(np.where(begin, np.arange(len(stars)), 0))
+    stars = stars[rank < STARS]
     with np.errstate(over="ignore"):
         hashes = np.add.reduceat(mix(member.view(np.uint64)), first).view(np.int64) if len(first) \
             else np.zeros(0, np.int64)
@@ -243,11 +308,13 @@ def _meet(table: pa.Table) -> pa.Table:
     _, slot = expand(first[chosen], first[chosen] + size[chosen])
     lists = pa.ListArray.from_arrays(
         pa.array(np.append(0, np.cumsum(size[chosen])).astype(np.int32)), pa.array(member[slot]))
-    n = len(pairs)
+    n, m, k = len(pairs), len(stars), len(chosen)
     return pa.table({
-        "a": np.append(pairs[:, 0], member[first[chosen]]),
-        "b": np.append(pairs[:, 1], hashes[chosen]),
-        "sets": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), lists])})
+        "a": pa.concat_arrays([pa.array(np.append(pairs[:, 0], stars[:, 1])),
+                               pa.nulls(k, pa.int64())]),
+        "b": np.concatenate([pairs[:, 1], stars[:, 0], hashes[chosen]]),
+        "pair": pa.concat_arrays([pa.array(np.arange(n + m) < n), pa.nulls(k, pa.bool_())]),
+        "sets": pa.concat_arrays([pa.nulls(n + m, pa.list_(pa.int64())), lists])})
 
 
 def _similar(shingle: int, percent: int):
@@ -278,43 +345,78 @@ def _most(total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _may_be_similar(percent: int):
-    """Whether the sketches of a pair leave open that it is similar."""
+    """The pairs whose sketches leave open that they are similar, with the least difference."""
     def bound(batches):
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
+            left, right = batch.column(3), batch.column(4)
             most = _most(left.field("n").to_numpy() + right.field("n").to_numpy(), percent)
-            bits = [int(np.bitwise_count(np.bitwise_xor(*_same_length([x, y]))).sum())
-                    for x, y in zip(left.field("sketch").to_pylist(),
-                                    right.field("sketch").to_pylist())]
+            bits = np.array([int(np.bitwise_count(np.bitwise_xor(*_same_length([x, y]))).sum())
+                             for x, y in zip(left.field("sketch").to_pylist(),
+                                             right.field("sketch").to_pylist())], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(bits, np.int64) <= most)],
-                names=["a", "b", "open"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(bits)],
+                names=["a", "b", "pair", "bits"]).filter(pa.array(bits <= most))
     return bound
 
 
-def _across(percent: int):
-    """Pairs of a key's sets from different components that may be similar by their sketches,
-    but for those with the least set, which are tested already."""
+def _across(percent: int, named: int):
+    """Of a block of a key: each set's ``named`` nearest partners from other components, of those
+    that may be similar by their sketches, as (a, b); and (the key, null) where there are more.
+    The largest component of a block names none, since all others look at it."""
     def pairs(batches):
         for batch in batches:
-            for members in batch.column(0).to_pylist():
+            found, more = [], []
+            for key, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 members.sort(key=lambda m: m["node"])
-                members = members[1:]
                 node, part, n = (np.array([m[k] for m in members], np.int64)
                                  for k in ("node", "part", "n"))
-                sketch = _same_length([m["sketch"] for m in members])
-                for i in range(len(node) - 1):
-                    most = _most(n[i] + n[i + 1:], percent)
-                    bits = np.bitwise_count(sketch[i] ^ sketch[i + 1:]).sum(1, dtype=np.int64)
-                    near = node[i + 1:][(bits <= most) & (part[i + 1:] != part[i])]
+                sketch = _same_length([m["short"] for m in members])
+                _, which, held = np.unique(part, return_inverse=True, return_counts=True)
+                for i in np.flatnonzero(which != held.argmax()):
+                    bits = np.bitwise_count(sketch[i] ^ sketch).sum(1, dtype=np.int64)
+                    spare = _most(n[i] + n, percent) - bits
+                    near = np.flatnonzero((spare >= 0) & (which != which[i]))
+                    if len(near) > named:
+                        near = near[np.argsort(-spare[near], kind="stable")[:named]]
+                        more.append(key)
                     if len(near):
-                        yield pa.RecordBatch.from_pydict(
-                            {"a": pa.array(np.full(len(near), node[i])), "b": pa.array(near)})
+                        found.append(np.column_stack([np.minimum(node[i], node[near]),
+                                                      np.maximum(node[i], node[near])]))
+            found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            more = np.unique(np.array(more, np.int64))
+            yield pa.RecordBatch.from_pydict({
+                "a": pa.array(np.append(found[:, 0], more)),
+                "b": pa.concat_arrays([pa.array(found[:, 1]), pa.nulls(len(more), pa.int64())])})
     return pairs
 
 
+def _blocks(keys: DataFrame, parts: DataFrame, outline: DataFrame, block: int) -> DataFrame:
+    """(key, members) of keys (key, sets) with sets in several components: one row for a small
+    key, else one for each two blocks of its sets with no two of the largest component."""
+    members = keys.select("key", F.explode("sets").alias("node")).join(parts, "node", "left") \
+        .withColumn("part", F.coalesce("component", "node")).drop("component")
+    mixed = members.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.max_by("part", "c").alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c")) \
+        .filter("c > in_main")
+    p, q = (F.ceil(v / block).cast("int") for v in (F.col("c") - F.col("in_main"), F.col("in_main")))
+    small = F.col("c") <= block
+    dealt = members.join(mixed, "key").withColumns({"p": p, "q": q})
+    hashed = F.xxhash64("node")
+    i, j = F.pmod(hashed, "p").cast("int"), (F.col("p") + F.pmod(hashed, "q")).cast("int")
+    slot = F.when(small, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(
+        F.col("part") == F.col("main"),
+        F.transform(F.sequence(F.lit(0), F.col("p") - 1),
+                    lambda x: F.struct(x.alias("i"), j.alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1),
+                    lambda x: F.struct(F.least(i, x).alias("i"), F.greatest(i, x).alias("j"))))
+    return dealt.select("key", "node", "part", F.explode(slot).alias("at")) \
+        .join(outline.select("node", "n", "short"), "node").groupBy("key", "at").agg(
+        F.collect_list(F.struct("node", "part", "n", "short")).alias("members")) \
+        .select("key", "members")
+
+
 def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
-                     group_bytes: int = GROUP_BYTES) -> DataFrame:
+                     group_bytes: int = GROUP_BYTES, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row.
 
     ``component_id`` is the smallest doc_id that links lead to. A null or wordless text has an
@@ -331,14 +433,12 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
                 size, print_ = fingerprints(element, text, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(size, pa.int64()), pa.array(print_),
-                     pa.array(texts.sizes()), sketches(element, text, size, percent)],
-                    names=["doc_id", "n", "set", "bytes", "sketch"])
-
-    sizes = stored(docs.mapInArrow(measure, "doc_id bigint, n bigint, set bigint, bytes bigint, "
-                                            "sketch binary"), "sets")
-    total, largest = sizes.agg(F.sum("bytes"), F.max("n")).first()
-    edges = np.array(band_edges(largest or 1))
-    places = max(1, math.ceil((total or 0) / group_bytes))
+                     sketches(element, text, size, percent)],
+                    names=["doc_id", "n", "set", "sketch"])
+
+    sizes = stored(docs.mapInArrow(measure, "doc_id bigint, n bigint, set bigint, sketch binary"),
+                   "sets")
+    edges = np.array(band_edges(sizes.agg(F.max("n")).first()[0] or 1))
     # At most one row for each band: their number grows with the logarithm of the largest set.
     counts = sizes.filter("n > 0").groupBy("n").agg(F.approx_count_distinct("set").alias("c"))
     band = F.array_position(F.transform(F.array(*[F.lit(int(e)) for e in edges]),
@@ -347,51 +447,60 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     plan = np.array([allocate(int(lo) + 1, int(hi), per_band.get(i, 0), percent)
                      for i, (lo, hi) in enumerate(zip(np.append(0, edges), edges))])
 
+    dealt = deal(plan, edges, np.array([per_band.get(i, 0) for i in range(len(edges))]), group_bytes,
+                 percent)
     found = stored(
-        docs.mapInArrow(_key_blobs(places, shingle, edges, plan, percent), "place int, blob binary")
+        docs.mapInArrow(_key_blobs(dealt, shingle, edges, plan, percent), "place int, blob binary")
         .groupBy("place").applyInArrow(_meet, _FOUND), "met")
     classes = sizes.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     # Equal sets have equal sketches, so any row will do.
     outline = stored(sizes.filter("n > 0").select(F.col("set").alias("node"), "n", "sketch")
-                     .dropDuplicates(["node"]), "outline")
+                     .dropDuplicates(["node"]).mapInArrow(
+                         _outline, "node bigint, n bigint, sketch binary, short binary"), "outline")
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        """(a, b, similar): most pairs are settled by their sketches, the others by texts."""
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """(a, b, pair, bits) of the pairs that their sketches leave open."""
         sides = [outline.select(F.col("node").alias(k), F.struct("n", "sketch").alias(f"_{k}"))
                  for k in ("a", "b")]
-        bounded = stored(pairs.join(sides[0], "a").join(sides[1], "b")
-                         .select("a", "b", "_a", "_b").mapInArrow(
-                             _may_be_similar(percent), "a bigint, b bigint, open boolean"), "bounded")
-        pairs = bounded.filter("open").select("a", "b")
+        return stored(pairs.join(sides[0], "a").join(sides[1], "b")
+                      .select("a", "b", "pair", "_a", "_b").mapInArrow(
+                          _may_be_similar(percent), "a bigint, b bigint, pair boolean, bits bigint"),
+                      "bounded")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """(a, b, similar) by whole texts."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         texts = wanted.join(classes, "set").join(docs, "doc_id").select("set", "text")
         texts = stored(texts.mapInArrow(_own_text(shingle), "set bigint, text string")
                        .dropDuplicates(["set"]), "candidates")
         joined = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("x")), "a") \
             .join(texts.select(F.col("set").alias("b"), F.col("text").alias("y")), "b")
-        compared = stored(joined.select("a", "b", "x", "y").mapInArrow(
+        return stored(joined.select("a", "b", "x", "y").mapInArrow(
             _similar(shingle, percent), "a bigint, b bigint, similar boolean"), "tested")
-        return compared.unionAll(bounded.filter("NOT open").select("a", "b", F.lit(False)))
 
-    first = tested(found.filter("sets IS NULL").select("a", "b").distinct())
-    links = first.filter("similar").select("a", "b")
+    start = bounded(found.filter("sets IS NULL").groupBy("a", "b").agg(F.max("pair").alias("pair")))
+    nearest = start.filter("NOT pair").groupBy("b").agg(F.min_by("a", "bits").alias("a"))
+    decided = tested(start.filter("pair").select("a", "b").unionByName(nearest))
+    links = decided.filter("similar").select("a", "b")
     parts = stored(components(links), "parts")
-    # Keys whose sets failed a test with their least and are in several components.
-    failed = first.filter("NOT similar").select(F.col("a").alias("least"), F.col("b").alias("other"))
-    keys = found.filter("sets IS NOT NULL").dropDuplicates(["b"])
-    mixed = keys.join(failed, (keys.a == failed.least)
-                      & F.array_contains("sets", F.col("other")), "left_semi")
-    members = mixed.select("b", F.explode("sets").alias("node")).join(parts, "node", "left") \
-        .withColumn("part", F.coalesce("component", "node"))
-    several = members.groupBy("b").agg(F.min("part").alias("lo"), F.max("part").alias("hi")) \
-        .filter("lo < hi").select("b")
-    lists = members.join(several, "b").join(outline, "node").groupBy("b").agg(
-        F.collect_list(F.struct("node", "part", "n", "sketch")).alias("members"))
-    more = lists.select("members").mapInArrow(_across(percent), "a bigint, b bigint").distinct()
-    second = tested(stored(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs"))
-    new = second.filter("similar").select("a", "b")
-    if not new.isEmpty():
-        parts = stored(components(links.unionAll(new)), "parts")
+    keys = found.filter("sets IS NOT NULL").select(F.col("b").alias("key"), "sets") \
+        .dropDuplicates(["key"])
+    named = NAMED
+    while True:
+        out = stored(_blocks(keys, parts, outline, block).mapInArrow(
+            _across(percent, named), "a bigint, b bigint"), "pairs")
+        new = out.filter("b IS NOT NULL").distinct().join(decided.select("a", "b"), ["a", "b"],
+                                                          "left_anti")
+        now = tested(bounded(new.withColumn("pair", F.lit(True))).select("a", "b"))
+        if not now.filter("similar").isEmpty():
+            links = links.unionAll(now.filter("similar").select("a", "b"))
+            parts = stored(components(links), "parts")
+        more = out.filter("b IS NULL").select(F.col("a").alias("key")).distinct()
+        if more.isEmpty():
+            break
+        decided = decided.unionAll(now)
+        keys = stored(keys.join(more, "key", "left_semi"), "keys")
+        named *= MORE
 
     classes = classes.join(parts, classes.set == parts.node, "left").select(
         "set", "doc_id", F.coalesce("component", "set").alias("component"))
@@ -402,6 +511,12 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         "doc_id", "n", F.col("doc_id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
 
 
+def _outline(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, shorter(batch.column(2))],
+                                         names=["node", "n", "sketch", "short"])
+
+
 def _own_text(shingle: int):
     """Rows whose text has the set it was fetched for; ids can have several texts."""
     def keep(batches):
