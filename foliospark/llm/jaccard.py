@@ -370,7 +370,7 @@ def _across(percent: int, named: int):
                 members.sort(key=lambda m: m["node"])
                 node, part, n = (np.array([m[k] for m in members], np.int64)
                                  for k in ("node", "part", "n"))
-                sketch = _same_length([m["short"] for m in members])
+                sketch = _same_length([m["sketch"] for m in members])
                 _, which, held = np.unique(part, return_inverse=True, return_counts=True)
                 for i in np.flatnonzero(which != held.argmax()):
                     bits = np.bitwise_count(sketch[i] ^ sketch).sum(1, dtype=np.int64)
@@ -410,8 +410,8 @@ def _blocks(keys: DataFrame, parts: DataFrame, outline: DataFrame, block: int) -
         F.transform(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1),
                     lambda x: F.struct(F.least(i, x).alias("i"), F.greatest(i, x).alias("j"))))
     return dealt.select("key", "node", "part", F.explode(slot).alias("at")) \
-        .join(outline.select("node", "n", "short"), "node").groupBy("key", "at").agg(
-        F.collect_list(F.struct("node", "part", "n", "short")).alias("members")) \
+        .join(outline, "node").groupBy("key", "at").agg(
+        F.collect_list(F.struct("node", "part", "n", "sketch")).alias("members")) \
         .select("key", "members")
 
 
@@ -487,7 +487,9 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         .dropDuplicates(["key"])
     named = NAMED
     while True:
-        out = stored(_blocks(keys, parts, outline, block).mapInArrow(
+        # The first round sees most keys and takes the short sketches.
+        sketch = F.col("short" if named == NAMED else "sketch").alias("sketch")
+        out = stored(_blocks(keys, parts, outline.select("node", "n", sketch), block).mapInArrow(
             _across(percent, named), "a bigint, b bigint"), "pairs")
         new = out.filter("b IS NOT NULL").distinct().join(decided.select("a", "b"), ["a", "b"],
                                                           "left_anti")
