@@ -70,6 +70,20 @@ def test_components_are_those_of_all_pairs(spark, seed, twos, group, monkeypatch
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_large_keys_are_settled_in_rounds_over_blocks(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(40):                               # near copies at and about the bound
+        text = list(base)
+        for k in range(rng.choice([1, 2, 3])):
+            text[rng.randrange(10 * (i % 7), 10 * (i % 7) + 10)] = f"x{i}.{k}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = jaccard.ngram_components(docs, block=6).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_other_sizes_and_empty_tables(spark):
     rows = made_rows(4)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
