@@ -112,7 +112,7 @@ def test_empty_tables(spark, folder):
 
 def test_registered_queries_give_their_columns(spark, sf_dir):
     names = {n.split("_")[0] for n in catalog.queries()}
-    assert names == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert names == {"pipeline", *(f"op{n}" for n in range(1, 14))}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, columns in {
             "op2": ["doc_id", "held_out", "lang_pred", "score"],
