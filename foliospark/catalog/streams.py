@@ -17,11 +17,9 @@ from foliospark.streaming import admission, answers, embed, filings
 
 
 def _stream(t: Tables, name: str) -> DataFrame:
-    """A driver table as a file stream."""
-    return (
-        t.spark.readStream.schema(t(name).schema)
-        .option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
-    )
+    """A driver table as a file stream. The table is one file or a folder of files; a pattern
+    that only its name fits lets Spark's file source take either."""
+    return t.spark.readStream.schema(t(name).schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 def _derived_stream(t: Tables, name: str, table: str) -> DataFrame:

@@ -143,3 +143,19 @@ def test_a_page_may_be_a_book(spark):
     per, step = 50 // 5, 50 // 5 - 10 // 5
     want = [" ".join(sentences[i:i + per]) for i in range(0, n - per + step, step)]
     assert [c["content"] for c in chunks] == want
+
+
+def test_table_of_a_stream_is_a_file_or_a_folder(spark, tmp_path):
+    from foliospark.catalog.inputs import Tables
+    from foliospark.catalog.streams import _stream
+
+    values = spark.range(40).withColumn("text", F.lit("a"))
+    values.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    values.toPandas().to_parquet(tmp_path / "events.parquet")
+    values.toPandas().to_parquet(tmp_path / "events2.parquet")
+    for name in ("documents", "events"):
+        out = str(tmp_path / f"{name}-out")
+        _stream(Tables(spark, str(tmp_path)), name).writeStream.format("parquet") \
+            .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out) \
+            .awaitTermination()
+        assert spark.read.parquet(out).count() == 40
