@@ -160,6 +160,24 @@ def test_codes_first_then_vectors(spark, tmp_path):
     assert "dynamicpruning" in plan and "cell" in plan
 
 
+def test_open_cells_are_searched_too(spark, tmp_path):
+    """Vectors without clusters: one probe misses neighbours, the reach of the cells brings them."""
+    rows = [(i, v.tolist()) for i, v in enumerate(
+        np.random.default_rng(4).normal(size=(600, 8)).astype("float32"))]
+    pool = spark.createDataFrame([*rows, (700, [0.0] * 8)], "chunk_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(i, rows[i * 20][1]) for i in range(20)],
+                                  "query_id bigint, embedding array<float>")
+    fitted, path = vectors.fit_cells(pool), str(tmp_path / "cells")
+    vectors.store_cells(vectors.assign_cells(pool, fitted), path)
+    celled, exact = spark.read.parquet(path), vectors.rank_chunks(asked, pool, 5)
+    one = vectors.approx_rank_chunks(asked, celled, fitted, 5, 1, 8)
+    assert vectors.recall(one, exact).first()["recall"] < 0.9
+    for stored in (celled, celled.drop("code")):
+        whole = vectors.approx_rank_chunks(asked, stored, fitted, 5, 1, 8,
+                                           vectors.cell_reach(stored, fitted))
+        assert whole.exceptAll(exact).count() == exact.exceptAll(whole).count() == 0
+
+
 def test_winners_prune_the_chunk_store(spark, chunks, questions, tmp_path):
     path = str(tmp_path / "chunks")
     vectors.store_chunks(chunks.withColumns({"section": F.lit(None).cast("string"),
