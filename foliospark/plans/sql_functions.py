@@ -72,17 +72,18 @@ CREATE OR REPLACE TEMPORARY FUNCTION search_chunks(
 RETURNS TABLE (id STRING, score DOUBLE, rank INT)
 RETURN SELECT id, score, rn FROM (
   SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rn FROM (
-    SELECT id, met, round(gain / size(@terms), 9) AS score FROM (
-    SELECT CAST(p.chunk_id AS STRING) AS id, count(*) AS met, sum(p.tf / (p.tf + 1)) AS gain
-    FROM {postings} p
-    WHERE array_contains(transform(@terms,
-                                   t -> CAST(pmod(xxhash64(t), @buckets) AS INT)), p.bucket)
-      AND array_contains(@terms, p.term)
-      AND (search_chunks.filter_symbol IS NULL OR p.symbol = search_chunks.filter_symbol)
+    SELECT id, met, n_terms, round(gain / n_terms, 9) AS score FROM (
+    SELECT CAST(p.chunk_id AS STRING) AS id, count(*) AS met, first(t.n_terms) AS n_terms,
+      sum(p.tf / (p.tf + 1)) AS gain
+    FROM {postings} p JOIN (
+      SELECT /*+ BROADCAST */ term, n_terms, CAST(pmod(xxhash64(term), @buckets) AS INT) AS bucket
+      FROM (SELECT size(ts) AS n_terms, explode(ts) AS term FROM (SELECT @terms AS ts))) t
+      ON p.term = t.term AND p.bucket = t.bucket
+    WHERE (search_chunks.filter_symbol IS NULL OR p.symbol = search_chunks.filter_symbol)
       AND (search_chunks.filter_doc_type IS NULL OR p.doc_type = search_chunks.filter_doc_type)
       AND (search_chunks.filter_period IS NULL OR p.period = search_chunks.filter_period)
     GROUP BY p.chunk_id))
-  WHERE search_chunks.match_any OR met = size(@terms))
+  WHERE search_chunks.match_any OR met = n_terms)
 WHERE rn <= search_chunks.match_count
 """
 

@@ -301,3 +301,22 @@ def test_stored_index_reads_few_blocks_and_loses_nothing(spark, tmp_path):
     assert uppers.filter(F.col("upper") + 1e-8 >= reached).count() < uppers.count() == 4
     none = postings.rank_stored(asked.limit(0), index, 5)
     assert none.count() == 0
+
+
+def test_text_search_in_sql_joins_its_terms(spark, chunks, tmp_path):
+    """The words of the search text are worked out once and joined, not tested row by row."""
+    from foliospark.plans import sql_functions
+
+    path = str(tmp_path / "index")
+    postings.store_index(chunks, path, buckets=4, blocks=2)
+    keyed = chunks.withColumn("id", F.col("chunk_id").cast("string"))
+    sql_functions.register(
+        spark, keyed.select("id", F.col("id").alias("document_id"), "content", "page", "embedding"),
+        keyed.select("id", "symbol", "doc_type", "period", "source_url"),
+        postings.StoredIndex(spark, path, 4))
+    found = spark.sql("SELECT * FROM search_chunks('dividends margins', 5, true)")
+    assert [r["id"] for r in found.collect()] == ["6", "2", "3"]
+    assert "Join Inner" in found._jdf.queryExecution().optimizedPlan().toString()
+    both = spark.sql("SELECT id FROM search_chunks('net dividend', filter_symbol => 'INFY')")
+    assert [r["id"] for r in both.collect()] == ["2"]
+    assert spark.sql("SELECT * FROM search_chunks('the of', 5, true)").count() == 0
