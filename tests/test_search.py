@@ -320,3 +320,28 @@ def test_text_search_in_sql_joins_its_terms(spark, chunks, tmp_path):
     both = spark.sql("SELECT id FROM search_chunks('net dividend', filter_symbol => 'INFY')")
     assert [r["id"] for r in both.collect()] == ["2"]
     assert spark.sql("SELECT * FROM search_chunks('the of', 5, true)").count() == 0
+
+
+def test_postings_are_grouped_within_the_row(spark, chunks):
+    """No token is shuffled; rows that repeat an id are still put together; nulls give nothing."""
+    built = postings.build_postings(chunks, ("symbol",))
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, "the cats, a cat"), (1, "dogs"), (2, None), (3, "of"), (4, "Cats cat x")],
+                                 "chunk_id bigint, content string")
+    for table in (rows, rows.filter("content <> 'dogs' OR content IS NULL")):
+        whole = postings._group(postings.token_rows(table))
+        made = postings.build_postings(table)
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_tasks_grow_with_the_text(spark, chunks, monkeypatch, tmp_path):
+    monkeypatch.setattr(postings, "PART_CHARS", 2)
+    parts = postings.task_parts(chunks)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = ask(spark, '"capital expenditure" OR capex')
+    made = postings.postings_for(asked, chunks)
+    found = postings.matching_chunks(asked, made, parts=parts)
+    assert f"{parts}" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["chunk_id"] for r in found.collect()} == {0, 1}
+    postings.store_postings(made, str(tmp_path / "p"), 2, parts=parts)
+    assert spark.read.parquet(str(tmp_path / "p")).count() == made.count()
