@@ -37,6 +37,8 @@ SURE = 0.95
 #: Share of good documents of the calibration sample that the cutoff may reject.
 REJECTED_GOOD = 0.003
 STEPS, PENALTY = 300, 1e-1
+#: Rows of a sample that are scored at once.
+BLOCK_ROWS = 512
 
 #: Characters whose share in the text is a number of its own.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_{|}~0\n"
@@ -60,7 +62,13 @@ class Features:
         return len(self.first) - 1
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * weights[self.index], len(self))
+        out = np.zeros(len(self))
+        for at in range(0, len(self), BLOCK_ROWS):       # what is made on the way stays small
+            end = min(at + BLOCK_ROWS, len(self))
+            part = slice(int(self.first[at]), int(self.first[end]))
+            out[at:end] = np.bincount(self.row[part] - np.int32(at),
+                                      self.value[part] * weights[self.index[part]], end - at)
+        return out
 
     def back(self, rows: np.ndarray) -> np.ndarray:
         return np.bincount(self.index, self.value * rows[self.row], self.size)
@@ -192,7 +200,9 @@ class CoTrained:
 
 def _rows(features: Features, rows: np.ndarray) -> Features:
     size = np.diff(features.first)[rows]
-    at = np.arange(size.sum()) + np.repeat(features.first[:-1][rows] - np.cumsum(size) + size, size)
+    shift = (features.first[:-1][rows] - np.cumsum(size) + size).astype(np.int32)
+    at = np.repeat(shift, size)
+    at += np.arange(len(at), dtype=np.int32)
     return Features(np.append(0, np.cumsum(size)), features.index[at], features.value[at],
                     features.size)
 
@@ -215,7 +225,8 @@ def co_train(labelled: list[Features], target: np.ndarray, pool: list[Features],
             parts = [_rows(labelled[k], fit)]
             if len(taken[k]):
                 parts.append(_rows(pool[k], taken[k]))
-            view.fit(Features.stack(parts), np.concatenate([target[fit], given[k]]))
+            view.fit(parts.pop() if len(parts) == 1 else Features.stack(parts),
+                     np.concatenate([target[fit], given[k]]))
         if turn == rounds or not len(pool[0]):
             break
         for k, view in enumerate(views):
@@ -242,14 +253,36 @@ def _sample_features(batches):
         for rows, texts in pieces(batch):
             for k, f in enumerate((text_features(texts), meta_features(rows))):
                 first = pa.array(f.first.astype(np.int32))
+                numbers = f.index >= WORD_BUCKETS        # all other features count as 1
+                of = np.append(0, np.cumsum(numbers, dtype=np.int32))[f.first].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     rows.column(0), rows.column(rows.schema.get_field_index("good")),
                     pa.array(np.full(len(rows), k, np.int32)),
                     pa.ListArray.from_arrays(first, pa.array(f.index.astype(np.int32))),
-                    pa.ListArray.from_arrays(first, pa.array(f.value.astype(np.float32)))],
+                    pa.ListArray.from_arrays(pa.array(of), pa.array(f.value[numbers]))],
                     names=["doc_id", "good", "view", "feature", "value"])
 
 
+def _sample(part: pa.Table, view: int) -> Features:
+    """The rows of one view of the sample. Words of fewer documents than any fit asks for stay
+    out: their weight would be 0."""
+    lists = part.column("feature").chunks
+    size = np.concatenate([np.zeros(0, np.int64), *(
+        pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in lists)]).astype(np.int64)
+    index = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in lists)])
+    value = np.ones(len(index), np.float32)
+    value[index >= WORD_BUCKETS] = np.concatenate([np.zeros(0, np.float32), *(
+        c.flatten().to_numpy() for c in part.column("value").chunks)])
+    width = (WORD_BUCKETS + NUMBERS, META_BUCKETS)[view]
+    if view == 0:
+        use = np.bincount(index, minlength=width) >= LEAST_DOCS
+        use[WORD_BUCKETS:] = True
+        keep = use[index]
+        ends = np.append(0, np.cumsum(keep, dtype=np.int32))[np.append(0, np.cumsum(size))]
+        index, value, size = index[keep], value[keep], np.diff(ends)
+    return Features(np.append(0, np.cumsum(size)).astype(np.int64), index, value, width)
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
         pool: int = POOL) -> CoTrained | None:
     """A document is good when a label says quality 1 and none says quality 0 or toxic 1."""
@@ -265,24 +298,24 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     ids = chosen.unionAll(others.select("doc_id", F.lit(None).cast("int").alias("good")))
     rows = bounded_batches(docs).select("doc_id", "text", "lang", "source", "n_chars") \
         .join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]) \
-        .mapInArrow(_sample_features, _SAMPLE).toArrow().combine_chunks() \
-        .sort_by([("view", "ascending"), ("doc_id", "ascending")])
+        .mapInArrow(_sample_features, _SAMPLE).toArrow()
     views = [[], []]
     targets = None
-    for k in range(2):
-        part = rows.filter(pc.equal(rows.column("view"), k)).combine_chunks()
+    for k in (1, 0):                                  # the small view first: its rows go away
+        part = rows.filter(pc.equal(rows.column("view"), k))
+        if k == 1:
+            rows = rows.filter(pc.equal(rows.column("view"), 0))
+        else:
+            del rows
         good = np.array([-1 if g is None else g for g in part.column("good").to_pylist()], np.int64)
-        lists = part.column("feature").chunk(0) if len(part) else pa.array([], pa.list_(pa.int32()))
-        values = part.column("value").chunk(0) if len(part) else pa.array([], pa.list_(pa.float32()))
-        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        every = Features(np.append(0, np.cumsum(size)).astype(np.int64),
-                         lists.flatten().to_numpy(), values.flatten().to_numpy(),
-                         (WORD_BUCKETS + NUMBERS, META_BUCKETS)[k])
-        by_hash = np.argsort(mix(np.arange(len(good)).astype(np.uint64)), kind="stable")
+        by_id = np.argsort(part.column("doc_id").to_numpy(), kind="stable")
+        every = _sample(part, k)
+        del part
+        by_hash = by_id[np.argsort(mix(np.arange(len(good)).astype(np.uint64)), kind="stable")]
         with_label = by_hash[good[by_hash] >= 0]
-        views[k] = [_rows(every, with_label), _rows(every, np.flatnonzero(good < 0))]
+        views[k] = [_rows(every, with_label), _rows(every, by_id[good[by_id] < 0])]
         targets = good[with_label]
-    del rows, part, lists, values, every
+        del every
     return co_train([v[0] for v in views], targets, [v[1] for v in views])
 
 

@@ -255,3 +255,26 @@ TOLD = "Title A long story, with points. It goes on, and on. More of it; yes."
     f"<div class='post'>{STORY}</div><div class='related'><article>Another, one.</article></div>"])
 def test_names_alone_do_not_drop_the_article(html):
     assert html_text.main_text(f"<html><body>{html}</body></html>") == TOLD
+
+
+def test_sample_brings_no_ones_to_the_driver():
+    """Of a text only its numbers travel with values; words count as 1 and rare ones stay out."""
+    import pyarrow as pa
+    from foliospark.llm import cotrain
+
+    texts = [f"the cat number{i} sat" for i in range(8)]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(8), pa.int64()), "text": texts, "lang": ["en"] * 8,
+        "source": ["s"] * 8, "n_chars": pa.array([9] * 8, pa.int64()),
+        "good": pa.array([1, 0] * 4, pa.int32())})
+    rows = pa.Table.from_batches(list(cotrain._sample_features([batch])))
+    words = rows.filter(pa.compute.equal(rows.column("view"), 0))
+    assert {len(v) for v in words.column("value").to_pylist()} == {cotrain.NUMBERS}
+    made = cotrain._sample(words, 0)
+    whole = cotrain.text_features(next(iter(cotrain.pieces(batch)))[1])
+    often = np.bincount(whole.index, minlength=whole.size) >= cotrain.LEAST_DOCS
+    often[cotrain.WORD_BUCKETS:] = True
+    keep = often[whole.index]
+    assert 0 < keep.sum() < len(keep)
+    assert (made.index == whole.index[keep]).all() and (made.value == whole.value[keep]).all()
+    assert (made.row == whole.row[keep]).all()
