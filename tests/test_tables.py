@@ -159,3 +159,19 @@ def test_table_of_a_stream_is_a_file_or_a_folder(spark, tmp_path):
             .option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out) \
             .awaitTermination()
         assert spark.read.parquet(out).count() == 40
+
+
+def test_small_batches_are_given_out_together(spark):
+    """Batches of one: each keeps its own fate over the borders of what is given out."""
+    def failing(texts):
+        if any(int(x) % 7 == 3 for x in texts):
+            raise RuntimeError("down")
+        return [[float(x)] for x in texts]
+
+    chunks = spark.range(0, 1203, 1, 1).withColumn("content", F.col("id").cast("string"))
+    done = embedding.embed_batches(chunks, failing, "p", batch_size=1, tries=1).collect()
+    assert len(done) == 1203
+    for r in done:
+        bad = r["id"] % 7 == 3
+        assert (r["embedding"], r["embedding_provider"], r["status"], r["error"]) == (
+            (None, None, "failed", "down") if bad else ([float(r["id"])], "p", "embedded", None))
