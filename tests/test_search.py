@@ -345,3 +345,23 @@ def test_tasks_grow_with_the_text(spark, chunks, monkeypatch, tmp_path):
     assert {r["chunk_id"] for r in found.collect()} == {0, 1}
     postings.store_postings(made, str(tmp_path / "p"), 2, parts=parts)
     assert spark.read.parquet(str(tmp_path / "p")).count() == made.count()
+
+
+def test_stored_index_deals_texts_and_not_their_postings(spark, tmp_path):
+    """All postings of a chunk are written by the task that got its text."""
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(60)]
+    chunks = spark.createDataFrame(
+        [(i, " ".join(rng.choices(words, k=rng.randint(1, 80))), "S", "concall", "FY2025")
+         for i in range(80)], "chunk_id bigint, content string, symbol string, doc_type string, "
+                              "period string").repartition(4)
+    path = str(tmp_path / "dealt")
+    postings.store_index(chunks, path, buckets=4, blocks=3)
+    index = postings.StoredIndex(spark, path, 4)
+    task = F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1)
+    tasks = index.postings.select("chunk_id", task.alias("task")).groupBy("chunk_id").agg(
+        F.countDistinct("task").alias("n"))
+    assert [tuple(r) for r in tasks.groupBy("n").count().collect()] == [(1, 80)]
+    built = postings.build_postings(chunks).select("chunk_id", "term", "tf", "positions")
+    stored = index.postings.select(*built.columns)
+    assert stored.exceptAll(built).isEmpty() and built.exceptAll(stored).isEmpty()
