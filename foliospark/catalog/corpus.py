@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +16,9 @@ from foliospark.operators import admission, corpus, filings
 from foliospark.session import shared_folder
 from foliospark.sources import feeds, jsonl, ledger, tables
 
+#: Pages that one task writes as files, and folders that it deals them into.
+TASK_FILES, FOLDERS = 4096, 16
+
 
 @query("optional_filter", """
 SELECT id, symbol, doc_type, period FROM {corpus_documents}
@@ -533,8 +538,11 @@ def _read_filings(t: Tables):
     """Every page written as a file of its own and read back as raw bytes."""
     path = shared_folder(t.spark, "filings")
     magic = F.when(F.col("page_id") % 3 == 0, F.lit("%PDF-1.7 ")).otherwise(F.lit(""))
-    t("pages").select("page_id", F.concat(magic, "html").alias("value")).write.partitionBy(
-        "page_id").text(path)
+    # Folders of one task each: the commit moves those, not every file.
+    pages = t("pages").select("page_id", F.concat(magic, "html").alias("value"))
+    tasks = max(t.spark.sparkContext.defaultParallelism, math.ceil(pages.count() / TASK_FILES))
+    pages.withColumn("folder", F.pmod(F.xxhash64("page_id"), F.lit(FOLDERS * tasks))).repartition(
+        tasks, "folder").write.partitionBy("folder", "page_id").text(path)
     found = feeds.read_filings(t.spark, path)
     page_id = F.regexp_extract("path", "page_id=([0-9]+)", 1).cast(T.LongType())
     return found.select(page_id.alias("page_id"), "bytes", "sha256", "is_pdf")

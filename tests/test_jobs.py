@@ -485,3 +485,16 @@ def test_guard_sees_all_white_space(spark):
     assert [r[0] for r in asked.select(check["reason"]).collect()] == [
         "question_required", "question_required", "injection", None]
 
+
+
+def test_filings_are_written_in_folders_of_one_task(spark, sf_dir):
+    """The commit moves folders, which no two tasks share, and not a folder for every file."""
+    from foliospark import catalog
+
+    found = catalog.queries()["read_filings"](spark, sf_dir)
+    files = found.inputFiles()
+    assert len(files) == found.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    places = {f.split("folder=")[1].split("/")[0]: set() for f in files}
+    for f in files:
+        places[f.split("folder=")[1].split("/")[0]].add(f.rsplit("/", 1)[1].split("-")[1])
+    assert all(len(tasks) == 1 for tasks in places.values())
