@@ -43,3 +43,21 @@ def components(links: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
                           .distinct())
+
+
+def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) with further links (a, b): only the links between
+    components are gone through, of which there are few once most nodes are joined."""
+    across = stored(_named(_named(links, parts, "a"), parts, "b").filter("a <> b").distinct(), "links")
+    moved = stored(components(across), "moved").select(
+        F.col("node").alias("component"), F.col("component").alias("_to"))
+    new = across.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return parts.unionAll(new).join(moved, "component", "left").select(
+        "node", F.coalesce("_to", "component").alias("component"))
+
+
+def _named(links: DataFrame, parts: DataFrame, end: str) -> DataFrame:
+    """Links with one end replaced by its component."""
+    return links.join(parts.withColumnRenamed("node", end), end, "left").withColumn(
+        end, F.coalesce("component", end)).drop("component")

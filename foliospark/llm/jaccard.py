@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.components import components
+from foliospark.llm.components import components, merged
 from foliospark.llm.repeats import _by, _groups, _sent, _unblob
 from foliospark.llm.suffixes import expand
 from foliospark.llm.texts import (BLANK_SPLIT, Texts, bounded_batches, mix, pieces, texts_of,
@@ -51,7 +51,7 @@ GROUP_BYTES = 16 << 20
 STARS = 2
 #: Sets of a block of a key, and partners that a set names in the first round; each round more
 #: by the factor.
-BLOCK, NAMED, MORE = 4096, 1, 8
+BLOCK, NAMED, MORE = 4096, 64, 8
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,18 +99,6 @@ def sketches(element: np.ndarray, text: np.ndarray, size: np.ndarray, percent: i
         pa.py_buffer(data.tobytes())])
 
 
-def shorter(sketch: pa.Array, folds: int = 2) -> pa.Array:
-    """Sketches folded on themselves, none below one word of 64 bits."""
-    out = []
-    for s in sketch.to_pylist():
-        words = np.frombuffer(s, "<u8")
-        for _ in range(folds):
-            if len(words) > 1:
-                words = words[:len(words) // 2] ^ words[len(words) // 2:]
-        out.append(words.tobytes())
-    return pa.array(out, pa.binary())
-
-
 def _same_length(sketch: list[bytes]) -> np.ndarray:
     """Sketches folded to the shortest of them, as rows of 64-bit words."""
     least = min(map(len, sketch)) // 8
@@ -366,11 +354,15 @@ def _across(percent: int, named: int):
     def pairs(batches):
         for batch in batches:
             found, more = [], []
-            for key, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                members.sort(key=lambda m: m["node"])
-                node, part, n = (np.array([m[k] for m in members], np.int64)
-                                 for k in ("node", "part", "n"))
-                sketch = _same_length([m["sketch"] for m in members])
+            members, begin = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+            begin = begin - begin[0]
+            for key, lo, hi in zip(batch.column(0).to_pylist(), begin[:-1], begin[1:]):
+                # Arrays of one key at a time: rows of a batch as objects are many times its size.
+                own = members.slice(lo, hi - lo)
+                node, part, n = (own.field(k).to_numpy() for k in ("node", "part", "n"))
+                by = np.argsort(node, kind="stable")
+                node, part, n = node[by], part[by], n[by]
+                sketch = _same_length(own.field("sketch").take(pa.array(by)).to_pylist())
                 _, which, held = np.unique(part, return_inverse=True, return_counts=True)
                 for i in np.flatnonzero(which != held.argmax()):
                     bits = np.bitwise_count(sketch[i] ^ sketch).sum(1, dtype=np.int64)
@@ -402,6 +394,9 @@ def _blocks(keys: DataFrame, parts: DataFrame, outline: DataFrame, block: int) -
     small = F.col("c") <= block
     dealt = members.join(mixed, "key").withColumns({"p": p, "q": q})
     hashed = F.xxhash64("node")
+    # A number given is kept: few bytes are much work here, and would be put into one task.
+    spark = keys.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     i, j = F.pmod(hashed, "p").cast("int"), (F.col("p") + F.pmod(hashed, "q")).cast("int")
     slot = F.when(small, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).when(
         F.col("part") == F.col("main"),
@@ -410,7 +405,7 @@ def _blocks(keys: DataFrame, parts: DataFrame, outline: DataFrame, block: int) -
         F.transform(F.sequence(F.lit(0), F.col("p") + F.col("q") - 1),
                     lambda x: F.struct(F.least(i, x).alias("i"), F.greatest(i, x).alias("j"))))
     return dealt.select("key", "node", "part", F.explode(slot).alias("at")) \
-        .join(outline, "node").groupBy("key", "at").agg(
+        .join(outline, "node").repartition(tasks, "key", "at").groupBy("key", "at").agg(
         F.collect_list(F.struct("node", "part", "n", "sketch")).alias("members")) \
         .select("key", "members")
 
@@ -455,8 +450,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     classes = sizes.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     # Equal sets have equal sketches, so any row will do.
     outline = stored(sizes.filter("n > 0").select(F.col("set").alias("node"), "n", "sketch")
-                     .dropDuplicates(["node"]).mapInArrow(
-                         _outline, "node bigint, n bigint, sketch binary, short binary"), "outline")
+                     .dropDuplicates(["node"]), "outline")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """(a, b, pair, bits) of the pairs that their sketches leave open."""
@@ -481,22 +475,18 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     start = bounded(found.filter("sets IS NULL").groupBy("a", "b").agg(F.max("pair").alias("pair")))
     nearest = start.filter("NOT pair").groupBy("b").agg(F.min_by("a", "bits").alias("a"))
     decided = tested(start.filter("pair").select("a", "b").unionByName(nearest))
-    links = decided.filter("similar").select("a", "b")
-    parts = stored(components(links), "parts")
+    parts = stored(components(decided.filter("similar").select("a", "b")), "parts")
     keys = found.filter("sets IS NOT NULL").select(F.col("b").alias("key"), "sets") \
         .dropDuplicates(["key"])
     named = NAMED
     while True:
-        # The first round sees most keys and takes the short sketches.
-        sketch = F.col("short" if named == NAMED else "sketch").alias("sketch")
-        out = stored(_blocks(keys, parts, outline.select("node", "n", sketch), block).mapInArrow(
+        out = stored(_blocks(keys, parts, outline, block).mapInArrow(
             _across(percent, named), "a bigint, b bigint"), "pairs")
         new = out.filter("b IS NOT NULL").distinct().join(decided.select("a", "b"), ["a", "b"],
                                                           "left_anti")
         now = tested(bounded(new.withColumn("pair", F.lit(True))).select("a", "b"))
         if not now.filter("similar").isEmpty():
-            links = links.unionAll(now.filter("similar").select("a", "b"))
-            parts = stored(components(links), "parts")
+            parts = stored(merged(parts, now.filter("similar").select("a", "b")), "parts")
         more = out.filter("b IS NULL").select(F.col("a").alias("key")).distinct()
         if more.isEmpty():
             break
@@ -513,12 +503,6 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         "doc_id", "n", F.col("doc_id").alias("component_id"))).withColumnRenamed("n", "n_shingles")
 
 
-def _outline(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, shorter(batch.column(2))],
-                                         names=["node", "n", "sketch", "short"])
-
-
 def _own_text(shingle: int):
     """Rows whose text has the set it was fetched for; ids can have several texts."""
     def keep(batches):

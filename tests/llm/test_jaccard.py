@@ -149,3 +149,17 @@ def test_connected_components(spark, seed):
                 part[x] = pa
     assert got == {x: min(p) for x, p in part.items()}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_later_links_merge_components(spark):
+    """Further links give the components of all links, from those that were there."""
+    from foliospark.llm.components import components, merged
+
+    def table(edges):
+        return spark.createDataFrame(edges, "a bigint, b bigint")
+
+    first, later = [(1, 2), (2, 3), (7, 8), (10, 11)], [(3, 8), (11, 30), (20, 21), (1, 2), (21, 22)]
+    got = [tuple(r) for r in merged(components(table(first)), table(later)).collect()]
+    assert sorted(got) == sorted(map(tuple, components(table(first + later)).collect()))
+    same = merged(components(table(first)), table([])).collect()
+    assert sorted(map(tuple, same)) == sorted(map(tuple, components(table(first)).collect()))
