@@ -15,10 +15,10 @@ number of its sets: one-deletion keys are many, but far fewer unrelated sets mee
 Two sets alone with a key are tested by their whole texts. In larger keys each set is first
 tested with one set of the key only, which joins most of them. Keys whose sets are then still in
 different components go on in rounds: their sets' sketches, which bound the difference from below,
-are compared across components, each set gives out its nearest open partners, and these are
-tested. Later rounds let a set name more partners; they end when no key holds an open pair that
-was not tested, so the components are those of all similar pairs. A key with very many sets is
-split into pairs of blocks of its sets.
+are compared across components, the key gives out a spanning forest of its open pairs, nearest
+first, and these are tested. Later rounds give out several forests, each of the pairs that those
+before it left; they end when no key holds an open pair that was not tested, so the components are
+those of all similar pairs. A key with very many sets is split into pairs of blocks of its sets.
 """
 
 from __future__ import annotations
@@ -49,9 +49,11 @@ SHARED_SETS, SHARED_PART, TEST_COST = 0.01, 0.15, 1
 GROUP_BYTES = 16 << 20
 #: Sets of a large key that a set is tested with at first, by what a task can see.
 STARS = 2
-#: Sets of a block of a key, and partners that a set names in the first round; each round more
-#: by the factor.
-BLOCK, NAMED, MORE = 4096, 64, 8
+#: Sets of a block of a key, and spanning forests that a block names in the first round; each
+#: round more by the factor.
+BLOCK, LAYERS, MORE = 4096, 1, 8
+#: Open pairs of a block that are held before they are cut to its forests.
+EDGES = 1 << 20
 
 
 def shingle_sets(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -347,10 +349,52 @@ def _may_be_similar(percent: int):
     return bound
 
 
-def _across(percent: int, named: int):
-    """Of a block of a key: each set's ``named`` nearest partners from other components, of those
-    that may be similar by their sketches, as (a, b); and (the key, null) where there are more.
-    The largest component of a block names none, since all others look at it."""
+def _forest(p: np.ndarray, q: np.ndarray, nodes: int) -> np.ndarray:
+    """Positions of the edges (p, q) of a spanning forest that prefers earlier edges: every
+    round each tree takes its first edge to another tree."""
+    label, at, kept = np.arange(nodes), np.arange(len(p)), []
+    while True:
+        x, y = label[p[at]], label[q[at]]
+        out = x != y
+        at, x, y = at[out], x[out], y[out]
+        if not len(at):
+            return np.sort(np.concatenate(kept)) if kept else at
+        first = np.full((2, nodes), len(p))
+        # The last write to a place stays, which is the first edge's.
+        first[0, x[::-1]], first[1, y[::-1]] = at[::-1], at[::-1]
+        first = first.min(0)
+        tree = np.flatnonzero(first < len(p))
+        edge = first[tree]
+        kept.append(np.unique(edge))
+        to = np.arange(nodes)
+        to[tree] = label[p[edge]] + label[q[edge]] - tree
+        # Two trees that take the same edge point at each other: the smaller one is the root.
+        to = np.where((to[to] == np.arange(nodes)) & (np.arange(nodes) < to), np.arange(nodes), to)
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        label = to[label]
+
+
+def _forests(edges: np.ndarray, which: np.ndarray, layers: int) -> tuple[np.ndarray, bool]:
+    """The edges (order, i, j) of ``layers`` forests between the components ``which``, each a
+    forest of what those before it left, and whether edges are left. The edges of a part, joined
+    with those of another part, have the same forests as both parts."""
+    edges = edges[np.lexsort([edges[:, 2], edges[:, 1], edges[:, 0]])]
+    kept = []
+    for _ in range(layers):
+        if not len(edges):
+            break
+        own = _forest(which[edges[:, 1]], which[edges[:, 2]], len(which))
+        kept.append(edges[own])
+        edges = np.delete(edges, own, axis=0)
+    return np.concatenate(kept) if kept else edges, len(edges) > 0
+
+
+def _across(percent: int, layers: int):
+    """Of a block of a key: of the pairs from different components that may be similar by their
+    sketches, those of ``layers`` spanning forests, the nearest pairs first, as (a, b); and
+    (the key, null) where there are more. So a block of n sets names fewer than n pairs a layer,
+    however many of its pairs are similar."""
     def pairs(batches):
         for batch in batches:
             found, more = [], []
@@ -360,20 +404,28 @@ def _across(percent: int, named: int):
                 # Arrays of one key at a time: rows of a batch as objects are many times its size.
                 own = members.slice(lo, hi - lo)
                 node, part, n = (own.field(k).to_numpy() for k in ("node", "part", "n"))
-                by = np.argsort(node, kind="stable")
-                node, part, n = node[by], part[by], n[by]
-                sketch = _same_length(own.field("sketch").take(pa.array(by)).to_pylist())
                 _, which, held = np.unique(part, return_inverse=True, return_counts=True)
-                for i in np.flatnonzero(which != held.argmax()):
-                    bits = np.bitwise_count(sketch[i] ^ sketch).sum(1, dtype=np.int64)
-                    spare = _most(n[i] + n, percent) - bits
-                    near = np.flatnonzero((spare >= 0) & (which != which[i]))
-                    if len(near) > named:
-                        near = near[np.argsort(-spare[near], kind="stable")[:named]]
-                        more.append(key)
+                # The largest component is last: its sets are compared with all others' only.
+                by = np.lexsort([node, which == held.argmax()])
+                node, which, n = node[by], which[by], n[by]
+                sketch = _same_length(own.field("sketch").take(pa.array(by)).to_pylist())
+                edges, waiting, left = [], 0, False
+                for i in range(len(node) - held.max()):
+                    bits = np.bitwise_count(sketch[i] ^ sketch[i + 1:]).sum(1, dtype=np.int64)
+                    spare = _most(n[i] + n[i + 1:], percent) - bits
+                    near = np.flatnonzero((spare >= 0) & (which[i + 1:] != which[i]))
                     if len(near):
-                        found.append(np.column_stack([np.minimum(node[i], node[near]),
-                                                      np.maximum(node[i], node[near])]))
+                        edges.append(np.column_stack([-spare[near], np.full(len(near), i),
+                                                      near + i + 1]).astype(np.int32))
+                        waiting += len(near)
+                    if waiting > EDGES:
+                        kept, beyond = _forests(np.concatenate(edges), which, layers)
+                        edges, waiting, left = [kept], 0, left or beyond
+                if edges:
+                    kept, beyond = _forests(np.concatenate(edges), which, layers)
+                    found.append(np.sort(node[kept[:, 1:]], axis=1))
+                    if left or beyond:
+                        more.append(key)
             found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
             more = np.unique(np.array(more, np.int64))
             yield pa.RecordBatch.from_pydict({
@@ -478,10 +530,10 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     parts = stored(components(decided.filter("similar").select("a", "b")), "parts")
     keys = found.filter("sets IS NOT NULL").select(F.col("b").alias("key"), "sets") \
         .dropDuplicates(["key"])
-    named = NAMED
+    layers = LAYERS
     while True:
         out = stored(_blocks(keys, parts, outline, block).mapInArrow(
-            _across(percent, named), "a bigint, b bigint"), "pairs")
+            _across(percent, layers), "a bigint, b bigint"), "pairs")
         new = out.filter("b IS NOT NULL").distinct().join(decided.select("a", "b"), ["a", "b"],
                                                           "left_anti")
         now = tested(bounded(new.withColumn("pair", F.lit(True))).select("a", "b"))
@@ -492,7 +544,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
             break
         decided = decided.unionAll(now)
         keys = stored(keys.join(more, "key", "left_semi"), "keys")
-        named *= MORE
+        layers *= MORE
 
     classes = classes.join(parts, classes.set == parts.node, "left").select(
         "set", "doc_id", F.coalesce("component", "set").alias("component"))

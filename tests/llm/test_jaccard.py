@@ -84,6 +84,61 @@ def test_large_keys_are_settled_in_rounds_over_blocks(spark):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_near_copies_name_fewer_pairs_than_sets_and_keys_have(spark, monkeypatch):
+    """A group in which most pairs are similar gives out forests, not each set's many partners."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for k in range(rng.choice([1, 1, 2, 2, 2, 3])):
+            text[rng.randrange(150)] = f"x{i}.{k}"
+        rows.append((i, " ".join(text)))
+    named = []
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "pairs":
+            named.append(out.filter("b IS NOT NULL").distinct().count())
+        return out
+
+    stored = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = jaccard.ngram_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert named[0] < 5 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_forests_cover_components_by_first_edges(seed):
+    """Layers are minimum spanning forests of what is left, also when edges come in parts."""
+    rng = np.random.default_rng(seed)
+    which = rng.integers(0, 25, 40)
+    edges = np.unique(np.column_stack([rng.integers(0, 6, 300), rng.integers(0, 40, (300, 2))]), axis=0)
+    edges = edges[which[edges[:, 1]] != which[edges[:, 2]]].astype(np.int32)
+    left, want = list(map(tuple, edges)), []
+    for _ in range(3):
+        part, took = list(range(25)), []
+
+        def find(x):
+            while part[x] != x:
+                x = part[x]
+            return x
+
+        for e in sorted(left):
+            x, y = find(which[e[1]]), find(which[e[2]])
+            if x != y:
+                part[x] = y
+                took.append(e)
+        want += took
+        left = [e for e in left if e not in took]
+    got, more = jaccard._forests(edges, which, 3)
+    assert list(map(tuple, got)) == want and more == bool(left)
+    some, _ = jaccard._forests(edges[:150], which, 3)
+    got, _ = jaccard._forests(np.concatenate([some, edges[150:]]), which, 3)
+    assert list(map(tuple, got)) == want
+
+
 def test_other_sizes_and_empty_tables(spark):
     rows = made_rows(4)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
