@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliospark.llm.suffixes import common_prefixes, expand, suffix_array
-from foliospark.llm.texts import bounded_batches, eight_bytes, hashes_of, mix, pieces, texts_of
+from foliospark.llm.texts import (bounded_batches, eight_bytes, give_back, hashes_of, mix, pieces,
+                                  texts_of)
 from foliospark.session import stored
 
 LENGTH = 50
@@ -72,6 +73,7 @@ def _blob(**columns: np.ndarray) -> bytes:
 
 
 def _unblob(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    give_back()
     return _columns(pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]))
 
 

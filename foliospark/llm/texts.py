@@ -7,6 +7,7 @@ are taken for equal with a chance of about ``words ** 2 / 2 ** 65``.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,9 +93,19 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0])
 
 
+def give_back() -> None:
+    """Hands unused memory to the system. Workers live on from job to job, and what an earlier
+    job's arrays left in their heaps would count beside the memory of the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of the GNU C library only
+    if trim:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text",
            size: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Slices of a batch with at most ``size`` bytes of text, one row at least."""
+    give_back()
     texts = texts_of(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, len(texts)
     while at < n:
