@@ -162,6 +162,19 @@ def test_embedding_resumes_and_isolates_failures(spark):
     assert tuple(summary) == (10, 4, 4, 2)
 
 
+def test_embedder_frames_hold_few_bytes_however_large_the_table(spark):
+    """Frames are bounded by their bytes: a worker's memory does not grow with its partition."""
+    chunks = spark.range(6000, numPartitions=1).select(
+        F.col("id").cast("string"), F.expr("repeat('0123456789', 500)").alias("content"))
+
+    def rows_in_frame(texts):
+        return [[float(len(sys._getframe(2).f_locals["frame"]))]] * len(texts)
+
+    got = embedding.embed_batches(chunks, rows_in_frame, "p").agg(
+        F.count("*").alias("n"), F.max(F.col("embedding")[0]).alias("most")).first()
+    assert got.n == 6000 and got.most * 5000 <= 2 * (4 << 20)
+
+
 def test_short_answers_of_an_embedder_fail_the_batch(spark):
     chunks = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, content string").coalesce(1)
     done = embedding.embed_batches(chunks, lambda t: [[1.0]], "p", backoff=0).collect()
