@@ -57,6 +57,27 @@ def test_tokens_are_those_of_the_library():
         assert set(stops) <= set(range(len(ids)))
 
 
+def test_new_units_go_to_the_tokenizer_many_at_a_time():
+    made, given_ = Encoder(tokenizer_path()), []
+    library = made.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, units, **options):
+            given_.extend(units)
+            return library.encode_batch_fast(units, **options)
+
+    made.tokenizer = Counted()
+    some = ["".join(f" w{i * 7}é<|endoftext|>'s" for i in range(2000)), "x  y\u3000 z a b\n"]
+    ids, begin, _ = made.encode(texts.texts_of(pa.array(some)))
+    assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == [ids_of(t) for t in some]
+    assert len(given_) < 50
+    # Bytes that are no UTF-8: their replacements are longer than they are.
+    raw = b" one\xff two \xf0\x9f\x98 three \xe2\x82" + b" four" * 3
+    data = np.frombuffer(raw, np.uint8)
+    ids, _, _ = made.encode(texts.Texts(data, np.array([0, len(raw)])))
+    assert ids.tolist() == ids_of(raw.decode("utf-8", "replace"))
+
+
 def test_encoder_starts_over_when_full(monkeypatch):
     monkeypatch.setattr("foliospark.llm.tokens.REMEMBERED", 5)
     made = Encoder(tokenizer_path())
