@@ -16,9 +16,11 @@ Two sets alone with a key are tested by their whole texts. In larger keys each s
 tested with one set of the key only, which joins most of them. Keys whose sets are then still in
 different components go on in rounds: their sets' sketches, which bound the difference from below,
 are compared across components, the key gives out a spanning forest of its open pairs, nearest
-first, and these are tested. Later rounds give out several forests, each of the pairs that those
-before it left; they end when no key holds an open pair that was not tested, so the components are
-those of all similar pairs. A key with very many sets is split into pairs of blocks of its sets.
+first, and these are tested. The first round has short sketches, which leave more pairs open. Later
+rounds have whole ones and only the sets of the open pairs that the round before did not give out;
+they give out several forests, each of the pairs that those before it left. Rounds end when no key
+holds an open pair that was not tested, so the components are those of all similar pairs. A key with
+very many sets is split into pairs of blocks of its sets.
 """
 
 from __future__ import annotations
@@ -83,14 +85,16 @@ def fingerprints(element: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.
     return size, mix(_sums(text, mix(element), texts) + size.astype(np.uint64)).view(np.int64)
 
 
-#: Bits of a sketch for each element in which a similar set can differ; a power of two in all.
-SKETCH = 32
+#: Bits of a sketch for each element in which a similar set can differ, and of a short one; a
+#: power of two in all.
+SKETCH, SHORT = 32, 16
 
 
-def sketches(element: np.ndarray, text: np.ndarray, size: np.ndarray, percent: int) -> pa.Array:
+def sketches(element: np.ndarray, text: np.ndarray, size: np.ndarray, percent: int,
+             each: int = SKETCH) -> pa.Array:
     """The parity sketch of each set; the first half folded on the second is the shorter one."""
     differ = 2 * size * (100 - percent) // (100 + percent) + 1
-    bits = 1 << np.ceil(np.log2(np.maximum(64, SKETCH * differ))).astype(np.int64)
+    bits = 1 << np.ceil(np.log2(np.maximum(64, each * differ))).astype(np.int64)
     end = np.cumsum(bits)
     at = (end - bits)[text] + (mix(element + np.uint64(1)) % bits[text].astype(np.uint64)) \
         .astype(np.int64)
@@ -390,17 +394,25 @@ def _forests(edges: np.ndarray, which: np.ndarray, layers: int) -> tuple[np.ndar
     return np.concatenate(kept) if kept else edges, len(edges) > 0
 
 
+def _cut(edges: np.ndarray, which: np.ndarray, layers: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of `_forests`, and for each node whether other edges of it are left."""
+    kept, _ = _forests(edges, which, layers)
+    degree, used = (np.bincount(e[:, 1:].ravel(), minlength=len(which)) for e in (edges, kept))
+    return kept, degree > used
+
+
 def _across(percent: int, layers: int):
     """Of a block of a key: of the pairs from different components that may be similar by their
-    sketches, those of ``layers`` spanning forests, the nearest pairs first, as (a, b); and
-    (the key, null) where there are more. So a block of n sets names fewer than n pairs a layer,
-    however many of its pairs are similar."""
+    sketches, those of ``layers`` spanning forests, the nearest pairs first, as (a, b, null); and
+    (their hash, null, the sets of the other such pairs) where there are more, which is the key of
+    the next round. So a block of n sets names fewer than n pairs a layer, however many of its pairs
+    are similar."""
     def pairs(batches):
         for batch in batches:
-            found, more = [], []
+            found, more, lists = [], [], []
             members, begin = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
             begin = begin - begin[0]
-            for key, lo, hi in zip(batch.column(0).to_pylist(), begin[:-1], begin[1:]):
+            for lo, hi in zip(begin[:-1], begin[1:]):
                 # Arrays of one key at a time: rows of a batch as objects are many times its size.
                 own = members.slice(lo, hi - lo)
                 node, part, n = (own.field(k).to_numpy() for k in ("node", "part", "n"))
@@ -409,7 +421,7 @@ def _across(percent: int, layers: int):
                 by = np.lexsort([node, which == held.argmax()])
                 node, which, n = node[by], which[by], n[by]
                 sketch = _same_length(own.field("sketch").take(pa.array(by)).to_pylist())
-                edges, waiting, left = [], 0, False
+                edges, waiting, left = [], 0, np.zeros(len(node), dtype=bool)
                 for i in range(len(node) - held.max()):
                     bits = np.bitwise_count(sketch[i] ^ sketch[i + 1:]).sum(1, dtype=np.int64)
                     spare = _most(n[i] + n[i + 1:], percent) - bits
@@ -419,31 +431,42 @@ def _across(percent: int, layers: int):
                                                       near + i + 1]).astype(np.int32))
                         waiting += len(near)
                     if waiting > EDGES:
-                        kept, beyond = _forests(np.concatenate(edges), which, layers)
-                        edges, waiting, left = [kept], 0, left or beyond
+                        kept, beyond = _cut(np.concatenate(edges), which, layers)
+                        edges, waiting = [kept], 0
+                        left |= beyond
                 if edges:
-                    kept, beyond = _forests(np.concatenate(edges), which, layers)
+                    kept, beyond = _cut(np.concatenate(edges), which, layers)
+                    left |= beyond
                     found.append(np.sort(node[kept[:, 1:]], axis=1))
-                    if left or beyond:
-                        more.append(key)
+                if left.any():
+                    lists.append(np.sort(node[left]))
+                    with np.errstate(over="ignore"):
+                        more.append(mix(lists[-1].view(np.uint64)).sum(dtype=np.uint64))
             found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            more = np.unique(np.array(more, np.int64))
+            _, first = np.unique(np.array(more, np.uint64), return_index=True)
+            more, lists = np.array(more, np.uint64)[first].view(np.int64), [lists[i] for i in first]
+            sets = pa.ListArray.from_arrays(
+                pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)),
+                pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
             yield pa.RecordBatch.from_pydict({
                 "a": pa.array(np.append(found[:, 0], more)),
-                "b": pa.concat_arrays([pa.array(found[:, 1]), pa.nulls(len(more), pa.int64())])})
+                "b": pa.concat_arrays([pa.array(found[:, 1]), pa.nulls(len(more), pa.int64())]),
+                "sets": pa.concat_arrays([pa.nulls(len(found), sets.type), sets])})
     return pairs
 
 
-def _blocks(keys: DataFrame, parts: DataFrame, outline: DataFrame, block: int) -> DataFrame:
-    """(key, members) of keys (key, sets) with sets in several components: one row for a small
-    key, else one for each two blocks of its sets with no two of the largest component."""
+def _blocks(keys: DataFrame, parts: DataFrame, outline: DataFrame, block: int,
+            whole: int) -> DataFrame:
+    """(key, members) of keys (key, sets) with sets in several components: one row for a key of
+    at most ``whole`` sets, else one for each two blocks of its sets with no two of the largest
+    component."""
     members = keys.select("key", F.explode("sets").alias("node")).join(parts, "node", "left") \
         .withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = members.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max_by("part", "c").alias("main"), F.max("c").alias("in_main"), F.sum("c").alias("c")) \
         .filter("c > in_main")
     p, q = (F.ceil(v / block).cast("int") for v in (F.col("c") - F.col("in_main"), F.col("in_main")))
-    small = F.col("c") <= block
+    small = F.col("c") <= whole
     dealt = members.join(mixed, "key").withColumns({"p": p, "q": q})
     hashed = F.xxhash64("node")
     # A number given is kept: few bytes are much work here, and would be put into one task.
@@ -480,11 +503,12 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
                 size, print_ = fingerprints(element, text, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(size, pa.int64()), pa.array(print_),
-                     sketches(element, text, size, percent)],
-                    names=["doc_id", "n", "set", "sketch"])
+                     sketches(element, text, size, percent),
+                     sketches(element, text, size, percent, SHORT)],
+                    names=["doc_id", "n", "set", "sketch", "short"])
 
-    sizes = stored(docs.mapInArrow(measure, "doc_id bigint, n bigint, set bigint, sketch binary"),
-                   "sets")
+    sizes = stored(docs.mapInArrow(
+        measure, "doc_id bigint, n bigint, set bigint, sketch binary, short binary"), "sets")
     edges = np.array(band_edges(sizes.agg(F.max("n")).first()[0] or 1))
     # At most one row for each band: their number grows with the logarithm of the largest set.
     counts = sizes.filter("n > 0").groupBy("n").agg(F.approx_count_distinct("set").alias("c"))
@@ -501,7 +525,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         .groupBy("place").applyInArrow(_meet, _FOUND), "met")
     classes = sizes.filter("n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     # Equal sets have equal sketches, so any row will do.
-    outline = stored(sizes.filter("n > 0").select(F.col("set").alias("node"), "n", "sketch")
+    outline = stored(sizes.filter("n > 0").select(F.col("set").alias("node"), "n", "sketch", "short")
                      .dropDuplicates(["node"]), "outline")
 
     def bounded(pairs: DataFrame) -> DataFrame:
@@ -530,21 +554,23 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     parts = stored(components(decided.filter("similar").select("a", "b")), "parts")
     keys = found.filter("sets IS NOT NULL").select(F.col("b").alias("key"), "sets") \
         .dropDuplicates(["key"])
-    layers = LAYERS
+    layers, whole, sketch = LAYERS, block, "short"
     while True:
-        out = stored(_blocks(keys, parts, outline, block).mapInArrow(
-            _across(percent, layers), "a bigint, b bigint"), "pairs")
-        new = out.filter("b IS NOT NULL").distinct().join(decided.select("a", "b"), ["a", "b"],
-                                                          "left_anti")
+        shown = outline.select("node", "n", F.col(sketch).alias("sketch"))
+        out = stored(_blocks(keys, parts, shown, block, whole).mapInArrow(
+            _across(percent, layers), "a bigint, b bigint, sets array<bigint>"), "pairs")
+        new = out.filter("b IS NOT NULL").select("a", "b").distinct().join(
+            decided.select("a", "b"), ["a", "b"], "left_anti")
         now = tested(bounded(new.withColumn("pair", F.lit(True))).select("a", "b"))
         if not now.filter("similar").isEmpty():
             parts = stored(merged(parts, now.filter("similar").select("a", "b")), "parts")
-        more = out.filter("b IS NULL").select(F.col("a").alias("key")).distinct()
+        more = out.filter("b IS NULL")
         if more.isEmpty():
             break
         decided = decided.unionAll(now)
-        keys = stored(keys.join(more, "key", "left_semi"), "keys")
-        layers *= MORE
+        keys = more.select(F.col("a").alias("key"), "sets").dropDuplicates(["key"])
+        # What two blocks leave is not split again.
+        layers, whole, sketch = layers * MORE, 3 * block, "sketch"
 
     classes = classes.join(parts, classes.set == parts.node, "left").select(
         "set", "doc_id", F.coalesce("component", "set").alias("component"))

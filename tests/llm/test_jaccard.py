@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from foliospark.llm import jaccard
 from foliospark.llm.components import components
+from foliospark.llm.texts import texts_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -109,6 +111,28 @@ def test_near_copies_name_fewer_pairs_than_sets_and_keys_have(spark, monkeypatch
     assert named[0] < 5 * len(rows)
 
 
+@pytest.mark.parametrize("each", [jaccard.SHORT, jaccard.SKETCH])
+def test_later_rounds_get_the_sets_of_open_pairs_only(each):
+    """Of a key, the next round gets the sets of the open pairs that were not given out."""
+    rng = random.Random(5)
+    base, some = [f"w{i}" for i in range(150)], []
+    for i in range(12):                               # near copies, all pairs of which are open
+        text = list(base)
+        text[rng.randrange(150)] = f"x{i}"
+        some.append(" ".join(text))
+    some += [" ".join(f"y{i}.{k}" for k in range(150)) for i in range(30)]
+    element, owner = jaccard.shingle_sets(texts_of(pa.array(some)), 4)
+    size = np.bincount(owner, minlength=len(some))
+    sketch = jaccard.sketches(element, owner, size, 85, each).to_pylist()
+    members = [{"node": i, "part": i, "n": int(size[i]), "sketch": sketch[i]} for i in range(len(some))]
+    batch = pa.record_batch({"key": pa.array([7]), "members": pa.array([members])})
+    [out] = jaccard._across(85, 1)([batch])
+    named = {(r["a"], r["b"]) for r in out.to_pylist() if r["b"] is not None}
+    [left] = [r["sets"] for r in out.to_pylist() if r["b"] is None]
+    assert len(named) == 11 and max(left) < 12
+    assert all((i, j) in named or {i, j} <= set(left) for i in range(12) for j in range(i + 1, 12))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_forests_cover_components_by_first_edges(seed):
     """Layers are minimum spanning forests of what is left, also when edges come in parts."""
